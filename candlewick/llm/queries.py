@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, quality
+from . import bpe, caps, langid, media, minhash, mixing, quality, quotes
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -21,6 +29,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.op7(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,8 +46,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
+    "op3_quotes": op3_quotes,
     "op5_mix_sources": op5_mix_sources,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_cap_filters": op7_cap_filters,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
