@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, caps, langid, media, minhash, mixing, quality, quotes
+from . import bpe, caps, langid, lm, media, minhash, mixing, quality, quotes, tokenshards
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenshards.op1(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op2(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -46,8 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_shards": op1_token_shards,
     "op2_media": op2_media,
     "op3_quotes": op3_quotes,
+    "op4_language_model": op4_language_model,
     "op5_mix_sources": op5_mix_sources,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_cap_filters": op7_cap_filters,
