@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import regex
 
 #: Distinct words kept by a worker between batches; beyond that the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Code points that str.split() takes for white space and Unicode does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -242,7 +242,7 @@ def encoder(path: str) -> TrieBPE:
     return _LOADED[path]
 
 
-def slices(column, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(column, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string or binary column of about limit bytes each; one longer row stands alone."""
     start, held = 0, 0
     for i, n in enumerate(column_lengths(column)):

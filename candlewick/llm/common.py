@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but ASCII white space; `bytes.split()` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch between the JVM and Python workers.
+BATCH_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -25,6 +28,8 @@ def ship_package(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+    # whole texts travel in these batches, so their number bounds a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 WORDS, NUM, DEN = 5, 85, 100
 TILE, NEAREST = 1000, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _MASK = (1 << 64) - 1
 
@@ -205,56 +205,86 @@ def stars(edges: DataFrame) -> DataFrame:
         now = written(flat(small), "edges")
 
 
+def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest: int) -> tuple[list[tuple[int, int]], bool]:
+    """Of one tile's members, ascending by n: places of the pairs to confirm, and whether any were left out."""
+    length = np.array([len(s) for s in raw])
+    fold: dict[int, np.ndarray] = {}
+    found: list[tuple[int, int, int]] = []
+    for i in range(len(n)):
+        last = int(np.searchsorted(n, n[i] * DEN // NUM, side="right"))
+        at = np.arange(i + 1, last)
+        at = at[(comp[at] != comp[i]) & ((own[at] != own[i]) if across else True)]
+        if not len(at):
+            continue
+        size = int(length[i])
+        if size not in fold:
+            fold = {size: np.zeros((len(n), size), np.uint8)}
+            for j in np.flatnonzero(length >= size):
+                fold[size][j] = folded(raw[j], size)
+        apart = np.bitwise_count(fold[size][at] ^ fold[size][i]).sum(axis=1, dtype=np.int64)
+        good = may_link(n[i], n[at], apart)
+        found += [(int(d), i, int(j)) for d, j in zip(apart[good], at[good], strict=True)]
+    found.sort()
+    taken: dict[tuple, int] = {}
+    out = []
+    for _, i, j in found:
+        pair = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+        taken[pair] = k = taken.get(pair, 0) + 1
+        if k <= nearest:
+            out.append((i, j) if rep[i] > rep[j] else (j, i))
+    return out, any(k > nearest for k in taken.values())
+
+
 def tiles(members: DataFrame, nearest: int) -> DataFrame:
     """Pairs of members of one bucket, in different components, that the bounds allow.
 
     members: bucket, rep, comp, n, sketch, key, size (members of the bucket). Returns a, b, key_a, key_b, more;
-    more: the tile left pairs of these two components out, beyond the nearest ones.
+    more: the tile left pairs of these two components out, beyond the nearest ones. Tiles come sorted through
+    a partition, so only one of them, of at most 2 x TILE rows, is held at a time.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     kind = members.schema["rep"].dataType.simpleString()
     parts = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(6)), parts.cast("long")).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    tile = ["bucket", "lo", "hi"]
+    columns = [*tile, "rep", "comp", "n", "sketch", "key", "own"]
 
-    def work(key, rows):
-        rows = rows.sort_values(["n", "rep"], ignore_index=True)
-        n, comp, rep, own = rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["rep"].to_numpy(), rows["own"].to_numpy()
-        raw = [np.frombuffer(s, np.uint8) for s in rows["sketch"]]
-        length = np.array([len(s) for s in raw])
-        fold: dict[int, np.ndarray] = {}
-        found: list[tuple[int, int, int]] = []
-        across = key[1] != key[2]
-        for i in range(len(rows)):
-            last = np.searchsorted(n, n[i] * DEN // NUM, side="right")
-            at = np.arange(i + 1, last)
-            at = at[(comp[at] != comp[i]) & ((own[at] != own[i]) if across else True)]
-            if not len(at):
+    def pairs_of(part: pa.Table) -> list[tuple]:
+        n, comp, rep, own, lo, hi = (part.column(k).to_numpy() for k in ("n", "comp", "rep", "own", "lo", "hi"))
+        raw = [np.frombuffer(v, np.uint8) for v in part.column("sketch").to_pylist()]
+        key = part.column("key").to_pylist()
+        places, more = tile_pairs(n, comp, rep, own, raw, bool(lo[0] != hi[0]), nearest)
+        return [(rep[i], rep[j], key[i], key[j], more) for i, j in places]
+
+    def work(batches):
+        rest = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                now = pa.Table.from_batches([batch])
+                rest = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
+            if rest is None or not len(rest):
                 continue
-            size = length[i]
-            if size not in fold:
-                fold = {k: v for k, v in fold.items() if k >= size // 2}
-                fold[size] = np.zeros((len(rows), size), np.uint8)
-                for j in np.flatnonzero((length >= size) & (length <= 2 * size)):
-                    fold[size][j] = folded(raw[j], size)
-            apart = np.bitwise_count(fold[size][at] ^ fold[size][i]).sum(axis=1, dtype=np.int64)
-            good = may_link(n[i], n[at], apart)
-            found += [(int(d), i, int(j)) for d, j in zip(apart[good], at[good], strict=True)]
-        found.sort()
-        taken: dict[tuple, int] = {}
-        out = []
-        for _, i, j in found:
-            pair = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-            taken[pair] = k = taken.get(pair, 0) + 1
-            if k <= nearest:
-                a, b = (i, j) if rep[i] > rep[j] else (j, i)
-                out.append((a, b))
-        more = any(k > nearest for k in taken.values())
-        a, b = [x for x, _ in out], [x for _, x in out]
-        return pd.DataFrame({"a": rep[a], "b": rep[b], "key_a": rows["key"].to_numpy()[a], "key_b": rows["key"].to_numpy()[b], "more": more})
-
-    return dealt.drop("other").groupBy("bucket", "lo", "hi").applyInPandas(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
+            ids = [rest.column(k).to_numpy() for k in tile]
+            cut = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in ids])) + 1
+            ends = [*cut.tolist(), *([len(rest)] if batch is None else [])]
+            start, out = 0, []
+            for end in ends:
+                if end - start > 1:
+                    out += pairs_of(rest.slice(start, end - start))
+                start = end
+            rest = rest.slice(start)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((part_type, part_type, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
+
+    part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return dealt.select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
+
+
+def _and_end(items):
+    yield from items
+    yield None
 
 
 def components(docs: DataFrame) -> DataFrame:
