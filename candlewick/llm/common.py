@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but ASCII white space; `bytes.split()` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch between the JVM and Python workers.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch between the JVM and Python workers.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
     # whole texts travel in these batches, so their number bounds a worker's memory
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
