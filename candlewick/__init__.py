@@ -1,0 +1 @@
+"""Time-series and market-data analytics on Spark."""
