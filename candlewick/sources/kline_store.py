@@ -6,6 +6,8 @@ partitions only (dynamic partition overwrite) from a staged copy, so no job read
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +44,23 @@ class KlineStore:
     def insert(self, rows: DataFrame) -> None:
         self._write(self._dealt(rows), self.path, "append")
 
+    def _drop(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _replace(self, rows: DataFrame) -> None:
+        """Overwrite the partitions of rows, from a copy of them, as rows may read those partitions."""
+        stage = f"{self.path}.stage-{uuid.uuid4().hex}"
+        self._write(rows, stage, "errorifexists")
+        self._write(self.spark.read.schema(self.read().schema).parquet(stage), self.path, "overwrite")
+        self._drop(stage)
+
     def upsert(self, rows: DataFrame) -> None:
         """New rows replace those of equal symbol, interval and timestamp."""
         new = self._dealt(rows)
         touched = new.select("interval", "bucket").distinct()
         old = self.read().join(touched, ["interval", "bucket"], "left_semi").select(*new.columns)
-        stage = f"{self.path}.stage"
-        self._write(dml.upsert(old, new, [*KEYS, "bucket"]), stage, "overwrite")
-        self._write(self.spark.read.schema(self.read().schema).parquet(stage).select(*new.columns), self.path, "overwrite")
+        self._replace(dml.upsert(old, new, [*KEYS, "bucket"]))
 
     def upsert_newer(self, rows: DataFrame) -> None:
         """Keep only rows newer than the stored newest of their symbol and interval."""
@@ -86,25 +97,17 @@ class KlineStore:
     def delete(self, condition) -> None:
         """Rewrite the partitions that hold rows for which condition is true."""
         df = self.read()
-        touched = df.where(condition).select("interval", "bucket").distinct()
-        hit = df.join(touched, ["interval", "bucket"], "left_semi")
-        stage = f"{self.path}.stage"
-        self._write(hit, stage, "overwrite")
-        staged = self.spark.read.schema(df.schema).parquet(stage)
-        left = dml.delete(staged, condition)
-        self._write(left.select(*[f.name for f in df.schema]), self.path, "overwrite")
-        gone = staged.select("interval", "bucket").distinct().join(left.select("interval", "bucket").distinct(), ["interval", "bucket"], "left_anti").collect()  # folders, few
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for r in gone:
-            p = fs_path(f"{self.path}/interval={r.interval}/bucket={r.bucket}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        folders = ["interval", "bucket"]
+        touched = df.where(condition).select(*folders).distinct()
+        left = dml.delete(df.join(touched, folders, "left_semi"), condition)
+        empty = touched.join(left.select(*folders).distinct(), folders, "left_anti").collect()  # folders, few
+        self._replace(left.select(*df.columns))
+        for r in empty:
+            self._drop(f"{self.path}/interval={r.interval}/bucket={r.bucket}")
 
     def compact(self) -> None:
         """One sorted file a partition."""
-        stage = f"{self.path}.stage"
-        schema = self.read().schema
-        self._write(self.read(), stage, "overwrite")
-        self._write(self.spark.read.schema(schema).parquet(stage), self.path, "overwrite")
+        self._replace(self.read())
 
     def backup(self, path: str) -> None:
         self._write(self.read(), path, "overwrite")
