@@ -353,3 +353,47 @@ def tombstone_anti(spark, d):
 def delete_counts(spark, d):
     e = table(spark, d, "events")
     return dml.counts(e, dml.delete(e, F.col("value") > 50))
+
+
+# -- access paths: only their results matter; files sorted by the keys let Parquet skip row groups ------------
+
+
+@query(f"SELECT id, price FROM {TICKS} WHERE user_id = 7")
+def index_exact(spark, d):
+    return ticks(spark, d).where("user_id = 7").select("id", "price")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id >= 100 AND event_id <= 250")
+def index_range(spark, d):
+    return table(spark, d, "events").where(F.col("event_id").between(100, 250)).select("event_id", "value")
+
+
+@query(f"SELECT id, ts FROM {TICKS} WHERE symbol = 'view' AND user_id = 3 AND ts >= 1704500000000 AND ts < 1706000000000")
+def index_prefix_range(spark, d):
+    t = ticks(spark, d)
+    return t.where((t.symbol == "view") & (t.user_id == 3) & (t.ts >= 1704500000000) & (t.ts < 1706000000000)).select("id", "ts")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type")
+def index_any_of(spark, d):
+    return table(spark, d, "events").where(F.col("event_type").isin("view", "click")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, CAST(l_orderkey AS DOUBLE) AS wide, CAST(trunc(l_extendedprice) AS BIGINT) AS narrow FROM lineitem")
+def cast_numbers(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_orderkey").cast("double").alias("wide"), F.col("l_extendedprice").cast("bigint").alias("narrow"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 10.5::DOUBLE), (2, 20.0), (3, NULL)) t(k, v)")
+def create_and_insert(spark, d):
+    from ..schema import schema_of
+
+    made = spark.createDataFrame([], schema_of([("k", "BIGINT"), ("v", "DECIMAL")]))
+    made = dml.insert(made, spark.createDataFrame([(1, 10.5), (2, 20.0)], "k long, v double"))
+    return dml.insert(made, spark.createDataFrame([(3,)], "k long"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, arg_min(l_comment_key, l_comment_key) AS any_key FROM (SELECT *, l_orderkey * 10 + l_linenumber AS l_comment_key FROM lineitem) GROUP BY l_returnflag")
+def ungrouped_column(spark, d):
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min_by(key, key).alias("any_key"))

@@ -409,3 +409,38 @@ def stream_ohlcv(spark, d):
     path = _scratch(spark)
     done = run_to_end(bars(rows, "1 hour", "0 seconds"), f"{path}/rows", f"{path}/state")
     return done.unionByName(hourly(spark, d).join(done.select("symbol", "bucket"), ["symbol", "bucket"], "left_anti").select(*done.columns))
+
+
+# -- partitions and stored bars --------------------------------------------------------------
+
+
+@query(f"SELECT id, ts, price FROM {TICKS} WHERE ts >= {AT} AND ts < {AT + 2 * DAY}")
+def partitioned_scan(spark, d):
+    """Write ticks by UTC day, then read two days back: the day's predicate prunes folders."""
+    path = _scratch(spark)
+    t = ticks(spark, d).withColumn("day", S.time_label(F.col("ts"), "day"))
+    t.repartition("day").write.partitionBy("day").parquet(path)
+    days = [f"2024-01-{k}" for k in (15, 16, 17)]
+    back = spark.read.schema(t.schema).parquet(path)
+    return back.where(F.col("day").isin(*days) & (F.col("ts") >= AT) & (F.col("ts") < AT + 2 * DAY)).select("id", "ts", "price")
+
+
+@query(f"SELECT symbol, bucket, {r('equity', 2)} AS equity FROM {_EQ} WHERE symbol = 'click' ORDER BY bucket")
+def equity_curve_query(spark, d):
+    return _equity(spark, d).where("symbol = 'click'").orderBy("bucket").select("symbol", "bucket", R(F.col("equity"), 2).alias("equity"))
+
+
+@query(f"SELECT symbol, bucket, close FROM {HOURLY} WHERE symbol = 'click' AND bucket >= {AT - 5 * DAY} AND bucket <= {AT}")
+def kline_store_query(spark, d):
+    """Hourly bars through the store: insert, upsert of the same bars (no change), range query."""
+    from ..schema import KLINE
+    from ..sources.kline_store import KlineStore
+
+    bars = hourly(spark, d)
+    have = {"symbol": F.col("symbol"), "interval": F.lit("1h"), "timestamp": (F.col("bucket") / 1000).cast("long"), "open": F.col("open"), "high": F.col("high"), "low": F.col("low"), "close": F.col("close"), "volume": F.col("volume").cast("double")}
+    rows = bars.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in KLINE])
+    store = KlineStore(spark, _scratch(spark), 4)
+    store.insert(rows)
+    store.upsert(rows.where("symbol = 'click'"))
+    got = store.query("click", "1h", (AT - 5 * DAY) // 1000, AT // 1000)
+    return got.select("symbol", (F.col("timestamp") * 1000).alias("bucket"), "close")
