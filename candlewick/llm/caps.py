@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, written
+from .common import groups, ship_package, written
 from .minhash import stars
 
 LEAST = 0.98
@@ -146,7 +146,7 @@ def listed(reps: DataFrame) -> DataFrame:
 
 def meet(reps: DataFrame) -> DataFrame:
     """rep, links (copies of other classes linked with, in part), low (a linked rep below, or null)."""
-    import pandas as pd
+    import pyarrow as pa
 
     kind = reps.schema["rep"].dataType.simpleString()
     member = reps.select("rep", "label", F.length("vec").alias("size"), F.explode("codes").alias("code"))
@@ -157,29 +157,41 @@ def meet(reps: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     full = dealt.select("rep", *group, "own", "lo", "hi").join(reps.select("rep", "copies", "vec", "codes"), "rep")
 
-    def work(key, rows):
-        _, _, code, lo, hi = key
-        rows = rows.sort_values("rep", ignore_index=True)
-        rep, copies, own = rows["rep"].to_numpy(), rows["copies"].to_numpy(), rows["own"].to_numpy()
-        x = unit(list(rows["vec"]))
+    def tile(part):
+        code, lo, hi = (part.column(k)[0].as_py() for k in ("code", "lo", "hi"))
+        copies, own = (part.column(k).to_numpy() for k in ("copies", "own"))
+        x = unit(part.column("vec").to_pylist())
         good = x @ x.T >= LEAST
         np.fill_diagonal(good, False)
         if lo != hi:
             good &= own[:, None] != own
-        codes = [np.asarray(c) for c in rows["codes"]]
-        count, low = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        for i, j in zip(*np.nonzero(np.triu(good)), strict=True):
-            low[j] = min(low[j], i)
-            if np.intersect1d(codes[i][codes[i] <= code], codes[j][codes[j] <= code], assume_unique=True)[0] == code:
-                count[i] += copies[j]
-                count[j] += copies[i]
-        for i in range(len(rows)):  # forests, so every member's edge leads to a smaller one
-            hit = np.flatnonzero(good[i])
-            low[i] = min(low[i], hit.min() if len(hit) else i)
-        keep = (count > 0) | (low < np.arange(len(rows)))
-        return pd.DataFrame({"rep": rep[keep], "links": count[keep], "low": rep[low[keep]]})
-
-    return full.groupBy(*group, "lo", "hi").applyInPandas(work, f"rep {kind}, links long, low {kind}")
+        at = np.flatnonzero(good.any(axis=1))
+        if not len(at):
+            return None
+        good, copies = good[np.ix_(at, at)], copies[at]
+        # filters before this one, as a table of members: a pair that shares one of them counts there
+        codes = [np.asarray(c)[: np.searchsorted(c, code)] for c in part.column("codes").take(pa.array(at)).to_pylist()]
+        names, place = np.unique(np.concatenate(codes), return_inverse=True)
+        has = np.zeros((len(at), len(names)), np.float32)
+        has[np.repeat(np.arange(len(at)), [len(c) for c in codes]), place] = 1
+        count = (good & (has @ has.T < 0.5)) @ copies
+        low = np.arange(len(at))  # smallest member reached; members come by rep
+        while True:
+            now = np.minimum(low, np.where(good, low, len(at)).min(axis=1))
+            if (now == low).all():
+                break
+            low = now
+        keep = np.flatnonzero((count > 0) | (low < np.arange(len(at))))
+        rep = part.column("rep").combine_chunks().take(pa.array(at))
+        return pa.RecordBatch.from_arrays([rep.take(pa.array(keep)), pa.array(count[keep]), rep.take(pa.array(low[keep]))], names=["rep", "links", "low"])
+
+    def work(batches):
+        for part in groups(batches, [*group, "lo", "hi"]):
+            if len(part) > 1 and (out := tile(part)) is not None:
+                yield out
+
+    keys = [F.col(k) for k in (*group, "lo", "hi")]
+    return full.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(work, f"rep {kind}, links long, low {kind}")
 
 
 def op7(rows: DataFrame) -> DataFrame:

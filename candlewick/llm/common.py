@@ -57,3 +57,29 @@ def bucket_of(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo modulus; null ids count as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(modulus)).cast("int")
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of one key each, from batches that come sorted by keys; one group is held at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+    for batch in _and_end(batches):
+        if batch is not None:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None or not len(rest) else pa.concat_tables([rest, now]).combine_chunks()
+        if rest is None or not len(rest):
+            continue
+        change = np.logical_or.reduce([(v := rest.column(k).to_numpy())[1:] != v[:-1] for k in keys])
+        ends = [*(np.flatnonzero(change) + 1).tolist(), *([len(rest)] if batch is None else [])]
+        start = 0
+        for end in ends:
+            yield rest.slice(start, end - start)
+            start = end
+        rest = rest.slice(start)
+
+
+def _and_end(items):
+    yield from items
+    yield None

@@ -351,6 +351,12 @@ def test_vector_links_equal_brute_force(spark, tile, monkeypatch):
             for _ in range(int(rng.integers(1, 8))):
                 rows.append((i, [float(v) for v in np.float32(x + rng.standard_normal(64) * rng.choice([0, 0.08, 0.14]))], label))
                 i += 1
+    x, away = rng.standard_normal(64), rng.standard_normal(64)
+    away -= (away @ x) / (x @ x) * x
+    away *= np.linalg.norm(x) / np.linalg.norm(away)
+    for k in (8, 0, 7, 3, 5, 1, 6, 4, 2):  # a chain: only neighbours link, and ids do not follow it
+        rows.append((i, [float(v) for v in x * np.cos(0.18 * k) + away * np.sin(0.18 * k)], 5))
+        i += 1
     rows += [(i, None, 1), (i + 1, [0.0] * 64, 1), (i + 2, [float("nan")] * 64, 1), (i + 3, [1.0, None], 1), (i + 4, rows[0][1], None), (i + 5, [2.0, 0.0], 1), (i + 6, [3.0, 0.0], 1), (i + 7, [float("inf"), 1.0], 1), (i + 8, [], 2)]
     got = {r.vec_id: r for r in caps.op7(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("vec", F.lit(0))).collect()}
     for k, (n, component) in brute_links(rows).items():
