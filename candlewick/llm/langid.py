@@ -4,7 +4,9 @@ A text's vector counts hashed byte trigrams (A-Z lower-cased, other ASCII than l
 log(1 + count), weighted by inverse document frequency and scaled to length 1. Document frequencies cover
 all training documents. Each language gets a few centroids by spherical k-means over a bounded sample of its
 training documents (SAMPLE each, a parameter). A text takes the language of the centroid with the largest
-cosine; below REJECT times that language's low quantile of training cosines, the row is marked rejected.
+cosine. Short texts lie far from every centroid, so distance is judged against what is attainable: the cosine
+of the best text with as many distinct trigrams. A row whose share of that is below REJECT times the low
+quantile of its language's training shares is marked rejected.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; whole texts count,
 however long; a tie goes to the earlier language by code point; rows are independent, so repeated rows and
@@ -25,7 +27,7 @@ from .common import bucket_of, ship_package
 
 BITS = 12
 SAMPLE, CLUSTERS, ROUNDS = 600, 3, 8
-REJECT, LOW = 0.5, 0.01
+REJECT, LOW = 0.15, 0.01
 LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -53,15 +55,25 @@ class LangModel:
     centroids: np.ndarray
     owner: np.ndarray
     floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    _most: np.ndarray | None = None
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         v = np.log1p(tf, dtype=np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, cosine and share of the attainable cosine."""
         cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
-        return self.owner[best], cosine[np.arange(len(best)), best]
+        top = cosine[np.arange(len(best)), best]
+        most = self.attainable()[best, np.maximum((vectors > 0).sum(axis=1), 1) - 1]
+        return self.owner[best], top, top / np.maximum(most, 1e-12)
+
+    def attainable(self) -> np.ndarray:
+        """For each centroid the largest cosine of a vector with 1, 2, ... dimensions."""
+        if self._most is None:
+            self._most = np.sqrt(np.cumsum(np.sort(self.centroids**2, axis=1)[:, ::-1], axis=1))
+        return self._most
 
 
 def kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +144,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Lang
         centre = kmeans(x, clusters)
         parts.append(centre)
         own += [i] * len(centre)
-        floor.append(REJECT * float(np.quantile((x @ centre.T).max(axis=1), LOW)))
+        alone = LangModel([lang], idf, centre, np.zeros(len(centre), int))
+        floor.append(REJECT * float(np.quantile(alone.nearest(x)[2], LOW)))
     if parts:
         model.centroids, model.owner, model.floor = np.concatenate(parts), np.array(own), np.array(floor)
     return model
@@ -155,11 +168,11 @@ def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id"
                     texts = part.column("__text").to_pylist()
                     named = np.array([t is not None and LETTER.search(t) is not None for t in texts])
                     if len(m.langs):
-                        who, cosine = m.nearest(m.vectors(np.stack([counts((t or "").encode()) for t in texts])))
+                        who, cosine, share = m.nearest(m.vectors(np.stack([counts((t or "").encode()) for t in texts])))
                     else:
-                        who, cosine, named = np.zeros(len(texts), int), np.zeros(len(texts)), named & False
+                        who, cosine, share, named = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)), named & False
                     score = np.where(named, np.clip(cosine, 0, 1), 0).astype(float)
-                    low = ~named | (cosine < (m.floor[who] if len(m.langs) else 1))
+                    low = ~named | (share < (m.floor[who] if len(m.langs) else 1))
                     lang = [m.langs[w] if k else "und" for w, k in zip(who, named, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(low)], names=[*keep, "lang_pred", "score", "rejected"])
 
