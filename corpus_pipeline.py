@@ -31,10 +31,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, and of repeated rows one."""
     found = minhash.components(docs)
-    keep = found.where("kept").select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    unique = docs.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
-    named = unique.join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
+    unique = named.dropDuplicates(["doc_id", "__text"])  # an id may stand for several texts
+    return unique.join(keep, F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
