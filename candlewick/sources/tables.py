@@ -10,6 +10,7 @@ from ..session import workers_import_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times carry no zone
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
