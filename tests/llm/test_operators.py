@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.llm import bpe, caps, langid, lm, media, minhash, mixing, quality, quotes, tokenshards
-from candlewick.llm.queries import QUERIES
+from candlewick.llm.queries import ORACLES, QUERIES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -455,6 +455,16 @@ def test_bpe_of_random_strings(tokenizer):
     assert [enc.encode(w) for w in words] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
 
+# -- SQL -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_agrees_with_sql(spark, small, name):
+    from oracle import connect, difference
+
+    assert difference(QUERIES[name](spark, small), connect(small), ORACLES[name]) == ""
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 
