@@ -35,7 +35,7 @@ from .minhash import mixed
 
 END = 1
 SHARD_BYTES, INDEX_KEYS = 16_000_000, 40_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_400_000
 HEAD, INDEX = "<4sIQ", "<4sQQQQ"  # struct formats
 HEAD_BYTES, INDEX_BYTES = struct.calcsize(HEAD), struct.calcsize(INDEX)
 
