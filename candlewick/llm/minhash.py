@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import ship_package, written
+from .common import groups, ship_package, written
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 WORDS, NUM, DEN = 5, 85, 100
-TILE, NEAREST = 1000, 8
+TILE, NEAREST = 400, 8
 CACHE_WORDS = 150_000
 
 _MASK = (1 << 64) - 1
@@ -259,34 +259,23 @@ def tiles(members: DataFrame, nearest: int) -> DataFrame:
         return [(rep[i], rep[j], key[i], key[j], more) for i, j in places]
 
     def work(batches):
-        rest = None
-        for batch in _and_end(batches):
-            if batch is not None:
-                now = pa.Table.from_batches([batch])
-                rest = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
-            if rest is None or not len(rest):
-                continue
-            ids = [rest.column(k).to_numpy() for k in tile]
-            cut = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in ids])) + 1
-            ends = [*cut.tolist(), *([len(rest)] if batch is None else [])]
-            start, out = 0, []
-            for end in ends:
-                if end - start > 1:
-                    out += pairs_of(rest.slice(start, end - start))
-                start = end
-            rest = rest.slice(start)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((part_type, part_type, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
+        out = []
+        for part in groups(batches, tile):
+            if len(part) > 1:
+                out += pairs_of(part)
+            if len(out) >= 1000:
+                yield rows_of(out)
+                out = []
+        if out:
+            yield rows_of(out)
+
+    def rows_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((part_type, part_type, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
 
     part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return dealt.select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
 
 
-def _and_end(items):
-    yield from items
-    yield None
-
-
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
