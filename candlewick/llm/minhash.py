@@ -1,8 +1,8 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, star edges.
 
 A document's set is its distinct five-word shingles as mixed 64-bit hashes. One permutation: the hash's high
-bits name one of BINS bins, a bin keeps its smallest hash, and each empty bin borrows from the occupied bin
-that a fixed random table ranks first for it. BANDS bands of ROWS bins give bucket keys. Documents with equal
+bits name one of the bins, a bin keeps its smallest hash, and each empty bin borrows from the occupied bin
+that a fixed random table ranks first for it. Bands of some bins each give bucket keys. Documents with equal
 sets form one class first, so copies cost one row. In every bucket each member is paired with the smallest
 id only (a star). Candidates pass two exact bounds (sizes; a parity sketch whose Hamming distance never
 exceeds the symmetric difference) and are confirmed on full sets made from whole texts.
@@ -10,8 +10,8 @@ exceeds the symmetric difference) and are confirmed on full sets made from whole
 A star alone could miss links between two members that both differ from the centre. So buckets whose members
 still lie in several components are compared within, in tiles of TILE x TILE members, and pairs of different
 components that the bounds allow are confirmed as well: first the NEAREST closest of two components in a
-tile, then more, until none is left out. The only approximation is the bucketing: a pair at similarity 0.85
-shares no bucket with probability below 1e-6.
+tile, then more, until none is left out. The only approximation is the bucketing: a pair at the threshold of
+its Scheme (0.85 for op6, 0.8 for the pipeline) shares no bucket with probability below 1e-6.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; rows whose doc_id is null link
 with nothing and are kept, with a null component; repeated rows share a class; a doc_id that occurs with
@@ -21,6 +21,8 @@ several texts belongs to the component of each of them (its smallest is returned
 from __future__ import annotations
 
 import hashlib
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,12 +31,23 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import groups, ship_package, written
 
-BANDS, ROWS = 32, 6
-BINS = BANDS * ROWS
-WORDS, NUM, DEN = 5, 85, 100
+WORDS = 5
 TILE, NEAREST = 400, 8
 CACHE_WORDS = 150_000
 
+
+class Scheme(NamedTuple):
+    """Pairs link from a similarity of num / den on; bands of rows bins each find them."""
+
+    num: int
+    den: int
+    bands: int
+    rows: int
+
+
+#: A pair at the threshold is missed with a probability of (1 - threshold ** rows) ** bands: 3e-7 and 6e-7.
+AT_85, AT_80 = Scheme(85, 100, 32, 6), Scheme(80, 100, 36, 5)
+
 _MASK = (1 << 64) - 1
 
 
@@ -45,10 +58,13 @@ def mixed(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-_STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & _MASK) for k in range(max(WORDS, ROWS) + 1)]
-_EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
-_RANKS = mixed(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS)
-_BAND_SALT = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & _MASK) for k in range(max(WORDS, AT_85.rows, AT_80.rows) + 1)]
+
+
+@cache
+def _tables(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bin starts, and for each bin the ranks of those to borrow from."""
+    return np.array([(k << 64) // bins for k in range(bins)], np.uint64), mixed(np.arange(1, bins * bins + 1, dtype=np.uint64)).reshape(bins, bins)
 
 
 class WordHash(dict):
@@ -78,23 +94,25 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """BINS minima of an ascending, non-empty set, densified."""
-    at = np.searchsorted(values, _EDGES)
+def signature(values: np.ndarray, scheme: Scheme = AT_85) -> np.ndarray:
+    """The bins' minima of an ascending, non-empty set, densified."""
+    bins = scheme.bands * scheme.rows
+    edges, ranks = _tables(bins)
+    at = np.searchsorted(values, edges)
     ends = np.append(at[1:], len(values))
     full = np.flatnonzero(at < ends)
-    out = np.zeros(BINS, np.uint64)
+    out = np.zeros(bins, np.uint64)
     out[full] = values[at[full]]
-    if len(full) < BINS:
+    if len(full) < bins:
         empty = np.flatnonzero(at >= ends)
-        out[empty] = out[full[_RANKS[np.ix_(empty, full)].argmin(axis=1)]]
+        out[empty] = out[full[ranks[np.ix_(empty, full)].argmin(axis=1)]]
     return out
 
 
-def buckets(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS)
-    total = _BAND_SALT.copy()
-    for k in range(ROWS):
+def buckets(sig: np.ndarray, scheme: Scheme = AT_85) -> np.ndarray:
+    rows = sig.reshape(scheme.bands, scheme.rows)
+    total = mixed(np.arange(1, scheme.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    for k in range(scheme.rows):
         total = mixed(total + rows[:, k] * _STEP[k])
     return total.view(np.int64)
 
@@ -111,17 +129,17 @@ def folded(s: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(s.reshape(-1, size), axis=0)
 
 
-def may_link(na, nb, distance):
+def may_link(na, nb, distance, scheme: Scheme = AT_85):
     """Exact: no pair of sets with this many parities apart links if this is false."""
-    return (DEN + NUM) * distance <= (DEN - NUM) * (na + nb)
+    return (scheme.den + scheme.num) * distance <= (scheme.den - scheme.num) * (na + nb)
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
+def links(a: np.ndarray, b: np.ndarray, scheme: Scheme = AT_85) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return scheme.den * both >= scheme.num * (len(a) + len(b) - both)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     """doc_id, n_shingles, key (of the set), bands, sketch for every row; the last three null for empty sets."""
     import pyarrow as pa
 
@@ -133,25 +151,25 @@ def digests(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 sets = [shingles(t.as_py()) for t in part.column("text")]
                 some = [len(s) > 0 for s in sets]
-                each = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), buckets(signature(s)).tolist(), sketch(s).tobytes()) if k else (None, None, None) for s, k in zip(sets, some, strict=True)]
+                each = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), buckets(signature(s, scheme), scheme).tolist(), sketch(s).tobytes()) if k else (None, None, None) for s, k in zip(sets, some, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([e[0] for e in each], pa.binary()), pa.array([e[1] for e in each], pa.list_(pa.int64())), pa.array([e[2] for e in each], pa.binary())], names=["doc_id", "n_shingles", "key", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, key binary, bands array<long>, sketch binary")
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     """a, b, key_a, key_b of the pairs that the exact bounds allow."""
     import pyarrow as pa
 
     def work(batches):
         for batch in batches:
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("n_a", "n_b"))
-            keep = (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)).tolist()
+            keep = (scheme.den * np.minimum(na, nb) >= scheme.num * np.maximum(na, nb)).tolist()
             for i in np.flatnonzero(keep):
                 x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint8) for k in ("sketch_a", "sketch_b"))
                 size = min(len(x), len(y))
-                keep[i] = bool(may_link(na[i], nb[i], int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())))
+                keep[i] = bool(may_link(na[i], nb[i], int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), scheme))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in ("a", "b", "key_a", "key_b")], names=["a", "b", "key_a", "key_b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -159,7 +177,7 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     """a, b of the pairs that link on full sets; texts whose set is not the class's are another row's."""
     import pyarrow as pa
 
@@ -178,7 +196,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         continue
                     key, centre = kb.as_py(), s
                 s = shingles(ta.as_py())
-                good.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() == ka.as_py() and links(s, centre))
+                good.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() == ka.as_py() and links(s, centre, scheme))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in ("a", "b")], names=["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, f"a {kind}, b {kind}")
@@ -205,13 +223,13 @@ def stars(edges: DataFrame) -> DataFrame:
         now = written(flat(small), "edges")
 
 
-def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest: int) -> tuple[list[tuple[int, int]], bool]:
+def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest: int, scheme: Scheme = AT_85) -> tuple[list[tuple[int, int]], bool]:
     """Of one tile's members, ascending by n: places of the pairs to confirm, and whether any were left out."""
     length = np.array([len(s) for s in raw])
     fold: dict[int, np.ndarray] = {}
     found: list[tuple[int, int, int]] = []
     for i in range(len(n)):
-        last = int(np.searchsorted(n, n[i] * DEN // NUM, side="right"))
+        last = int(np.searchsorted(n, n[i] * scheme.den // scheme.num, side="right"))
         at = np.arange(i + 1, last)
         at = at[(comp[at] != comp[i]) & ((own[at] != own[i]) if across else True)]
         if not len(at):
@@ -222,7 +240,7 @@ def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest:
             for j in np.flatnonzero(length >= size):
                 fold[size][j] = folded(raw[j], size)
         apart = np.bitwise_count(fold[size][at] ^ fold[size][i]).sum(axis=1, dtype=np.int64)
-        good = may_link(n[i], n[at], apart)
+        good = may_link(n[i], n[at], apart, scheme)
         found += [(int(d), i, int(j)) for d, j in zip(apart[good], at[good], strict=True)]
     found.sort()
     taken: dict[tuple, int] = {}
@@ -235,7 +253,7 @@ def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest:
     return out, any(k > nearest for k in taken.values())
 
 
-def tiles(members: DataFrame, nearest: int) -> DataFrame:
+def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame:
     """Pairs of members of one bucket, in different components, that the bounds allow.
 
     members: bucket, rep, comp, n, sketch, key, size (members of the bucket). Returns a, b, key_a, key_b, more;
@@ -255,7 +273,7 @@ def tiles(members: DataFrame, nearest: int) -> DataFrame:
         n, comp, rep, own, lo, hi = (part.column(k).to_numpy() for k in ("n", "comp", "rep", "own", "lo", "hi"))
         raw = [np.frombuffer(v, np.uint8) for v in part.column("sketch").to_pylist()]
         key = part.column("key").to_pylist()
-        places, more = tile_pairs(n, comp, rep, own, raw, bool(lo[0] != hi[0]), nearest)
+        places, more = tile_pairs(n, comp, rep, own, raw, bool(lo[0] != hi[0]), nearest, scheme)
         return [(rep[i], rep[j], key[i], key[j], more) for i, j in places]
 
     def work(batches):
@@ -276,26 +294,26 @@ def tiles(members: DataFrame, nearest: int) -> DataFrame:
     return dealt.select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    rows = written(digests(docs), "digests")
+    rows = written(digests(docs, scheme), "digests")
     whole = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(whole.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     member = classes.select("rep", F.explode("bands").alias("bucket"))
     centre = member.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("size")).where("size > 1")
     centre = written(centre, "centres")
     pairs = member.join(centre, "bucket").where(F.col("rep") != F.col("b")).select(F.col("rep").alias("a"), "b").distinct()
-    edges = written(confirmed(plausible(pairs, classes), docs), "links")
+    edges = written(confirmed(plausible(pairs, classes, scheme), docs, scheme), "links")
     roots = stars(edges)
     nearest = NEAREST
     while True:
         placed = member.join(centre.select("bucket", "size"), "bucket").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("comp"))
         open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
         full = placed.join(open_, "bucket").join(classes.select("rep", "n", "sketch", "key"), "rep")
-        found = written(tiles(full, nearest), "pairs")
+        found = written(tiles(full, nearest, scheme), "pairs")
         more = found.where("more").limit(1).count()
-        fresh = written(confirmed(found.select("a", "b", "key_a", "key_b").distinct(), docs), "links")
+        fresh = written(confirmed(found.select("a", "b", "key_a", "key_b").distinct(), docs, scheme), "links")
         if fresh.limit(1).count():
             roots = stars(roots.unionByName(fresh))
         if not more:

@@ -29,8 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, and of repeated rows one."""
-    found = minhash.components(docs)
+    """The document with the smallest id of each group of near-duplicates (from 0.8 on), and of repeated rows one."""
+    found = minhash.components(docs, minhash.AT_80)
     keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
     unique = named.dropDuplicates(["doc_id", "__text"])  # an id may stand for several texts

@@ -485,6 +485,26 @@ def test_pipeline(spark, more):
     assert set(QUERIES) == {q for q in QUERIES if q.startswith("op")} and len(QUERIES) == 10
 
 
+def test_near_duplicates_from_eight_tenths_on(spark, small):
+    import corpus_pipeline
+
+    rng, rows, sets = np.random.default_rng(8), [], {}
+    for k in range(120):  # pairs whose similarity goes from 0.73 to 0.88
+        words = [f"v{x}" for x in rng.integers(0, 1 << 40, 300)]
+        rows.append((k, " ".join(words)))
+        for x in range(4 + k % 6):
+            words[10 + x * 11] = f"y{k}-{x}"
+        rows.append((1000 + k, " ".join(words)))
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[x : x + 5]) for x in range(len(w) - 4)}
+    same = {k: len(sets[k] & sets[1000 + k]) / len(sets[k] | sets[1000 + k]) for k in range(120)}
+    assert sum(0.8 <= s < 0.85 for s in same.values()) > 20 and sum(s < 0.8 for s in same.values()) > 20
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, small).collect()}
+    assert got == set(range(120)) | {1000 + k for k, s in same.items() if s < 0.8}
+
+
 def test_stages_take_odd_rows(spark, odd, small):
     import corpus_pipeline
 
