@@ -29,12 +29,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (from 0.8 on), and of repeated rows one."""
-    found = minhash.components(docs, minhash.AT_80)
-    keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
-    unique = named.dropDuplicates(["doc_id", "__text"])  # an id may stand for several texts
-    return unique.join(keep, F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The row with the smallest id (null the last) of each group of near-duplicate texts (from 0.8 on).
+
+    Rows are compared by a hash of id and text, as an id may be null or stand for several texts.
+    """
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    named = docs.withColumn("__row", row)
+    found = minhash.components(named.select(F.col("__row").alias("doc_id"), "text"), minhash.AT_80)
+    group = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = named.select("__row", "doc_id").distinct().join(group, "__row").groupBy("__group").agg(F.min(order).alias("__first"))
+    keep = first.select(F.col("__first.__row").alias("__row"))
+    return named.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

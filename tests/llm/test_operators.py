@@ -505,6 +505,18 @@ def test_near_duplicates_from_eight_tenths_on(spark, small):
     assert got == set(range(120)) | {1000 + k for k, s in same.items() if s < 0.8}
 
 
+def test_near_duplicates_keep_one_row_of_each_group_whatever_its_ids(spark, small):
+    import corpus_pipeline
+
+    a, b, c, d = ([f"{x}{k}" for k in range(200)] for x in "abcd")
+    near = lambda w: [*w[:199], "end"]
+    rows = [(2, a), (5, a), (5, b), (9, b), (11, c), (11, near(c)), (None, d), (None, d), (None, near(d)), (None, near(a)), (None, ["alone"]), (12, [])]
+    table = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], DOCS)
+    got = corpus_pipeline.near_duplicates(spark, table, small).collect()
+    assert Counter((r.doc_id, (r.text or "-")[:1]) for r in got) == Counter([(2, "a"), (5, "b"), (11, "c"), (None, "d"), (None, "a"), (12, "-")])
+    assert ["alone"] == [r.text for r in got if r.doc_id is None and r.text[0] == "a"]
+
+
 def test_stages_take_odd_rows(spark, odd, small):
     import corpus_pipeline
 
