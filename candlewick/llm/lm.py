@@ -12,10 +12,11 @@ P = (c + 1) / (n + v + 1) from corpus counts: c of the word, n tokens and v word
 have a share. The state is a gated recurrent unit's. In scoring, a chunk's documents run side by side and every
 document's state is carried across windows of WINDOW tokens to its end.
 
-Training, in numpy by truncated backpropagation with Adam: first on WARM documents on the driver, then every
-training document of the corpus gives a run of 2 * WINDOW tokens at a place that its hash names (state carried
-from the first window to the second) to one of TRAINERS workers, each starting from the warm weights, and their
-averages, weighted by tokens, are the model. So weights, counts, classes and lists all follow the whole corpus.
+Training, in numpy by truncated backpropagation with Adam: first on runs of 2 * WINDOW tokens of about WARM
+documents on the driver, then on every token of every training document: each goes whole to one of TRAINERS
+workers, which start from the warm weights and read LANES documents side by side, window after window, the state
+carried from a document's start to its end. Their averages, weighted by tokens, are the model. So weights, counts,
+classes and lists all follow the whole corpus.
 
 Defined cases: null text counts as empty (the end token only); rows with null doc_id hash as the empty text;
 repeated rows train and score each time; whole texts count, however long; without training documents every
@@ -278,13 +279,17 @@ def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np
 
 
 def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, cls: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Loss gradient of one window (time x lanes), truncated at its start; the state at its end; summed loss."""
+    """Loss gradient of one window (time x lanes), truncated at its start; the state at its end; summed loss.
+
+    The input 0 only comes first in a document, so it starts from a zero state.
+    """
     steps, lanes = inputs.shape
     x = p["E"][inputs]
     xw = x @ p["W"] + p["b"]
     states, kept = [], []
+    carried = (inputs > 0).astype(h.dtype)[:, :, None]
     for t in range(steps):
-        h, memo = step(p, xw[t], h)
+        h, memo = step(p, xw[t], h * carried[t])
         states.append(h)
         kept.append(memo)
     k = h.shape[1]
@@ -322,7 +327,7 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
         g["U"][:, 2 * k :] += rh.T @ da_c
         g["U"][:, : 2 * k] += before.T @ np.concatenate([da_z, da_r], axis=1)
         dx[t] = np.concatenate([da_z, da_r, da_c], axis=1)
-        dh = dh * (1 - z) + drh * r + da_z @ p["U"][:, :k].T + da_r @ p["U"][:, k : 2 * k].T
+        dh = (dh * (1 - z) + drh * r + da_z @ p["U"][:, :k].T + da_r @ p["U"][:, k : 2 * k].T) * carried[t]
     dx = dx.reshape(-1, 3 * k)
     g["W"], g["b"] = x.reshape(-1, x.shape[2]).T @ dx, dx.sum(axis=0)
     np.add.at(g["E"], inputs.reshape(-1), dx @ p["W"].T)
@@ -366,6 +371,51 @@ def train(opt: Adam, runs: np.ndarray, cls: np.ndarray, rate: float) -> int:
     return tokens
 
 
+def windows(docs):
+    """Targets (WINDOW + 1 x LANES; row 0: the inputs before) that hold all symbols of docs and an end each; -1: none.
+
+    A lane reads one document to its end, then the next one that no lane has read, so few lanes stand empty
+    before the last documents.
+    """
+    docs = iter(docs)
+    rest, now = [np.zeros(0, np.int32)] * LANES, np.zeros((LANES, WINDOW + 1), np.int32)
+    while True:
+        now[:, 0] = np.maximum(now[:, -1], 0)
+        now[:, 1:] = -1
+        for k in range(LANES):
+            at = 1
+            while at <= WINDOW:
+                if not len(rest[k]):
+                    fresh = next(docs, None)
+                    if fresh is None:
+                        break
+                    rest[k] = np.append(fresh, 0)
+                n = min(len(rest[k]), WINDOW + 1 - at)
+                now[k, at : at + n] = rest[k][:n]
+                rest[k] = rest[k][n:]
+                at += n
+        if not (now[:, 1] >= 0).any():
+            return
+        yield now.T
+
+
+def train_whole(opt: Adam, docs, cls: np.ndarray, rate: float) -> tuple[int, float]:
+    """One turn over all symbols of docs, each document's state carried to its end; the tokens learnt and their loss.
+
+    A window that is not full of tokens counts by its share of them.
+    """
+    tokens, total = 0, 0.0
+    h = np.zeros((LANES, opt.p["U"].shape[0]), np.float32)
+    for lane in windows(docs):
+        live = np.flatnonzero(lane[1] >= 0)
+        goal = lane[1:, live]
+        mask = goal >= 0
+        g, h[live], loss = window_gradient(opt.p, np.maximum(lane[:-1, live], 0), np.maximum(goal, 0), mask, h[live], cls)
+        opt.turn(g, rate * float(mask.mean()) * len(live) / LANES)
+        tokens, total = tokens + int(mask.sum()), total + loss
+    return tokens, total
+
+
 def runs_of(symbols: np.ndarray, words: np.ndarray, train_: np.ndarray, salt: int) -> np.ndarray:
     """A run of each training document's symbols: start mark first, the end last if the run reaches it."""
     out, at = np.full((int(train_.sum()), 2 * WINDOW + 1), -1, np.int32), 0
@@ -408,37 +458,55 @@ def fit(chunks: DataFrame, words: Words, train_docs: int) -> dict[str, np.ndarra
     known = spark.sparkContext.broadcast(words)  # bounded: LISTED words, 65,536 endings
     share = min(1.0, WARM / train_docs)
 
+    def symbols(batch):
+        """Chunk, symbols of its words, words of each document, whether it trains."""
+        for chunk, tokens, uniq, ending, n, t in zip(*(batch.column(k) for k in ("chunk", "tokens", "uniq", "ending", "words", "train")), strict=True):
+            n, t = np.frombuffer(n.as_py(), "<u4").astype(np.int64), np.frombuffer(t.as_py(), np.uint8) > 0
+            yield chunk.as_py(), known.value.symbol_of(np.frombuffer(uniq.as_py(), "<u8"), np.frombuffer(ending.as_py(), "<u2"))[unsqueezed(tokens.as_py(), int(n.sum()))], n, t
+
     def extract(batches):
-        """Runs by use: 1 warm, 2 for the workers. Only these short runs are dealt out, not the chunks."""
         for batch in batches:
-            for chunk, tokens, uniq, ending, n, t in zip(*(batch.column(k) for k in ("chunk", "tokens", "uniq", "ending", "words", "train")), strict=True):
-                chunk, n, t = chunk.as_py(), np.frombuffer(n.as_py(), "<u4").astype(np.int64), np.frombuffer(t.as_py(), np.uint8) > 0
-                sym = known.value.symbol_of(np.frombuffer(uniq.as_py(), "<u8"), np.frombuffer(ending.as_py(), "<u2"))[unsqueezed(tokens.as_py(), int(n.sum()))]
-                first, full = (runs_of(sym, n, t, salt) for salt in (1, 2))
-                first = first[np.random.default_rng([4, chunk]).random(len(first)) < share]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * 2, pa.int64()), pa.array([1, 2], pa.int32()), pa.array([x.astype("<i2").tobytes() for x in (first, full)])], names=["chunk", "use", "runs"])
-
-    runs = written(chunks.select("chunk", "tokens", "uniq", "ending", "words", "train").mapInArrow(extract, "chunk long, use int, runs binary").where("length(runs) > 0"), "runs")
+            for chunk, sym, n, t in symbols(batch):
+                runs = runs_of(sym, n, t, 1)
+                runs = runs[np.random.default_rng([4, chunk]).random(len(runs)) < share]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([runs.astype("<i2").tobytes()])], names=["chunk", "runs"])
+
+    def whole(batches):
+        """All training documents' symbols, two bytes each before compression: what is dealt out of a chunk."""
+        for batch in batches:
+            for chunk, sym, n, t in symbols(batch):
+                own = sym[np.repeat(t, n)].astype("<i2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([n[t].astype("<u4").tobytes()]), pa.array([pa.compress(own, "zstd", asbytes=True)])], names=["chunk", "words", "symbols"])
+
+    source = chunks.select("chunk", "tokens", "uniq", "ending", "words", "train")
+    runs = source.mapInArrow(extract, "chunk long, runs binary").where("length(runs) > 0")
     array = lambda blobs: np.concatenate([np.frombuffer(x, "<i2") for x in blobs] or [np.zeros(0, "<i2")]).astype(np.int32).reshape(-1, 2 * WINDOW + 1)
-    warm = array(r.runs for r in sorted(runs.where("use = 1").collect()))  # about WARM runs
+    warm = array(r.runs for r in sorted(runs.collect()))  # about WARM runs
     opt, rng = Adam(p), np.random.default_rng(5)
     for k in range(WARM_EPOCHS):
         train(opt, warm[rng.permutation(len(warm))], cls, RATE / (1 + k))
     first = spark.sparkContext.broadcast(packed(opt.p))
     shape = {k: v.shape for k, v in p.items()}
 
+    def documents(batches):
+        for batch in batches:
+            for n, data in zip(batch.column("words"), batch.column("symbols"), strict=True):
+                n = np.frombuffer(n.as_py(), "<u4").astype(np.int64)
+                yield from np.split(np.frombuffer(pa.decompress(data.as_py(), 2 * int(n.sum()), "zstd", asbytes=True), "<i2"), np.cumsum(n)[:-1])
+
     def local(batches):
         like = {k: np.zeros(s, np.float32) for k, s in shape.items()}
-        mine, tokens = Adam(unpacked(first.value, like)), 0
-        for batch in batches:
-            tokens += train(mine, array(x.as_py() for x in batch.column("runs")), cls, RATE / 5)
+        mine = Adam(unpacked(first.value, like))
+        tokens, _ = train_whole(mine, documents(batches), cls, RATE / 5)
         yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([packed(mine.p)])], names=["tokens", "weights"])
 
-    dealt = runs.where("use = 2").select("chunk", "runs").repartition(TRAINERS, "chunk").sortWithinPartitions("chunk")
+    dealt = source.mapInArrow(whole, "chunk long, words binary, symbols binary").where("length(words) > 0").repartition(TRAINERS, "chunk").sortWithinPartitions("chunk")
     got = dealt.mapInArrow(local, "tokens long, weights binary").where("tokens > 0").collect()  # TRAINERS rows of one model each
     if not got:
         return opt.p
     total = sum(r.tokens for r in got)
+    if total != words.n:
+        raise RuntimeError(f"{total} of {words.n} training tokens were learnt from")
     mean = sum(np.frombuffer(bytes(r.weights), "<f4").astype(np.float64) * (r.tokens / total) for r in sorted(got))
     return unpacked(mean, p)
 

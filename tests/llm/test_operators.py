@@ -204,6 +204,21 @@ def test_gradient():
         assert (loss(up) - loss(down)) / 2e-5 == pytest.approx(g[k][at], rel=1e-2)
 
 
+def test_training_reads_every_token_with_the_state_carried_on():
+    words, p = small_model()
+    rng = np.random.default_rng(2)
+    n = np.concatenate([[0, 1, 31, 32, 33, 64, 5000], rng.integers(0, 200, 400)])
+    sym = rng.integers(1, words.symbols, n.sum())
+    cls = words.class_of(np.arange(words.symbols))
+    docs = np.split(sym, np.cumsum(n)[:-1])
+    tokens, loss = lm.train_whole(lm.Adam(p), docs, cls, 0.0)
+    assert tokens == n.sum() + len(n)
+    assert loss == pytest.approx(-lm.log_scores(p, words, sym, n).sum(), rel=1e-4)
+    opt = lm.Adam(p)
+    lm.train_whole(opt, docs, cls, 0.002)
+    assert lm.train_whole(lm.Adam(opt.p), docs, cls, 0.0)[1] < loss
+
+
 def test_language_model_of_odd_rows(odd, empty):
     got = lm.op4(odd).collect()
     assert len(got) == odd.count() and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
