@@ -3,9 +3,10 @@
 A line's level is the number of its leading `>` marks. Lines of one level in a row form a passage; an
 attribution line ("... wrote:", "... schrieb:", "... a écrit :", "... escribió:") right before a quote goes with
 it. Passages are normalised (lower case, runs of white space as one space, trimmed) and hashed. Every message offers the
-same hashes of its own, unquoted text: whole, by paragraph and by line. A quoted passage links to the latest
-earlier message of its conversation that offers its hash; a message's parent is the latest one that its
-level-1 passages link to. Ancestors are found by pointer doubling, and each conversation comes in reply order:
+same hashes of its own, unquoted text: whole, each run of it between quotes, by paragraph and by line. A quoted
+passage links to the latest earlier message of its conversation that offers its hash; one that no message offers
+whole (a trimmed quote) links to the latest that offers each of its paragraphs, or else each of its lines. A
+message's parent is the latest one that its level-1 passages link to. Ancestors are found by pointer doubling, and each conversation comes in reply order:
 by the thread's first turn, then depth, then turn.
 
 A position is counted in chunks of turns (their sizes first, then within a chunk), so no task orders a whole
@@ -48,29 +49,61 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, key, own_text and quoted (level, hash) of every message.
+    """conv_id, turn, role, key, own_text, own_runs and quoted (level, hash, parts) of every message.
+
+    parts: the hashes of a passage whole, of its paragraphs and of its lines, each a set.
 
     key stands for (conv_id, turn, role, text), so repeated rows share it.
     """
     key = F.md5(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}))
     rows = passages(messages.select("conv_id", "turn", "role", "text")).withColumn("key", key)
+    own_runs = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"])
     own = F.trim(F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"]), "\n"))
-    quoted = F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), digest(normal(r["body"])).alias("hash")))
-    return rows.select("conv_id", "turn", "role", "key", own.alias("own_text"), quoted.alias("quoted"))
+    cut = lambda body, at: F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(body, at), lambda x: digest(normal(x))))))
+    parts = lambda body: F.array(F.array_compact(F.array(digest(normal(body)))), cut(body, r"\n\s*\n"), cut(body, r"\n"))
+    quoted = F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), digest(normal(r["body"])).alias("hash"), parts(r["body"]).alias("parts")))
+    return rows.select("conv_id", "turn", "role", "key", own.alias("own_text"), own_runs.alias("own_runs"), quoted.alias("quoted"))
+
+
+def found(offer: DataFrame, ask: DataFrame) -> DataFrame:
+    """conv_id, turn, key, level, hash, to_turn of the passages that link: whole, or by paragraphs, or by lines.
+
+    A passage's parts agree on the latest earlier turn that offers all of them: the latest turn of each part is a
+    bound, and while the parts' bounds differ, each part is asked again for the latest turn up to the least one.
+    """
+    passage = ["conv_id", "turn", "key", "level", "hash"]
+    wanted = ask.select(*passage, F.posexplode("parts").alias("way", "hashes")).where("size(hashes) > 0")
+    wanted = wanted.withColumns({"n": F.size("hashes"), "upto": F.col("turn")})
+    left, done = written(wanted.select(*passage, "way", "n", "upto", F.explode("hashes").alias("part")), "asked"), None
+    while True:
+        # the latest earlier offer: both sides in one ordered run a hash, so a hash that all messages share makes no pairs
+        cells = F.struct(*passage, "way", "n").alias("ask")
+        want = left.select("conv_id", F.col("part"), F.col("upto").alias("at"), F.lit(0).alias("side"), cells)
+        give = offer.join(left.select("conv_id", F.col("part").alias("hash")).distinct(), ["conv_id", "hash"], "left_semi")
+        run = want.unionByName(give.select("conv_id", F.col("hash").alias("part"), F.col("from_turn").alias("at"), F.lit(1).alias("side")), allowMissingColumns=True)
+        w = Window.partitionBy("conv_id", "part").orderBy(F.struct("at", "side")).rowsBetween(Window.unboundedPreceding, -1)
+        met = run.withColumn("last", F.max(F.when(F.col("side") == 1, F.col("at"))).over(w)).where("side = 0 and last is not null").select("ask.*", "part", "last")
+        met = written(met, "met")
+        each = met.groupBy(*passage, "way", "n").agg(F.count("*").alias("m"), F.min("last").alias("lo"), F.max("last").alias("hi")).where("m = n")
+        each = written(each, "bounds")
+        linked_now = each.where("lo = hi").select(*passage, "way", F.col("lo").alias("to_turn"))
+        done = linked_now if done is None else done.unionByName(linked_now)
+        again = each.where("lo < hi").select(*passage, "way", (F.col("lo") + 1).alias("upto"))
+        if not again.limit(1).count():
+            break
+        left = written(met.join(again, [*passage, "way"]).select(*passage, "way", "n", "upto", "part"), "asked")
+    best = done.groupBy(*passage).agg(F.min_by("to_turn", "way").alias("to_turn"))
+    return best
 
 
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quotes, n_linked, parent_turn, root_turn, depth, position."""
     rows = written(linked(messages), "messages")
-    units = F.array_distinct(F.concat(F.array(F.col("own_text")), F.split("own_text", r"\n\s*\n"), F.split("own_text", r"\n")))
+    cut = F.flatten(F.transform("own_runs", lambda r: F.split(r, r"\n\s*\n")))
+    units = F.array_distinct(F.concat(F.array(F.col("own_text")), F.col("own_runs"), F.split("own_text", r"\n\s*\n"), cut, F.split("own_text", r"\n")))
     offer = rows.where("conv_id is not null and turn is not null and own_text <> ''").select("conv_id", F.col("turn").alias("from_turn"), F.explode(F.transform(units, lambda u: digest(normal(u)))).alias("hash")).where("hash is not null").distinct()
-    ask = rows.where("conv_id is not null and turn is not null and size(quoted) > 0").select("conv_id", "turn", "key", F.explode("quoted").alias("q")).select("conv_id", "turn", "key", "q.level", "q.hash").where("hash is not null").distinct()
-    # the latest earlier offer: both sides in one ordered run a hash, so a hash that all messages share makes no pairs
-    at = F.struct("turn", "side")
-    run = offer.select("conv_id", "hash", F.col("from_turn").alias("turn"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("level")).unionByName(ask.select("conv_id", "hash", "turn", F.lit(0).alias("side"), "key", "level"))
-    asked = run.join(ask.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
-    w = Window.partitionBy("conv_id", "hash").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    hit = asked.withColumn("to_turn", F.max(F.when(F.col("side") == 1, F.col("turn"))).over(w)).where("side = 0 and to_turn is not null")
+    ask = rows.where("conv_id is not null and turn is not null and size(quoted) > 0").select("conv_id", "turn", "key", F.explode("quoted").alias("q")).select("conv_id", "turn", "key", "q.level", "q.hash", "q.parts").where("hash is not null").distinct()
+    hit = found(offer, ask)
     parent = hit.groupBy("key").agg(F.max(F.when(F.col("level") == 1, F.col("to_turn"))).alias("parent_turn"), F.count("*").alias("n_linked"))
     nodes = written(rows.join(parent, "key", "left").select("conv_id", "turn", "role", "key", "own_text", F.size("quoted").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn"), "nodes")
     # a turn's parent, root and depth; several messages of a turn count as the one with the latest parent

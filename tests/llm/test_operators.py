@@ -145,6 +145,23 @@ def test_long_reply_chains(spark):
     assert [(r.turn, r.depth, r.root_turn) for r in got] == [(i, i, 0) for i in range(40)]
 
 
+def test_replies_between_quotes_and_trimmed_quotes_link(spark):
+    quote = lambda t: "\n".join(f"> {x}" for x in t.split("\n"))
+    rows = [
+        (1, 0, "first one\nsecond one\nthird one\n\nnew para"),
+        (1, 1, "a\nb\n> first one\nc\nd"),
+        (1, 2, f"{quote('a' + chr(10) + 'b')}\nyes\n{quote('c' + chr(10) + 'd')}\nno"),
+        (1, 3, "> first one\n> second one\ntwo of three lines"),
+        (1, 4, "second one\nthis here"),
+        (1, 5, "> second one\n> third one\nthe latest with both is turn 0"),
+        (1, 6, "> second one\n> this here\n> third one\nno turn has all of it"),
+        (1, 7, "p one\np two\n\nq one\nq two\n\nr one\nr two"),
+        (1, 8, "> p one\n> p two\n>\n> r one\n> r two\ntwo of three paragraphs"),
+    ]
+    got = quotes.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [(r.turn, r.n_linked, r.parent_turn) for r in got] == [(0, 0, None), (1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 0, None), (5, 1, 0), (6, 0, None), (7, 0, None), (8, 1, 7)]
+
+
 # -- 4: language model -----------------------------------------------------------------------
 
 
