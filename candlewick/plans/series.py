@@ -408,7 +408,10 @@ def stream_ohlcv(spark, d):
     rows = _event_stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.col("value").alias("price"))
     path = _scratch(spark)
     done = run_to_end(bars(rows, "1 hour", "0 seconds"), f"{path}/rows", f"{path}/state")
-    return done.unionByName(hourly(spark, d).join(done.select("symbol", "bucket"), ["symbol", "bucket"], "left_anti").select(*done.columns))
+    # the last watermark is the latest tick: the stream alone answers for bars that end by then
+    last = ticks(spark, d).agg(F.max("ts").alias("last"))
+    still = hourly(spark, d).crossJoin(F.broadcast(last)).where(F.col("bucket") + HOUR > F.col("last"))
+    return done.unionByName(still.select(*done.columns))
 
 
 # -- partitions and stored bars --------------------------------------------------------------

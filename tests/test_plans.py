@@ -32,3 +32,14 @@ def test_pushdown_and_group_limit(spark, small):
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,50.0)]" in scan and "ReadSchema: struct<event_id:bigint,value:double>" in scan
     assert "WindowGroupLimit" in plan(QUERIES["top1_per_group"](spark, small))
     assert "TakeOrderedAndProject" in plan(QUERIES["top_k"](spark, small))
+
+
+def test_stream_ohlcv_shows_closed_bars_that_the_stream_lost(spark, small, monkeypatch):
+    from candlewick.streaming import indicators
+
+    bars = indicators.stream_ohlcv
+    run = __spark_entry__.queries()["stream_ohlcv"]
+    n = __spark_entry__.queries()["ohlcv"](spark, small).where("symbol = 'click'").count()
+    assert run(spark, small).where("symbol = 'click'").count() == n
+    monkeypatch.setattr(indicators, "stream_ohlcv", lambda *a: bars(*a).where("symbol <> 'click'"))
+    assert run(spark, small).where("symbol = 'click'").count() <= 1 < n
