@@ -2,13 +2,17 @@
 
 The tokenizer file gives vocabulary, merges, the split pattern and the special tokens. White space
 always separates tokens, so a text's ids are the ids of its white-space-delimited words in order, and
-each distinct word needs encoding once. The distinct pieces of a batch go into a trie; a depth-first
-walk carries, for every prefix, the last token of that prefix's own encoding. The last token t of a
-longer prefix is the one suffix token whose predecessor state accepts it: BPE of the two tokens side by
-side is those two tokens. So an encoding of a shared prefix is computed once for all words below it.
+each distinct word needs encoding once. The distinct pieces go in sorted order, which is depth first, into
+a trie that a worker keeps; every new node takes, from the nodes above it, the last token of that prefix's
+own encoding. The last token t of a longer prefix is the longest suffix token whose predecessor state accepts
+it: BPE of the two tokens side by side is those two tokens. The tokens that are suffixes of a prefix stand in
+a chain, built once from the vocabulary: the longest part of a token that ends the prefix follows from the
+parent's, and each such part names the tokens that end it. So a shared prefix is encoded once for all words
+below it, whatever batch they come from.
 
 Defined cases: null text counts as empty (no ids, the hash of nothing); any text length is taken whole;
-rows are independent, so ties, repeated rows and extra columns do not matter; an empty table gives none.
+rows are independent, so ties, repeated rows and extra columns do not matter; an empty table gives none. A
+tokenizer file whose normaliser or pre-tokeniser is of another shape raises ValueError.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from collections.abc import Iterator
 
 import regex
 
-#: Distinct words kept by a worker between batches; beyond that the cache starts anew.
-CACHE_WORDS = 200_000
+#: Distinct words in each of the two generations of a worker's cache, trie nodes and token pairs that it keeps.
+CACHE_WORDS, NODES, PAIRS = 400_000, 1_500_000, 3_000_000
+#: The normaliser and pre-tokeniser this reader knows.
+NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 #: Code points that str.split() takes for white space and Unicode does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -37,15 +43,17 @@ def byte_symbols() -> list[str]:
     return out
 
 
-class Node:
-    """A prefix: children by symbol, the last token of its encoding, and whether a word ends here."""
-
-    __slots__ = ("ends", "kids", "last")
-
-    def __init__(self) -> None:
-        self.kids: dict[str, Node] = {}
-        self.last = -1
-        self.ends = False
+def checked(spec: dict) -> str:
+    """The split pattern of a tokenizer file, if its normaliser and pre-tokeniser are those that this reader follows."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in norm.get("normalizers", [])]
+    cuts = pre.get("pretokenizers", [])
+    if steps != NORMALIZERS or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        raise ValueError("a normaliser or pre-tokeniser of another kind")
+    split, level = cuts
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        raise ValueError("a pre-tokeniser of another kind")
+    return split["pattern"]["Regex"]
 
 
 class TrieBPE:
@@ -63,17 +71,19 @@ class TrieBPE:
         self.parts = {t: (r, a, b) for (a, b), (r, t) in reversed(self.rank.items())}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(checked(spec))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.symbols = byte_symbols()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.length = {i: len(t) for i, t in self.token.items()}
+        self.name = {i: str(i) for i in self.token}
+        self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        #: word -> its ids, and its tokens, joined by spaces
+        #: word -> its ids, and its tokens, joined by spaces; words of the generation before
         self.ids_of: dict[str, str] = {}
         self.tokens_of: dict[str, str] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self.chains()
+        self.plant()
 
     @staticmethod
     def joined(a: str, b: str) -> str:
@@ -87,9 +97,11 @@ class TrieBPE:
         Undo the merges of both in turn, latest first; a merge across the border that ranks before the
         later of the merges still standing there would have happened first, so the pair could not arise.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             known = self.fits[key] = self._apart(left, right)
         return known
 
@@ -138,88 +150,146 @@ class TrieBPE:
             ids = out
         return ids
 
+    # -- suffix tokens -----------------------------------------------------------------------
+
+    def chains(self) -> None:
+        """Number the parts of tokens (their prefixes): child by part and symbol, and the tokens that end each part.
+
+        open_[part] and shut[part]: (token, its length) of the tokens without and with the end mark that are
+        suffixes of the part, longest first; fall[part]: its longest proper suffix that is a part.
+        """
+        self.child: dict[int, int] = {}
+        self.fall, self.open_, self.shut = [0], [()], [()]
+        own: list[tuple[int, int]] = [(-1, -1)]
+        depth = [0]
+        above: list[tuple[int, int]] = [(0, 0)]  # parent and symbol of each part
+        for text, token in self.vocab.items():
+            ends = bool(self.suffix) and text.endswith(self.suffix) and text != self.suffix
+            at = 0
+            for ch in text.removesuffix(self.suffix) if ends else text:
+                key = at << 10 | ord(ch)
+                nxt = self.child.get(key)
+                if nxt is None:
+                    nxt = self.child[key] = len(own)
+                    own.append((-1, -1))
+                    depth.append(depth[at] + 1)
+                    above.append((at, ord(ch)))
+                at = nxt
+            own[at] = (own[at][0], token) if ends else (token, own[at][1])
+        n = len(own)
+        self.fall, self.open_, self.shut = [0] * n, [()] * n, [()] * n
+        for k in sorted(range(1, n), key=depth.__getitem__):
+            parent, ch = above[k]
+            low = self.step(self.fall[parent], ch) if parent else 0
+            self.fall[k] = low
+            for mine, chain in zip(own[k], (self.open_, self.shut), strict=True):
+                chain[k] = ((mine, depth[k]), *chain[low]) if mine >= 0 else chain[low]
+
+    def step(self, part: int, ch: int) -> int:
+        """The longest part of a token that ends a text whose end was `part`, after one more symbol."""
+        while True:
+            nxt = self.child.get(part << 10 | ch)
+            if nxt is not None:
+                return nxt
+            if not part:
+                return 0
+            part = self.fall[part]
+
     # -- the trie ----------------------------------------------------------------------------
 
-    def last_token(self, text: str, states: list[int], end: str) -> int:
-        """Last token of the encoding of text; states[j] is that of its prefix of j symbols."""
-        n, get = len(text), self.vocab.get
-        for j in range(max(0, n - self.longest), n):
-            token = get(text[j:] + end)
-            if token is not None and (self.apart(states[j], token) if j else self.alone(token)):
-                return token
+    def plant(self) -> None:
+        """An empty trie: child by node and symbol; each node's last token and ending part."""
+        self.kids: dict[int, int] = {}
+        self.last, self.part = [-1], [0]
+
+    def last_token(self, chain: tuple, depth: int, states: list[int]) -> tuple[int, int]:
+        """The last token, and its length, of a text of depth symbols; states[j] is that of its first j symbols."""
+        for token, n in chain:
+            if self.apart(states[depth - n], token) if n < depth else self.alone(token):
+                return token, n
         raise ValueError("the vocabulary lacks a symbol")
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode distinct pieces (symbol strings): into a trie, then depth first."""
-        root = Node()
-        for piece in pieces:
-            node = root
-            for ch in piece:
-                kid = node.kids.get(ch)
+    def learn(self, pieces: set[str]) -> dict[str, list[int]]:
+        """The ids of distinct pieces (symbol strings), which go into the trie depth first."""
+        if len(self.last) > NODES:
+            self.plant()
+        kids, last, part, length, out = self.kids, self.last, self.part, self.length, {}
+        chain = self.shut if self.suffix else self.open_
+        path, states, before = [0], [-1], ""
+        for piece in sorted(pieces):
+            k = 0
+            for a, b in zip(piece, before, strict=False):
+                if a != b:
+                    break
+                k += 1
+            del path[k + 1 :], states[k + 1 :]
+            node = path[k]
+            for ch in map(ord, piece[k:]):
+                key = node << 10 | ch
+                kid = kids.get(key)
                 if kid is None:
-                    kid = node.kids[ch] = Node()
+                    end = self.step(part[node], ch)
+                    kid = kids[key] = len(last)
+                    last.append(self.last_token(self.open_[end], len(path), states)[0])
+                    part.append(end)
                 node = kid
-            node.ends = True
-        states = [-1]
-        todo = [(root, "")]
-        while todo:
-            node, prefix = todo.pop()
-            depth = len(prefix)
-            if depth:
-                del states[depth:]
-                if node.ends:
-                    self.pieces[prefix] = self.traced(prefix, states)
-                if not node.kids:
-                    continue
-                states.append(self.last_token(prefix, states, ""))
-            for ch, kid in node.kids.items():
-                todo.append((kid, prefix + ch))
-
-    def traced(self, piece: str, states: list[int]) -> tuple[int, ...]:
-        """All ids of a piece: its last token with the end mark, then backwards along the states."""
-        token = self.last_token(piece, states, self.suffix)
-        out, at = [token], len(piece) - len(self.token[token].removesuffix(self.suffix))
-        while at:
-            token = states[at]
-            out.append(token)
-            at -= len(self.token[token])
-        return tuple(reversed(out))
+                path.append(kid)
+                states.append(last[kid])
+            before = piece
+            token, n = self.last_token(chain[part[node]], len(piece), states)
+            ids, at = [token], len(piece) - n
+            while at:
+                token = states[at]
+                ids.append(token)
+                at -= length[token]
+            ids.reverse()
+            out[piece] = ids
+        return out
 
     # -- words and texts ---------------------------------------------------------------------
 
     def pieces_of(self, word: str) -> list[str]:
-        plain = unicodedata.normalize("NFC", word)
-        plain = plain.lower() if plain.isascii() else "".join(map(str.lower, plain))
-        symbols = self.symbols
-        return ["".join([symbols[b] for b in p.encode()]) for p in self.pattern.findall(plain)]
+        if word.isascii():
+            plain = word.lower()
+            if plain.isalpha():
+                return [plain]
+            found = self.pattern.findall(plain)
+            return found if plain.isprintable() else [p.translate(self.symbols) for p in found]  # visible bytes stand for themselves
+        plain = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+        return [p.encode().decode("latin-1").translate(self.symbols) for p in self.pattern.findall(plain)]
 
     def split(self, text: str) -> list[str]:
         return [w for w in SPACE.split(text) if w] if NOT_SPACE.search(text) else text.split()
 
-    def learn_words(self, words: set[str]) -> None:
-        """Make ids_of and tokens_of hold each word."""
+    def learn_words(self, words: set[str], marked: bool) -> None:
+        """Make ids_of and tokens_of hold each word; a full generation ages, and what is asked for again returns.
+
+        marked: a special token's string may occur.
+        """
         if len(self.ids_of) > CACHE_WORDS:
-            for cache in (self.ids_of, self.tokens_of, self.pieces, self.fits):
-                cache.clear()
+            self.older, self.ids_of, self.tokens_of = (self.ids_of, self.tokens_of), {}, {}
         new = words.difference(self.ids_of)
-        cut = {w: [(x in self.special, x if x in self.special else self.pieces_of(x)) for x in (self.cut.split(w) if self.cut and self.cut.search(w) else [w]) if x] for w in new}
-        self.learn({p for parts in cut.values() for special, ps in parts if not special for p in ps if p not in self.pieces})
-        token, known = self.token, self.pieces
-        for w, parts in cut.items():
-            ids: list[int] = []
-            for special, ps in parts:
-                if special:
-                    ids.append(self.special[ps])
-                else:
-                    for p in ps:
-                        ids += known[p]
-            self.ids_of[w] = " ".join(map(str, ids))
+        ids, tokens = self.older
+        back = new.intersection(ids)
+        for w in back:
+            self.ids_of[w], self.tokens_of[w] = ids[w], tokens[w]
+        new -= back
+        own = {w: self.pieces_of(w) for w in new if not (marked and self.cut.search(w))}
+        # a special token's string in a word is that token; what stands around it is cut as ever
+        mixed = {w: [x if x in self.special else self.pieces_of(x) for x in self.cut.split(w) if x] for w in new if w not in own}
+        known = self.learn({p for ps in own.values() for p in ps} | {p for parts in mixed.values() for ps in parts if isinstance(ps, list) for p in ps})
+        of = {w: known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for w, ps in own.items()}
+        of |= {w: [i for x in parts for i in ([self.special[x]] if isinstance(x, str) else [i for p in x for i in known[p]])] for w, parts in mixed.items()}
+        name, token = self.name, self.token
+        for w, ids in of.items():
+            self.ids_of[w] = " ".join([name[i] for i in ids])
             self.tokens_of[w] = " ".join([token[i] for i in ids])
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, ids joined by spaces, decoded text."""
         split = [self.split(t) for t in texts]
-        self.learn_words(set().union(*split) if split else set())
+        marked = any(s in t for s in self.special for t in texts)
+        self.learn_words(set().union(*split) if split else set(), marked)
         ids_of, tokens_of = self.ids_of.__getitem__, self.tokens_of.__getitem__
         for words in split:  # the pattern takes anything but white space, so every word has an id
             ids = " ".join(map(ids_of, words))
@@ -286,5 +356,3 @@ def encode_decode(df, tokenizer: str, text: str = "text", keep: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(work, f"{fields}, {extra}")
-
-

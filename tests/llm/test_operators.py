@@ -479,6 +479,21 @@ def test_bpe_equals_the_library(docs, odd, empty, tokenizer):
     assert tokenizer.decode(full.ids, skip_special_tokens=False) == full.decoded
 
 
+def test_bpe_keeps_words_over_generations_and_a_new_trie(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "NODES", 100)
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    enc, rng = bpe.TrieBPE(TOKENIZER), np.random.default_rng(6)
+    texts = [" ".join(f"w{k}ord's \x01\x7f{k}é" for k in rng.integers(0, 60, 30)) for _ in range(40)]
+    got = [r for t in texts for r in enc.encode_batch([t])]
+    assert [list(map(int, ids.split())) for _, ids, _ in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizer_shapes_are_refused():
+    with pytest.raises(ValueError):
+        bpe.TrieBPE(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_bpe_of_random_strings(tokenizer):
     from random import Random
 
