@@ -88,14 +88,17 @@ def test_perfect_hash(n):
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000, 600_000])
 def test_media_round_trip(n):
-    data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
-    stored = media.store(data)
-    wide, high, pixels = media.thumbnail(stored)
-    assert pixels.tobytes() == media.padded(data) and wide == 512 and high == 8 * len(media.padded(data)) // 64
-    frame, who, runs = next(media.images(stored))
-    if n <= 5000:
-        slow = media.blocks_one_by_one(runs[0], [who[0]], pixels.size, frame)[0]
-        assert np.array_equal(np.cumsum(slow) + 128, pixels.ravel())
+    rng = np.random.default_rng(n)
+    for data in (rng.integers(0, 256, n, dtype=np.uint8).tobytes(), bytes(rng.choice([*"some plain text, é".encode()], n).astype(np.uint8)), bytes(n)):
+        wide, high, pixels = media.thumbnail(media.store(data))
+        assert media.BYTES[pixels].tobytes() == media.padded(data) and wide == 512 and high == 8 * len(media.padded(data)) // 64
+    files = [media.store(bytes(rng.integers(0, 256, k, dtype=np.uint8))) for k in (n, 700, 0, 20_000)]
+    assert all(np.array_equal(a[2], media.thumbnail(f)[2]) for a, f in zip(media.thumbnails(files), files, strict=True))
+
+
+def test_levels_and_tables():
+    assert sorted(media.LEVELS) == list(range(256)) and (media.BYTES[media.LEVELS] == np.arange(256)).all()
+    assert all(sum(2.0**-k for k in p) <= 1 - 2.0 ** -max(p) for p in media.PROFILES)  # no code of ones only
 
 
 def bits_to_scan(bits):
@@ -103,20 +106,70 @@ def bits_to_scan(bits):
     return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
 
 
+DC, AC = {0: "00", 3: "01", 5: "10"}, {0x00: "0", 0x03: "10", 0xF0: "110"}
+
+
+def number(v, s):
+    return format(v if v > 0 else v + (1 << s) - 1, f"0{s}b") if s else ""
+
+
+def coded(d):
+    """A block of DC difference d, one long run of zeros and one AC coefficient."""
+    s = abs(d).bit_length()
+    return DC[s] + number(d, s) + AC[0xF0] + AC[0x03] + "101" + AC[0]
+
+
+def huffman(tc, codes):
+    return media.segment(0xC4, bytes([tc]) + bytes(sum(len(c) == n for c in codes.values()) for n in range(1, 17)) + bytes(codes))
+
+
+QUANT = media.segment(0xDB, b"\0" + b"\x08" * 64)
+COLOUR = [QUANT, media.segment(0xC0, b"\x08\0\x10\0\x20\3\1\x22\0\2\x11\0\3\x11\0"), huffman(0, DC), huffman(0x10, AC)]
+UNITS = [[5, -4, 20, 0, 7, -7], [-6, 0, 4, 0, 0, 0]]
+
+
 def test_general_decoder_reads_colour_with_ac_and_restarts():
     """Two units of 2 x 2 luminance and two chroma blocks, AC coefficients, a restart between the units."""
-    dc, ac = {0: "00", 3: "01", 5: "10"}, {0x00: "0", 0x03: "10", 0xF0: "110"}
-    number = lambda v, s: format(v if v > 0 else v + (1 << s) - 1, f"0{s}b") if s else ""
-    block = lambda d: dc[abs(d).bit_length()] + number(d, abs(d).bit_length()) + ac[0xF0] + ac[0x03] + "101" + ac[0]
-    units = [[5, -4, 20, 0, 7, -7], [-6, 0, 4, 0, 0, 0]]
-    scan = b"\xff\xd0".join(bits_to_scan("".join(map(block, u))) for u in units)
-    huff = lambda tc, codes: media.segment(0xC4, bytes([tc]) + bytes(sum(len(c) == n for c in codes.values()) for n in range(1, 17)) + bytes(codes))
-    body = [media.segment(0xDB, b"\0" + b"\x08" * 64), media.segment(0xC0, b"\x08\0\x10\0\x20\3\1\x22\0\2\x11\0\3\x11\0"), huff(0, dc), huff(0x10, ac), media.segment(0xDD, b"\0\1"), media.segment(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0")]
+    scan = b"\xff\xd0".join(bits_to_scan("".join(map(coded, u))) for u in UNITS)
+    body = [*COLOUR, media.segment(0xDD, b"\0\1"), media.segment(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0")]
     wide, high, pixels = media.thumbnail(b"\xff\xd8" + b"".join(body) + scan + b"\xff\xd9")
     assert (wide, high) == (32, 16)
     assert pixels.tolist() == [[133, 129, 122, 122], [149, 149, 126, 126]]
 
 
+def test_one_scan_a_component_and_fill_bytes():
+    """The luminance comes first, then the chroma scans under other tables; fill bytes before markers."""
+    scans = [(1, [5, -4, 20, 0, -6, 0, 4, 0]), (2, [7, 0]), (3, [-7, 0])]
+    other = {0: "1", 3: "01", 5: "001"}
+    data = b"\xff\xd8" + b"\xff\xff\xff".join([b"", *(x[1:] for x in COLOUR)])
+    for part, diffs in scans:
+        if part == 2:
+            data += b"\xff\xff" + huffman(0, {k: other[k] for k in sorted(other, key=lambda k: len(other[k]))})[1:]
+        bits = "".join(coded(d) if part == 1 else other[abs(d).bit_length()] + number(d, abs(d).bit_length()) + AC[0] for d in diffs)
+        data += media.segment(0xDA, bytes([1, part, 0, 0, 0x3F, 0])) + bits_to_scan(bits)
+    assert media.thumbnail(data + b"\xff\xff\xd9")[2].tolist() == [[133, 129, 149, 149], [143, 143, 147, 147]]
+
+
+@pytest.mark.parametrize("broken", ["flip", "short", "precision", "progressive", "no code", "left over"])
+def test_broken_files_are_refused(broken):
+    scan = b"\xff\xd0".join(bits_to_scan("".join(map(coded, u))) for u in UNITS)
+    body = b"".join([*COLOUR, media.segment(0xDD, b"\0\1"), media.segment(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0")])
+    if broken == "flip":
+        scan = scan[:1] + bytes([scan[1] ^ 0xFE]) + scan[2:]
+    elif broken == "short":
+        scan = scan[:-6]
+    elif broken == "precision":
+        body = body.replace(b"\xff\xc0\0\x11\x08", b"\xff\xc0\0\x11\x0c")
+    elif broken == "progressive":
+        body = body.replace(b"\xff\xc0", b"\xff\xc2")
+    elif broken == "no code":
+        scan = b"\xfe" * len(scan)
+    elif broken == "left over":
+        scan += b"\0\0\0"
+    with pytest.raises(ValueError):
+        media.thumbnail(b"\xff\xd8" + body + scan + b"\xff\xd9")
+
+
 def test_media_query(odd, empty):
     for r in media.op2(odd.select("doc_id", "text")).join(odd.select("doc_id", "text").distinct(), "doc_id").where("doc_id <> 3").collect():
         raw = (r.text or "").encode()
