@@ -3,7 +3,8 @@
 Texts are tokenised once: A-Z lower-cased, words between ASCII white space, one end token. Documents travel in
 chunks of CHUNK bytes of text; a chunk has its distinct words as 64-bit hashes and every token as an index into
 them. Counts over all training documents come from the chunks' distinct words, dealt by hash into parts of a
-bounded size; each part answers every chunk with the counts of its words.
+bounded size; each part answers every chunk with the counts of its words. Beyond SHELF chunks, a part's chunks are
+merged by shelf first, so a word that every chunk has does not fill its part.
 
 Model. The LISTED most frequent words have places of their own, grouped by rank into classes of MEMBERS; the
 other words fall into classes by their last two bytes, the SUFFIXES heaviest endings apart and the rest
@@ -13,14 +14,15 @@ have a share. The state is a gated recurrent unit's. In scoring, a chunk's docum
 document's state is carried across windows of WINDOW tokens to its end.
 
 Training, in numpy by truncated backpropagation with Adam: first on runs of 2 * WINDOW tokens of about WARM
-documents on the driver, then on every token of every training document: each goes whole to one of TRAINERS
-workers, which start from the warm weights and read LANES documents side by side, window after window, the state
-carried from a document's start to its end. Their averages, weighted by tokens, are the model. So weights, counts,
-classes and lists all follow the whole corpus.
+documents on the driver, then on every token of every training document: each goes whole to one of TRAINERS or more
+workers (one for each SHARE tokens of the corpus), which start from the warm weights and read LANES documents side
+by side, window after window, the state carried from a document's start to its end. Their averages, weighted by
+tokens and taken MERGED at a time, are the model. So weights, counts, classes and lists all follow the whole corpus.
 
 Defined cases: null text counts as empty (the end token only); rows with null doc_id hash as the empty text;
-repeated rows train and score each time; whole texts count, however long; without training documents every
-class is equally likely and base_score uses N = V = 0; an empty table gives none.
+repeated rows train and score each time; words of equal count are ranked by hash; whole texts count, however long;
+extra columns do not matter; without training documents every class is equally likely and base_score uses N = V = 0;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, ship_package, written
 
-CHUNK, PART = 4_000_000, 1_500_000  # bytes of text in a chunk; distinct (chunk, word) entries in a counting part
+CHUNK, PART, SHELF = 4_000_000, 1_500_000, 1000  # bytes of text in a chunk; distinct (chunk, word) entries in a counting part; chunks on a shelf
 LISTED, MEMBERS, SUFFIXES, HIDDEN = 1536, 48, 48, 24
-WINDOW, LANES, WARM, WARM_EPOCHS, TRAINERS, RATE = 32, 256, 4096, 4, 12, 0.01
+WINDOW, LANES, WARM, WARM_EPOCHS, TRAINERS, SHARE, RATE = 32, 256, 4096, 4, 12, 6_000_000, 0.01  # at least TRAINERS of at most about SHARE tokens
+MERGED = 32  # models averaged in one go
 CACHE_WORDS = 150_000
 LOG10 = float(np.log(10))
 
@@ -89,45 +92,45 @@ def chunked(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def row(part: int, number: int, ids, train: list[bool], texts: list[bytes]):
+    def row(part: int, number: int, ids, type_, train: list[bool], texts: list[bytes]):
         n, tokens, uniq, ending = hashed(texts)
         owner = np.repeat(np.asarray(train, bool), n)
         count = np.bincount(tokens[owner], minlength=len(uniq)).astype("<u4")
-        cells = [pa.array([part << 24 | number], pa.int64()), pa.array([ids], pa.list_(ids_type(kind))), pa.array([np.asarray(train, np.uint8).tobytes()]), pa.array([n.astype("<u4").tobytes()]), pa.array([squeezed(tokens)]), pa.array([uniq.astype("<u8").tobytes()]), pa.array([count.tobytes()]), pa.array([ending.astype("<u2").tobytes()])]
+        cells = [pa.array([part << 24 | number], pa.int64()), pa.array([ids], pa.list_(type_)), pa.array([np.asarray(train, np.uint8).tobytes()]), pa.array([n.astype("<u4").tobytes()]), pa.array([squeezed(tokens)]), pa.array([uniq.astype("<u8").tobytes()]), pa.array([count.tobytes()]), pa.array([ending.astype("<u2").tobytes()])]
         return pa.RecordBatch.from_arrays(cells, names=["chunk", "doc_ids", "train", "words", "tokens", "uniq", "count", "ending"])
 
     def work(batches):
-        part, number, held, ids, train, texts = TaskContext.get().partitionId(), 0, 0, [], [], []
+        part, number, held, ids, train, texts, type_ = TaskContext.get().partitionId(), 0, 0, [], [], [], None
         for batch in batches:
+            type_ = batch.column("doc_id").type
             for i, t, s in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "train", "text")), strict=True):
                 if held and held + len(s) > CHUNK:
-                    yield row(part, number, ids, train, texts)
+                    yield row(part, number, ids, type_, train, texts)
                     number, held, ids, train, texts = number + 1, 0, [], [], []
                 ids.append(i)
                 train.append(t)
                 texts.append(s)
                 held += len(s)
         if ids:
-            yield row(part, number, ids, train, texts)
+            yield row(part, number, ids, type_, train, texts)
 
     return docs.mapInArrow(work, f"chunk long, doc_ids array<{kind}>, train binary, words binary, tokens binary, uniq binary, count binary, ending binary")
 
 
-def ids_type(kind: str):
-    import pyarrow as pa
-
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+# -- counts ----------------------------------------------------------------------------------
 
 
-# -- counts ----------------------------------------------------------------------------------
+def blobs(rows, k: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in rows[k]]
 
 
-def counted(chunks: DataFrame, bits: int) -> DataFrame:
+def counted(chunks: DataFrame, bits: int, shelves: int = 1) -> DataFrame:
     """Merge the chunks' counts in 2 ** bits parts by hash.
 
     Rows with a chunk: part and counts of that chunk's words in the part, in order. A row without one a part:
     v, n (words with a count, their tokens), top (hash, c, ending of its most frequent words) and endings
-    (ending, v, n over all of its words).
+    (ending, v, n over all of its words). With several shelves, each part's chunks are merged by shelf first and the
+    totals go back the same way, so a word that every chunk has comes once a shelf, not once a chunk.
     """
     import pandas as pd
     import pyarrow as pa
@@ -140,21 +143,22 @@ def counted(chunks: DataFrame, bits: int) -> DataFrame:
                 at = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = [*at[1:].tolist(), len(u)]
                 spans = list(zip(at.tolist(), ends, strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([chunk.as_py()] * len(spans), pa.int64()), *(pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (u, c, e))], names=["part", "chunk", "u", "c", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([chunk.as_py()] * len(spans), pa.int64()), *(pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (u, c.astype("<u8"), e))], names=["part", "chunk", "u", "c", "e"])
+
+    def sums(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Words, counts and endings of all rows together, the place of every entry in them, and each row's entries."""
+        cells = blobs(rows, "u", "<u8")
+        uniq, first, back = np.unique(np.concatenate(cells), return_index=True, return_inverse=True)
+        return uniq, np.bincount(back, np.concatenate(blobs(rows, "c", "<u8"))).astype(np.int64), np.concatenate(blobs(rows, "e", "<u2"))[first], back, [len(x) for x in cells]
 
     def merge(key, rows):
-        cells = [[np.frombuffer(x, t) for x in rows[k]] for k, t in (("u", "<u8"), ("c", "<u4"), ("e", "<u2"))]
-        size = [len(x) for x in cells[0]]
-        u, c, e = map(np.concatenate, cells)
-        uniq, first, back = np.unique(u, return_index=True, return_inverse=True)
-        total = np.bincount(back, c).astype(np.int64)
+        uniq, total, ending, back, size = sums(rows)
         seen = total > 0
-        ending = e[first]
         best = np.lexsort((uniq, -total))[:LISTED]
         best = best[total[best] > 0]
         kinds, where = np.unique(ending[seen], return_inverse=True)
         by_kind = list(zip(kinds.tolist(), np.bincount(where, minlength=len(kinds)).tolist(), np.bincount(where, total[seen], len(kinds)).astype(np.int64).tolist(), strict=True))
-        out = {"part": int(key[0]), "chunk": [*rows["chunk"], None], "counts": [*(x.astype("<u4").tobytes() for x in np.split(total[back], np.cumsum(size)[:-1])), None]}
+        out = {"part": int(key[0]), "chunk": [*rows["chunk"], None], "counts": [*(x.astype("<u8").tobytes() for x in np.split(total[back], np.cumsum(size)[:-1])), None]}
         blank = [None] * len(size)
         out |= {"v": [*blank, int(seen.sum())], "n": [*blank, int(total.sum())], "top": [*blank, [{"h": int(uniq[i].astype(np.int64)), "c": int(total[i]), "e": int(ending[i])} for i in best]], "endings": [*blank, [{"e": k, "v": v, "n": n} for k, v, n in by_kind]]}
         frame = pd.DataFrame(out)
@@ -162,8 +166,24 @@ def counted(chunks: DataFrame, bits: int) -> DataFrame:
             frame[k] = frame[k].astype("Int64")
         return frame
 
-    cuts = chunks.select("chunk", "uniq", "count", "ending").mapInArrow(cut, "part int, chunk long, u binary, c binary, e binary")
-    return cuts.groupBy("part").applyInPandas(merge, "part int, chunk long, counts binary, v long, n long, top array<struct<h:long,c:long,e:int>>, endings array<struct<e:int,v:long,n:long>>")
+    def shelved(key, rows):
+        uniq, total, ending, _, _ = sums(rows)
+        return pd.DataFrame({"part": [int(key[0])], "chunk": [int(key[1])], "u": [uniq.tobytes()], "c": [total.astype("<u8").tobytes()], "e": [ending.astype("<u2").tobytes()]})
+
+    def returned(key, rows, answers):
+        _, _, _, back, size = sums(rows)
+        total = np.frombuffer(answers["counts"][0], "<u8")
+        return pd.DataFrame({"part": int(key[0]), "chunk": rows["chunk"], "counts": [x.tobytes() for x in np.split(total[back], np.cumsum(size)[:-1])]})
+
+    cells = "part int, chunk long, u binary, c binary, e binary"
+    answers = "part int, chunk long, counts binary, v long, n long, top array<struct<h:long,c:long,e:int>>, endings array<struct<e:int,v:long,n:long>>"
+    cuts = chunks.select("chunk", "uniq", "count", "ending").mapInArrow(cut, cells)
+    if shelves == 1:
+        return cuts.groupBy("part").applyInPandas(merge, answers)
+    shelf = F.pmod(F.xxhash64("chunk", F.lit(3)), F.lit(shelves)).alias("shelf")
+    total = written(cuts.groupBy("part", shelf).applyInPandas(shelved, cells).groupBy("part").applyInPandas(merge, answers), "shelves")
+    own = cuts.groupBy("part", shelf).cogroup(total.where("chunk is not null").groupBy("part", F.col("chunk").alias("shelf"))).applyInPandas(returned, "part int, chunk long, counts binary")
+    return own.unionByName(total.where("chunk is null"), allowMissingColumns=True)
 
 
 @dataclass
@@ -241,117 +261,177 @@ def start_weights(words: Words, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     return weights | heads | {"cb": np.log(classes + 1).astype(np.float32), "mb": np.log(member + 0.1).astype(np.float32)}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def gates_of(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One unit's turn; x: input times W plus b. Gates: update z, reset r, candidate c."""
     k = h.shape[1]
-    hu = h @ p["U"][:, : 2 * k]
-    gates = sigmoid(x[:, : 2 * k] + hu)
+    gates = h @ p["U"][:, : 2 * k]
+    gates += x[:, : 2 * k]
+    gates_of(gates)
     z, r = gates[:, :k], gates[:, k:]
     rh = r * h
-    c = np.tanh(x[:, 2 * k :] + rh @ p["U"][:, 2 * k :])
-    return h + z * (c - h), (h, z, r, rh, c)
+    c = rh @ p["U"][:, 2 * k :]
+    c += x[:, 2 * k :]
+    np.tanh(c, out=c)
+    new = c - h
+    new *= z
+    new += h
+    return new, (z, r, rh, c)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, in x's place, and the log probability of goal, by row."""
+    rows = np.arange(len(goal))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, goal]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x /= total[:, None]
+    return x, own - np.log(total)
 
 
-def by_class(cls: np.ndarray, lists: int):
-    """Row places of each class of listed words that occurs."""
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(1, lists + 2))
-    for k in range(lists):
-        if ends[k] < ends[k + 1]:
-            yield k, order[ends[k] : ends[k + 1]]
+def by_class(cls: np.ndarray, lists: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Row places in order of class, and for each class of listed words that occurs its span there."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(1, lists + 2)).tolist()
+    return order, [(k, ends[k], ends[k + 1]) for k in range(lists) if ends[k] < ends[k + 1]]
 
 
 def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Log probability of class and, for listed words, of the word within it, for states h."""
-    out = log_softmax(h @ p["C"] + p["cb"])[np.arange(len(cls)), cls]
-    for k, at in by_class(cls, len(p["M"])):
-        out[at] += log_softmax(h[at] @ p["M"][k] + p["mb"][k])[np.arange(len(at)), member[at]]
+    order, spans = by_class(cls, len(p["M"]))
+    h, cls, member = h[order], cls[order], member[order]
+    x = h @ p["C"]
+    x += p["cb"]
+    _, got = softmax(x, cls)
+    for k, a, b in spans:
+        x = h[a:b] @ p["M"][k]
+        x += p["mb"][k]
+        got[a:b] += softmax(x, member[a:b])[1]
+    out = np.empty_like(got)
+    out[order] = got
     return out
 
 
-def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, cls: np.ndarray) -> tuple[dict, np.ndarray, float]:
+def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, cls: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
     """Loss gradient of one window (time x lanes), truncated at its start; the state at its end; summed loss.
 
-    The input 0 only comes first in a document, so it starts from a zero state.
+    The input 0 only comes first in a document, so it starts from a zero state. g: zeros to put the gradient in.
     """
     steps, lanes = inputs.shape
-    x = p["E"][inputs]
-    xw = x @ p["W"] + p["b"]
-    states, kept = [], []
-    carried = (inputs > 0).astype(h.dtype)[:, :, None]
+    k, kind = h.shape[1], h.dtype
+    g = g or {n: np.zeros_like(v) for n, v in p.items()}
+    xw = (p["E"] @ p["W"] + p["b"])[inputs]
+    shape = (steps, lanes, k)
+    states, before, kept = np.empty(shape, kind), np.empty(shape, kind), []
+    carried = (inputs > 0).astype(kind)[:, :, None]
     for t in range(steps):
-        h, memo = step(p, xw[t], h * carried[t])
-        states.append(h)
+        np.multiply(h, carried[t], out=before[t])
+        h, memo = step(p, xw[t], before[t])
+        states[t] = h
         kept.append(memo)
-    k = h.shape[1]
-    flat = np.stack(states).reshape(-1, k)
+    flat = states.reshape(-1, k)
     live = np.flatnonzero(mask.reshape(-1))
-    s, goal = flat[live], target.reshape(-1)[live]
-    c = cls[goal]
+    goal = target.reshape(-1)[live]
+    order, spans = by_class(cls[goal], len(p["M"]))
+    live, goal = live[order], goal[order]
+    s, c, member = flat[live], cls[goal], (goal - 1) % MEMBERS
     scale = 1.0 / max(len(live), 1)
-    g = {n: np.zeros_like(v) for n, v in p.items()}
-    soft = log_softmax(s @ p["C"] + p["cb"])
-    loss = -float(soft[np.arange(len(c)), c].sum())
-    d = np.exp(soft)
+    x = s @ p["C"]
+    x += p["cb"]
+    d, got = softmax(x, c)
     d[np.arange(len(c)), c] -= 1
-    g["C"], g["cb"] = s.T @ d * scale, d.sum(axis=0) * scale
+    g["C"] += s.T @ d * scale
+    g["cb"] += d.sum(axis=0) * scale
     ds = d @ p["C"].T
-    member = (goal - 1) % MEMBERS
-    for j, at in by_class(c, len(p["M"])):
-        soft = log_softmax(s[at] @ p["M"][j] + p["mb"][j])
-        loss -= float(soft[np.arange(len(at)), member[at]].sum())
-        d = np.exp(soft)
-        d[np.arange(len(at)), member[at]] -= 1
-        g["M"][j], g["mb"][j] = s[at].T @ d * scale, d.sum(axis=0) * scale
-        ds[at] += d @ p["M"][j].T
-    dh_out = np.zeros_like(flat)
-    dh_out[live] = ds * scale
-    dh_out = dh_out.reshape(steps, lanes, k)
-    dh, dx = np.zeros((lanes, k), np.float32), np.empty_like(xw)
+    loss = -float(got.sum())
+    for j, a, b in spans:
+        x = s[a:b] @ p["M"][j]
+        x += p["mb"][j]
+        d, got = softmax(x, member[a:b])
+        d[np.arange(b - a), member[a:b]] -= 1
+        loss -= float(got.sum())
+        g["M"][j] += s[a:b].T @ d * scale
+        g["mb"][j] += d.sum(axis=0) * scale
+        ds[a:b] += d @ p["M"][j].T
+    ds *= scale
+    out = np.zeros_like(flat)
+    out[live] = ds
+    out = out.reshape(shape)
+    dh, dx = np.zeros((lanes, k), kind), np.empty_like(xw)
+    gates_t, cand_t = np.ascontiguousarray(p["U"][:, : 2 * k].T), np.ascontiguousarray(p["U"][:, 2 * k :].T)
+    z, r, rh, cand = (np.stack(m) for m in zip(*kept, strict=True))
+    # what each gate's gradient is multiplied by, for all steps at once
+    keep = 1 - z
+    by_c, by_z, by_r = (1 - cand * cand) * z, (cand - before) * z * keep, before * r * (1 - r)
     for t in reversed(range(steps)):
-        before, z, r, rh, cand = kept[t]
-        dh = dh + dh_out[t]
-        da_c = dh * z * (1 - cand * cand)
-        drh = da_c @ p["U"][:, 2 * k :].T
-        da_z = dh * (cand - before) * z * (1 - z)
-        da_r = drh * before * r * (1 - r)
-        g["U"][:, 2 * k :] += rh.T @ da_c
-        g["U"][:, : 2 * k] += before.T @ np.concatenate([da_z, da_r], axis=1)
-        dx[t] = np.concatenate([da_z, da_r, da_c], axis=1)
-        dh = (dh * (1 - z) + drh * r + da_z @ p["U"][:, :k].T + da_r @ p["U"][:, k : 2 * k].T) * carried[t]
+        dh += out[t]
+        da = dx[t]
+        dc = dh * by_c[t]
+        drh = dc @ cand_t
+        da[:, 2 * k :] = dc
+        np.multiply(dh, by_z[t], out=da[:, :k])
+        np.multiply(drh, by_r[t], out=da[:, k : 2 * k])
+        dh *= keep[t]
+        drh *= r[t]
+        dh += drh
+        dh += da[:, : 2 * k] @ gates_t
+        dh *= carried[t]
     dx = dx.reshape(-1, 3 * k)
-    g["W"], g["b"] = x.reshape(-1, x.shape[2]).T @ dx, dx.sum(axis=0)
-    np.add.at(g["E"], inputs.reshape(-1), dx @ p["W"].T)
+    g["U"][:, : 2 * k] += before.reshape(-1, k).T @ dx[:, : 2 * k]
+    g["U"][:, 2 * k :] += rh.reshape(-1, k).T @ dx[:, 2 * k :]
+    # inputs share few symbols, so their gradients are summed by symbol before they go through W
+    place = inputs.reshape(-1)
+    by_symbol = np.stack([np.bincount(place, column, len(p["E"])) for column in np.ascontiguousarray(dx.T)], axis=1).astype(kind)
+    g["W"] += p["E"].T @ by_symbol
+    g["b"] += by_symbol.sum(axis=0)
+    g["E"] += by_symbol @ p["W"].T
     return g, h, loss
 
 
+def views(flat: np.ndarray, like: dict) -> dict:
+    """The arrays of like's shapes, in order of name, in one flat array."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
 class Adam:
-    """Weights and their moments."""
+    """Weights and their moments, each in one flat array."""
 
     def __init__(self, p: dict) -> None:
-        self.p, self.t = {k: v.copy() for k, v in p.items()}, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.flat, self.t = np.concatenate([p[k].ravel() for k in sorted(p)]), 0
+        self.p = views(self.flat, p)
+        self.m, self.v, self.g = (np.zeros_like(self.flat) for _ in range(3))
+        self.grad = views(self.g, p)
 
-    def turn(self, g: dict, rate: float) -> None:
+    def zero(self) -> dict:
+        self.g[:] = 0
+        return self.grad
+
+    def turn(self, rate: float) -> None:
+        """A step down the gradient in self.grad."""
         self.t += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        cut = min(1.0, 1.0 / max(norm, 1e-9))
+        g = self.g
+        g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9))
         fix = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k, x in g.items():
-            x = x * cut
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
+        self.m += 0.1 * (g - self.m)
+        g *= g
+        self.v += 0.01 * (g - self.v)
+        np.sqrt(self.v, out=g)
+        g += 1e-7
+        np.divide(self.m, g, out=g)
+        g *= fix
+        self.flat -= g
 
 
 def train(opt: Adam, runs: np.ndarray, cls: np.ndarray, rate: float) -> int:
@@ -365,8 +445,8 @@ def train(opt: Adam, runs: np.ndarray, cls: np.ndarray, rate: float) -> int:
             mask = goal >= 0
             if not mask.any():
                 break
-            g, h, _ = window_gradient(opt.p, np.maximum(lane[w : w + WINDOW], 0), np.maximum(goal, 0), mask, h, cls)
-            opt.turn(g, rate)
+            _, h, _ = window_gradient(opt.p, np.maximum(lane[w : w + WINDOW], 0), np.maximum(goal, 0), mask, h, cls, opt.zero())
+            opt.turn(rate)
             tokens += int(mask.sum())
     return tokens
 
@@ -410,8 +490,8 @@ def train_whole(opt: Adam, docs, cls: np.ndarray, rate: float) -> tuple[int, flo
         live = np.flatnonzero(lane[1] >= 0)
         goal = lane[1:, live]
         mask = goal >= 0
-        g, h[live], loss = window_gradient(opt.p, np.maximum(lane[:-1, live], 0), np.maximum(goal, 0), mask, h[live], cls)
-        opt.turn(g, rate * float(mask.mean()) * len(live) / LANES)
+        _, h[live], loss = window_gradient(opt.p, np.maximum(lane[:-1, live], 0), np.maximum(goal, 0), mask, h[live], cls, opt.zero())
+        opt.turn(rate * float(mask.mean()) * len(live) / LANES)
         tokens, total = tokens + int(mask.sum()), total + loss
     return tokens, total
 
@@ -437,13 +517,21 @@ def packed(p: dict) -> bytes:
     return b"".join(np.ascontiguousarray(p[k], "<f4").tobytes() for k in sorted(p))
 
 
-def unpacked(data, like: dict) -> dict:
-    flat, out, at = np.frombuffer(data, "<f4") if isinstance(data, bytes) else np.asarray(data, np.float32), {}, 0
-    for k in sorted(like):
-        n = like[k].size
-        out[k] = flat[at : at + n].reshape(like[k].shape).copy()
-        at += n
-    return out
+def averaged(models: DataFrame, n: int) -> list:
+    """tokens and weights of models as at most MERGED rows; rows of (part, tokens, weights) meet MERGED at a time."""
+    import pyarrow as pa
+
+    def mean(rows: pa.Table) -> pa.Table:
+        tokens, total = sum(rows.column("tokens").to_pylist()), 0.0
+        for t, w in zip(rows.column("tokens").to_pylist(), rows.column("weights"), strict=True):
+            total = total + np.frombuffer(w.as_py(), "<f4").astype(np.float64) * (t / tokens)
+        return pa.table({"part": [rows.column("part")[0].as_py()], "tokens": [tokens], "weights": [total.astype("<f4").tobytes()]}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())]))
+
+    while n > MERGED:
+        n = -(-n // MERGED)
+        models = models.groupBy(F.pmod("part", F.lit(n)).alias("group")).applyInArrow(lambda rows: mean(rows.sort_by("part")), "part int, tokens long, weights binary")
+        models = models.withColumn("part", F.pmod("part", F.lit(n)))
+    return sorted(models.collect())
 
 
 def fit(chunks: DataFrame, words: Words, train_docs: int) -> dict[str, np.ndarray]:
@@ -485,8 +573,8 @@ def fit(chunks: DataFrame, words: Words, train_docs: int) -> dict[str, np.ndarra
     opt, rng = Adam(p), np.random.default_rng(5)
     for k in range(WARM_EPOCHS):
         train(opt, warm[rng.permutation(len(warm))], cls, RATE / (1 + k))
-    first = spark.sparkContext.broadcast(packed(opt.p))
-    shape = {k: v.shape for k, v in p.items()}
+    first = spark.sparkContext.broadcast(opt.flat)  # some 80,000 numbers
+    like = {k: np.zeros(v.shape, np.float32) for k, v in p.items()}
 
     def documents(batches):
         for batch in batches:
@@ -495,20 +583,21 @@ def fit(chunks: DataFrame, words: Words, train_docs: int) -> dict[str, np.ndarra
                 yield from np.split(np.frombuffer(pa.decompress(data.as_py(), 2 * int(n.sum()), "zstd", asbytes=True), "<i2"), np.cumsum(n)[:-1])
 
     def local(batches):
-        like = {k: np.zeros(s, np.float32) for k, s in shape.items()}
-        mine = Adam(unpacked(first.value, like))
+        mine = Adam(views(first.value.copy(), like))
         tokens, _ = train_whole(mine, documents(batches), cls, RATE / 5)
-        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([packed(mine.p)])], names=["tokens", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([tokens], pa.int64()), pa.array([packed(mine.p)])], names=["part", "tokens", "weights"])
 
-    dealt = source.mapInArrow(whole, "chunk long, words binary, symbols binary").where("length(words) > 0").repartition(TRAINERS, "chunk").sortWithinPartitions("chunk")
-    got = dealt.mapInArrow(local, "tokens long, weights binary").where("tokens > 0").collect()  # TRAINERS rows of one model each
-    if not got:
-        return opt.p
+    trainers = max(TRAINERS, -(-words.n // SHARE))
+    dealt = source.mapInArrow(whole, "chunk long, words binary, symbols binary").where("length(words) > 0").repartition(trainers, "chunk").sortWithinPartitions("chunk")
+    models = written(dealt.mapInArrow(local, "part int, tokens long, weights binary").where("tokens > 0"), "models")
+    got = averaged(models, models.count())
     total = sum(r.tokens for r in got)
     if total != words.n:
         raise RuntimeError(f"{total} of {words.n} training tokens were learnt from")
-    mean = sum(np.frombuffer(bytes(r.weights), "<f4").astype(np.float64) * (r.tokens / total) for r in sorted(got))
-    return unpacked(mean, p)
+    if not got:
+        return opt.p
+    mean = sum(np.frombuffer(bytes(r.weights), "<f4").astype(np.float64) * (r.tokens / total) for r in got)
+    return views(mean.astype(np.float32), p)
 
 
 # -- scoring ---------------------------------------------------------------------------------
@@ -527,23 +616,22 @@ def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndar
     h = np.zeros((len(n), p["U"].shape[0]), np.float32)
     xw = p["E"] @ p["W"] + p["b"]
     sym = np.append(sym, 0)
-    for w in range(0, int(size[0]) + 1 if len(size) else 0, WINDOW):
-        active = int(np.searchsorted(-size, -w, side="right"))  # documents with a token (or the end) at w
-        h = h[:active]
-        states, goals, owner = [], [], []
-        for t in range(w, w + WINDOW):
-            now = int(np.searchsorted(-size, -t, side="right"))
-            if not now:
-                break
-            last = np.zeros(now, np.int64) if t == 0 else sym[first[:now] + t - 1]
-            h[:now], _ = step(p, xw[last], h[:now])
-            states.append(h[:now].copy())
-            here = np.minimum(first[:now] + t, len(sym) - 1)
-            goals.append(np.where(size[:now] == t, 0, sym[here]))
-            owner.append(np.arange(now))
-        goal = np.concatenate(goals)
-        got = predicted(p, np.concatenate(states), cls[goal], (goal - 1) % MEMBERS)
-        total[:active] += np.bincount(np.concatenate(owner), got, active)
+    steps = int(size[0]) + 1 if len(size) else 0
+    live = np.searchsorted(-size, -np.arange(steps), side="right")  # documents with a token (or the end) at each step
+    for w in range(0, steps, WINDOW):
+        now = live[w : w + WINDOW]
+        ends = np.cumsum(now)
+        owner = np.arange(ends[-1]) - np.repeat(ends - now, now)
+        t = np.repeat(np.arange(w, w + len(now)), now)
+        at = first[owner] + t
+        x = xw[np.where(t == 0, 0, sym[at - 1])]
+        states = np.empty((len(owner), h.shape[1]), np.float32)
+        for a, b in zip((ends - now).tolist(), ends.tolist(), strict=True):
+            h, _ = step(p, x[a:b], h[: b - a])
+            states[a:b] = h
+        goal = np.where(size[owner] == t, 0, sym[at])
+        got = predicted(p, states, cls[goal], (goal - 1) % MEMBERS)
+        total[: now[0]] += np.bincount(owner, got, now[0])
     out = np.empty(len(n))
     out[order] = total
     return out
@@ -565,7 +653,7 @@ def scored(chunks: DataFrame, totals: DataFrame, words: Words, weights: dict) ->
                 n = np.frombuffer(n.as_py(), "<u4").astype(np.int64)
                 tokens = unsqueezed(tokens.as_py(), int(n.sum()))
                 u, e = np.frombuffer(uniq.as_py(), "<u8"), np.frombuffer(ending.as_py(), "<u2")
-                c = np.concatenate([np.frombuffer(x["counts"], "<u4") for x in counts.as_py() or []] or [np.zeros(0, "<u4")]).astype(np.float64)
+                c = np.concatenate([np.frombuffer(x["counts"], "<u8") for x in counts.as_py() or []] or [np.zeros(0, "<u8")]).astype(np.float64)
                 sym = m.symbol_of(u, e)
                 owner = np.repeat(np.arange(len(n)), n)
                 below = np.log10(m.n + m.v + 1)
@@ -583,9 +671,9 @@ def op4(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     rows = docs.select("doc_id", (bucket_of("doc_id", 7) != 2).alias("train"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     chunks = written(chunked(rows), "chunks")
-    size = chunks.agg(F.coalesce(F.sum(F.length("uniq") / 8), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.length(F.regexp_replace(F.hex("train"), "0", ""))), F.lit(0)).alias("docs")).first()
+    size = chunks.agg(F.coalesce(F.sum(F.length("uniq") / 8), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.length(F.regexp_replace(F.hex("train"), "0", ""))), F.lit(0)).alias("docs"), F.count("*").alias("chunks")).first()
     bits = max(0, int(np.ceil(np.log2(max(1.0, size.entries / PART)))))
-    totals = written(counted(chunks, max(bits, 4)), "counts")
+    totals = written(counted(chunks, max(bits, 4), max(1, -(-size.chunks // SHELF))), "counts")
     words = words_of(totals, int(size.docs))
     weights = fit(chunks, words, int(size.docs))
     out = scored(chunks, totals, words, weights)

@@ -270,7 +270,7 @@ def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame
     columns = [*tile, "rep", "comp", "n", "sketch", "key", "own"]
 
     def pairs_of(part: pa.Table) -> list[tuple]:
-        n, comp, rep, own, lo, hi = (part.column(k).to_numpy() for k in ("n", "comp", "rep", "own", "lo", "hi"))
+        n, comp, rep, own, lo, hi = (part.column(k).to_numpy() if k not in ("rep", "comp") else np.array(part.column(k).to_pylist(), object) for k in ("n", "comp", "rep", "own", "lo", "hi"))
         raw = [np.frombuffer(v, np.uint8) for v in part.column("sketch").to_pylist()]
         key = part.column("key").to_pylist()
         places, more = tile_pairs(n, comp, rep, own, raw, bool(lo[0] != hi[0]), nearest, scheme)
@@ -282,15 +282,14 @@ def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame
             if len(part) > 1:
                 out += pairs_of(part)
             if len(out) >= 1000:
-                yield rows_of(out)
+                yield rows_of(out, part.column("rep").type)
                 out = []
         if out:
-            yield rows_of(out)
+            yield rows_of(out, part.column("rep").type)
 
-    def rows_of(out):
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((part_type, part_type, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
+    def rows_of(out, type_):
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((type_, type_, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
 
-    part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return dealt.select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
 
 
