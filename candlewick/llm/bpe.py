@@ -339,9 +339,12 @@ def encode_decode(df, tokenizer: str, text: str = "text", keep: tuple[str, ...]
     import pyarrow as pa
     from pyspark.sql import functions as F
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    from .common import name_of, with_fields
+
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
 
+    fields = with_fields(df, keep, extra)
+
     def work(batches):
         enc = encoder(tokenizer)
         for batch in batches:
@@ -355,4 +358,4 @@ def encode_decode(df, tokenizer: str, text: str = "text", keep: tuple[str, ...]
                     out += [pa.array([list(map(int, r[1].split())) for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(work, f"{fields}, {extra}")
+    return df.select(*map(name_of, keep), F.col(text).alias("__text")).mapInArrow(work, fields)

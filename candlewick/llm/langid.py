@@ -10,7 +10,8 @@ quantile of its language's training shares is marked rejected.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; whole texts count,
 however long; a tie goes to the earlier language by code point; rows are independent, so repeated rows and
-extra columns do not matter; without any labelled training document every text is `und`.
+extra columns do not matter (a column of keep must not have the name of a new one); an empty table gives none;
+without any labelled training document every text is `und`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import bucket_of, ship_package
+from .common import bucket_of, name_of, ship_package, with_fields
 
 BITS = 12
 SAMPLE, CLUSTERS, ROUNDS = 600, 3, 8
@@ -156,7 +157,7 @@ def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id"
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = with_fields(docs, keep, "lang_pred string, score double, rejected boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x CLUSTERS x 2^BITS floats
 
     def work(batches):
@@ -176,7 +177,7 @@ def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id"
                     lang = [m.langs[w] if k else "und" for w, k in zip(who, named, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(low)], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(work, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.select(*map(name_of, keep), F.col("text").alias("__text")).mapInArrow(work, fields)
 
 
 def held_out() -> Column:
@@ -184,6 +185,6 @@ def held_out() -> Column:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs; fitted on rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, rejected for every row of docs; fitted on rows that are not held out."""
     model = fit(docs.where(~held_out()))
-    return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import ship_package, written
+from .common import name_of, ship_package, with_fields, written
 
 UNIT, WIDTH, HEIGHT, STRETCH = 64, 64, 8191, 256  # bytes a payload is a multiple of; blocks across; most blocks down; blocks between restarts
 
@@ -408,8 +408,7 @@ def with_media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 media = [store(t.as_py() or b"") for t in part.column("__text")]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(media, pa.binary())], names=[*keep, "media"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(work, f"{fields}, media binary")
+    return df.select(*map(name_of, keep), F.col(text).cast("binary").alias("__text")).mapInArrow(work, with_fields(df, keep, "media binary"))
 
 
 def described(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -433,8 +432,7 @@ def described(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 rows = [facts(m, *t) for m, t in zip(files, thumbnails(files), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array([r[i] for r in rows], types[t]) for i, t in enumerate(kinds.values()))], names=[*keep, *kinds])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, "media").mapInArrow(work, f"{fields}, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return df.select(*map(name_of, keep), "media").mapInArrow(work, with_fields(df, keep, ", ".join(f"{k} {v}" for k, v in kinds.items())))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import groups, ship_package, written
+from .common import groups, removed, ship_package, written, written_at
 
 WORDS = 5
 TILE, NEAREST = 400, 8
@@ -208,7 +208,7 @@ def stars(edges: DataFrame) -> DataFrame:
     Large-star and small-star turns, each a minimum per node and a join back, until nothing changes.
     """
     flat = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, before = written(flat(edges), "edges"), None
+    (now, path), before = written_at(flat(edges), "edges"), None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
@@ -220,7 +220,8 @@ def stars(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = written(flat(small), "edges")
+        old, (now, path) = path, written_at(flat(small), "edges")
+        removed(now.sparkSession, old)
 
 
 def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest: int, scheme: Scheme = AT_85) -> tuple[list[tuple[int, int]], bool]:

@@ -1,6 +1,7 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Every text becomes a few numbers about its form (lengths, character classes, repetition). Each number is cut
+Every text becomes a few numbers about its form (lengths, character classes, repetition; `|` apart from the other
+symbols, as it stands between the entries of menus and tables left over from web pages). Each number is cut
 into bins at training quantiles. Boosting goes round the features in turn; every step fits a tree of depth two
 on one feature's bins to the gradient of the log loss and adds its leaves, times RATE, to that feature's
 lookup table. Then the pairs with the largest remaining gain get tables on coarser bins, boosted likewise by
@@ -8,7 +9,8 @@ trees with one cut on either feature. A score is the sigmoid of a sum of table e
 
 The fit takes a bounded sample of labelled rows (SAMPLE, a parameter). Defined cases: null texts count as
 empty and get a score; very long texts are taken whole; rows are independent, so repeated rows, ties and extra
-columns do not matter; null labels teach nothing; without both labels the score is the smoothed label share.
+columns do not matter (a column of keep must not have the name of a new one); repeated label rows count once;
+null labels teach nothing; an empty table gives none; without both labels the score is the smoothed label share.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import bucket_of, ship_package
+from .common import bucket_of, name_of, ship_package, with_fields
 
 SAMPLE, BINS, COARSE, PAIRS = 20_000, 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, LEAST = 120, 40, 0.15, 20
@@ -158,10 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y")).distinct()
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    picked = F.broadcast(known.where(draw < min(1.0, sample / max(n, 1))))  # about sample rows of two numbers
+    picked = known.where(draw < min(1.0, sample / max(n, 1)))  # about sample rows of two numbers
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("__text")).join(picked, F.col("doc_id") == F.col("__id"))
 
     def work(batches):
@@ -179,7 +181,7 @@ def predict(docs: DataFrame, model: Additive, keep: tuple[str, ...] = ("doc_id",
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = with_fields(docs, keep, "score double, predicted int")
 
     def work(batches):
         for batch in batches:
@@ -188,7 +190,7 @@ def predict(docs: DataFrame, model: Additive, keep: tuple[str, ...] = ("doc_id",
                 score = model.score(np.array([features(t.as_py() or b"") for t in part.column("__text")], float))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(score), pa.array((score >= CUT).astype("int32"))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(work, f"{fields}, score double, predicted int")
+    return docs.select(*map(name_of, keep), F.col("text").cast("binary").alias("__text")).mapInArrow(work, fields)
 
 
 def held_out() -> Column:

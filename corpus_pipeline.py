@@ -1,4 +1,8 @@
-"""From raw documents to tokens: language, quality, near-duplicates, mixture, BPE."""
+"""From raw documents to tokens: language, quality, near-duplicates, mixture, BPE.
+
+Every stage but the last returns the columns of documents, whatever their names, as it carries whole rows in a struct;
+very long texts count whole, repeated rows and ties are decided by the operators' rules, and an empty table gives none.
+"""
 
 from __future__ import annotations
 
@@ -9,47 +13,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import bpe, langid, minhash, mixing, quality
-from candlewick.llm.common import table, written
+from candlewick.llm.common import row_of, table, written
 
 #: None: SQL can express none of the learned stages; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the nearest-centroid model accepts."""
-    kept = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return kept.where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language the nearest-centroid model accepts; null and letterless texts go."""
+    kept = langid.predict(docs.select(row_of(docs), "text"), langid.fit(docs), keep=("row",))
+    return kept.where(~F.col("rejected")).select("row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model, fitted on the labels, predicts to be good."""
+    """Documents that the additive model, fitted on the labels, predicts to be good; null texts count as empty."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    text = quality.predict(docs, model, keep=tuple(docs.columns))
-    return text.where("predicted = 1").select(*docs.columns)
+    return quality.predict(docs.select(row_of(docs), "text"), model, keep=("row",)).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id (null the last) of each group of near-duplicate texts (from 0.8 on).
 
-    Rows are compared by a hash of id and text, as an id may be null or stand for several texts.
+    Rows are compared by a hash of id and text, as an id may be null or stand for several texts; texts without words
+    (null ones too) are like no other, but rows equal in id and text stay once.
     """
-    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
-    named = docs.withColumn("__row", row)
-    found = minhash.components(named.select(F.col("__row").alias("doc_id"), "text"), minhash.AT_80)
-    group = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    first = named.select("__row", "doc_id").distinct().join(group, "__row").groupBy("__group").agg(F.min(order).alias("__first"))
-    keep = first.select(F.col("__first.__row").alias("__row"))
-    return named.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").select(*docs.columns)
+    hashed = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("hash")
+    rows = docs.select(row_of(docs), "doc_id", "text", hashed)
+    found = minhash.components(rows.select(F.col("hash").alias("doc_id"), "text"), minhash.AT_80)
+    group = found.select(F.col("doc_id").alias("hash"), F.col("component_id").alias("group")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = rows.select("hash", "doc_id").distinct().join(group, "hash").groupBy("group").agg(F.min(order).alias("first"))
+    keep = first.select(F.col("first.hash").alias("hash"))
+    return rows.dropDuplicates(["hash", "doc_id", "text"]).join(keep, "hash", "left_semi").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them; wordless texts go."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the digests of ids and decoded text."""
+    """doc_id, source, lang and the digests of ids and decoded text; a null text has no ids."""
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "source", "lang"))
 
 

@@ -357,6 +357,54 @@ def test_mixing_targets_and_copies(spark, docs):
         assert rows_of(mixing.op5(df)) == rows_of(mixing.op5(df.repartition(7)))
 
 
+def expected_copies(spark, df):
+    """Copies by (doc_id, source, size, u) from the definition: whole copies, then rank after rank to the nearest row."""
+    rows = [tuple(r) for r in mixing.sized(df).collect()]
+    size = Counter()
+    for _, s, n, _ in rows:
+        size[s] += n
+    out = Counter()
+    for s, target in expected_targets(size).items():
+        mine = [r for r in rows if r[1] == s]
+        whole = int(target / size[s] + 1e-9) if size[s] else 0
+        rest = max(0.0, target - whole * size[s])
+        f = min(1 - 1e-9, max(1e-9, target / size[s] - whole)) if size[s] else 0
+        live = [r for r in mine if r[2] > 0]
+        odds = lambda r: f / (1 - f) * (r[2] * len(mine) / size[s]) ** mixing.TILT
+        live.sort(key=lambda r: (r[3] / (1 - r[3]) / odds(r), r[2], r[0]))
+        for r in live:
+            out[r] += whole
+        run = 0
+        for r in live if rest else []:
+            if run + r[2] / 2 > rest:
+                break
+            out[r] += 1
+            run += r[2]
+    return out
+
+
+def test_mixing_ranks_equal_brute_force(spark, docs):
+    lop = docs.withColumn("source", F.when(F.col("doc_id") % 5 < 3, "big").when(F.col("doc_id") % 5 == 3, F.concat(F.lit("s"), F.col("doc_id") % 7)))
+    for df in (docs, lop):
+        taken, got = expected_copies(spark, df), Counter()
+        for r in mixing.mix(df).collect():
+            got[(r.doc_id, r.source)] += r.copies
+        want = Counter()
+        for (i, s, _, _), k in taken.items():
+            want[(i, s)] += k
+        assert +got == +want
+
+
+def test_mixing_takes_some_of_many_equal_rows(spark):
+    text = "a b c d"
+    rows = [(1, text, "x")] * 100 + [(2, text, "y")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for got in (mixing.op5(df), mixing.op5(df.repartition(3))):
+        by = {r.doc_id: (r.target, r.taken) for r in got.groupBy("doc_id").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+        assert all(abs(taken - target) <= 2 for target, taken in by.values()) and by[1][0] == pytest.approx(800 * 5 / 7)
+    assert mixing.mixed(df).count() == sum(t for _, t in by.values()) / 4
+
+
 def test_mixed_rows_keep_their_columns(odd, empty):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
@@ -642,10 +690,17 @@ def test_near_duplicates_keep_one_row_of_each_group_whatever_its_ids(spark, smal
     assert ["alone"] == [r.text for r in got if r.doc_id is None and r.text[0] == "a"]
 
 
-def test_stages_take_odd_rows(spark, odd, small):
+def test_stages_take_odd_rows(odd, small, spark):
     import corpus_pipeline
 
-    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, plain, small).count() >= 0
-        assert stage(spark, plain.where("false"), small).count() == 0
+    names = ("lang_pred", "rejected", "predicted", "row", "hash", "group", "first", "doc", "a`b c")
+    wide = odd.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names) if n not in odd.columns])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, wide, small)
+        assert name == "tokens" or got.columns == wide.columns
+        assert len(got.collect()) > 0 and stage(spark, wide.where("false"), small).count() == 0
+
+
+def test_columns_to_keep_must_not_clash(odd):
+    with pytest.raises(ValueError):
+        quality.predict(odd, quality.boost(np.zeros((0, 16)), np.zeros(0)), keep=("doc_id", "score"))
