@@ -4,13 +4,15 @@ Sources, by code point with null last, weigh 5, 2, 1, repeating, and share all w
 MOST times its source's size and the excess goes to the others by weight (the fixed point is found directly,
 from the sources in order of size over weight). A source is to be taken target / size times: every document
 gets the whole copies, which are certain. For the rest, documents are ranked by random odds over inclusion
-odds, and the ranks are taken until the rest's words are reached. Inclusion odds are f / (1 - f), f the missing
-share, times (size / mean size) ** TILT: longer documents are somewhat likelier. The rank where the words are
-reached is found by two histograms of CELLS cells and one small window, so no task holds a source.
-
-Defined cases: null and wordless texts have size 0 and are taken 0 times; a null source is a source of its own;
-random numbers follow from doc_id, source and text, so reruns agree, and rows equal in all three tie, either
-order giving the same rows; an empty table gives none.
+odds, and the ranks are taken until the rest's words are reached, to the nearest document. Inclusion odds are
+f / (1 - f), f the missing share, times (size / mean size) ** TILT: longer documents are somewhat likelier. The rank
+where the words are reached is found by two histograms of CELLS cells and one small window over distinct documents,
+so no task holds a source. Equal rows have one rank; where the words are reached among them, so many of them are
+taken as fit, counted by the partitions they were written in.
+
+Defined cases: null and wordless texts have size 0 and are taken 0 times; a null source is a source of its own; whole
+texts count, however long; random numbers follow from doc_id, source and text, so reruns agree, and which of several
+equal rows is taken does not show; columns of docs may have any names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, row_of, written
 
 WEIGHTS = (5, 2, 1)
 MOST, TILT, CELLS = 3, 0.5, 1024
@@ -85,25 +87,35 @@ def mix(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     two = inside.groupBy("source", "rest", "base", "c1", "c2").agg(F.sum("size").alias("words"))
     second = written(reached(two, "c2", ["c1", "c2"]).withColumnsRenamed({"source": "s2", "c1": "k1", "c2": "k2", "base": "base2"}), "cells")
     last = live.join(second, F.col("source").eqNullSafe(F.col("s2")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
-    w = Window.partitionBy("source").orderBy("q", "size", "doc_id")
-    run = last.withColumn("run", F.col("base2") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    taken = run.where(F.col("run") <= F.col("rest")).groupBy(F.col("source").alias("s3")).agg(F.max(F.struct("q", "size", "doc_id")).alias("top"), F.max("run").alias("got"))
-    edge = second.join(taken, F.col("s2").eqNullSafe(F.col("s3")), "left").select("s2", "k1", "k2", "top", F.coalesce("got", "base2").alias("got"))
-    edge = written(edge, "edge")
-    at, border, me = F.struct("c1", "c2"), F.struct(F.col("k1").alias("c1"), F.col("k2").alias("c2")), F.struct("q", "size", "doc_id")
-    inside = F.when(F.col("k1").isNull(), True).when(at < border, True).when(at > border, False).otherwise(F.coalesce(me <= F.col("top"), F.lit(False)))
-    # of the documents after the border, the one that fills what is missing best; near ties by rank
-    gap = F.col("rest") - F.col("got")
-    miss = F.abs(gap - F.col("size"))
-    spare = live.join(edge, F.col("source").eqNullSafe(F.col("s2"))).where(~inside & (miss < gap))
-    fill = written(spare.groupBy(F.col("source").alias("s4")).agg(F.min(F.struct(miss.alias("miss"), me.alias("me"))).alias("best")).select("s4", F.col("best.me").alias("fill")), "fill")
-    edge = edge.join(fill, F.col("s2").eqNullSafe(F.col("s4")), "left").drop("s4")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    every = rank(sized(docs, row), "row") if whole_rows else ranked
-    out = every.join(edge, F.col("source").eqNullSafe(F.col("s2")), "left")
-    chosen = (F.col("rest") > 0) & (F.col("size") > 0) & (inside | F.coalesce(me == F.col("fill"), F.lit(False)))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *["row"] * whole_rows)
+    me, edges = F.struct("q", "size", "doc_id"), ["source", "rest", "base2"]
+    w = Window.partitionBy("source").orderBy("q", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = last.groupBy(*edges, "q", "size", "doc_id").agg(F.count("*").alias("m")).withColumn("run", F.col("base2") + F.sum(F.col("size") * F.col("m")).over(w))
+    room = F.col("rest") - F.col("run") + F.col("size") * F.col("m")
+    hit = run.where(F.col("run") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct(me.alias("border"), F.floor(room / F.col("size") + 0.5).alias("k")), me).alias("s"))
+    edge = written(second.join(hit, F.col("s2").eqNullSafe(F.col("source")), "left").select("s2", "k1", "k2", "s.border", "s.k"), "edge")
+    cell, at_cell = F.struct("c1", "c2"), F.struct(F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    inside = F.when(F.col("k1").isNull(), True).when(cell < at_cell, True).when(cell > at_cell, False).otherwise(F.coalesce(me < F.col("border"), F.lit(True)))
+    live_row = (F.col("rest") > 0) & (F.col("size") > 0)
+    whole = F.when(F.col("size") > 0, F.col("whole")).otherwise(0)
+    columns = ["doc_id", "source", "size", "source_size", "target", *["row"] * whole_rows]
+
+    def placed(of: DataFrame) -> DataFrame:
+        out = rank(of, *["row"] * whole_rows).join(edge, F.col("source").eqNullSafe(F.col("s2")), "left")
+        return out.withColumn("equal", F.coalesce(live_row & (cell == at_cell) & me.eqNullSafe(F.col("border")), F.lit(False)))
+
+    row = row_of(docs)
+    every = sized(docs, row) if whole_rows else rows
+    out = placed(every).where("not equal").select(*columns, (whole + F.when(live_row & inside, 1).otherwise(0)).cast("long").alias("copies"))
+    # rows at the border: equal to one another, one kind a source; k of them are taken, by the order they were written in
+    kind = edge.where("k is not null").select("s2", F.col("border.doc_id").alias("id2"))
+    near = docs.join(kind, docs["source"].eqNullSafe(kind["s2"]) & docs["doc_id"].eqNullSafe(kind["id2"]), "left_semi")
+    border = written(placed(sized(near, row) if whole_rows else rows).where("equal").select(*columns, "whole", "k", F.monotonically_increasing_id().alias("slot")), "border")
+    part = F.shiftright("slot", 33).alias("part")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = border.groupBy("source", part).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({"source": "s4", "part": "p4"})
+    own = Window.partitionBy("source", "part").orderBy("slot")
+    numbered = border.withColumn("part", part).withColumn("number", F.row_number().over(own)).join(parts, F.col("source").eqNullSafe(F.col("s4")) & (F.col("part") == F.col("p4")))
+    return out.unionByName(numbered.select(*columns, (whole + F.when(F.col("before") + F.col("number") <= F.col("k"), 1).otherwise(0)).cast("long").alias("copies")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
