@@ -95,8 +95,11 @@ def bucket_of(doc_id: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(modulus)).cast("int")
 
 
-def groups(batches, keys: list[str]):
-    """Tables of the rows of one key each, from batches that come sorted by keys; one group is held at a time."""
+def bunches(batches, keys: list[str]):
+    """Tables of whole groups of rows with equal keys, and where each group starts, from batches that come sorted by keys.
+
+    A table ends with the last group that a batch completes, so beyond a batch only one group is held.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -108,12 +111,18 @@ def groups(batches, keys: list[str]):
         if rest is None or not len(rest):
             continue
         change = np.logical_or.reduce([(v := rest.column(k).to_numpy())[1:] != v[:-1] for k in keys])
-        ends = [*(np.flatnonzero(change) + 1).tolist(), *([len(rest)] if batch is None else [])]
-        start = 0
-        for end in ends:
-            yield rest.slice(start, end - start)
-            start = end
-        rest = rest.slice(start)
+        start = np.append(0, np.flatnonzero(change) + 1)
+        end = len(rest) if batch is None else int(start[-1])
+        if end:
+            yield rest.slice(0, end), start[start < end]
+        rest = rest.slice(end)
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of one key each, from batches that come sorted by keys; one group is held at a time."""
+    for rows, start in bunches(batches, keys):
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
+            yield rows.slice(a, b - a)
 
 
 def _and_end(items):

@@ -527,15 +527,30 @@ def test_vectors_repeated_and_empty(spark):
     assert caps.op7(same.where("false")).count() == 0
 
 
-def test_filters_find_all_near_pairs():
+@pytest.mark.parametrize(("n", "rows"), [(500, 3000), (5_000, 3000), (1_000_000, 500)])
+def test_filters_find_all_near_pairs(n, rows):
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((3000, 64))
+    x = rng.standard_normal((rows, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal(x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    lists = [set(zip(*map(np.ndarray.tolist, caps.filters(64).lists(v)), strict=True)) for v in (x, y)]
-    assert len({r for r, _ in lists[0] & lists[1]}) == 3000
+    found, each = set(), 0
+    for a in range(0, rows, 250):
+        lists = [set(zip(*map(np.ndarray.tolist, caps.filters(64, n).lists(v[a : a + 250])), strict=True)) for v in (x, y)]
+        found |= {a + r for r, _ in lists[0] & lists[1]}
+        each += len(lists[0])
+    assert len(found) >= 0.998 * rows and each / rows < 60
+
+
+def test_filters_hold_few_whatever_the_size():
+    rng = np.random.default_rng(4)
+    for n in (1_000, 16_000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        codes = np.concatenate([caps.filters(64, n).lists(x[a : a + 500])[1] for a in range(0, n, 500)])
+        others = (np.bincount(np.unique(codes, return_inverse=True)[1]) ** 2).sum() / len(codes) - 1
+        assert others < 6  # rows that a row meets in a filter
 
 
 # -- 8 and 9: quality and language -----------------------------------------------------------
