@@ -27,6 +27,7 @@ an empty table gives none.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +39,7 @@ from .common import bucket_of, ship_package, written
 
 CHUNK, PART, SHELF = 4_000_000, 1_500_000, 1000  # bytes of text in a chunk; distinct (chunk, word) entries in a counting part; chunks on a shelf
 LISTED, MEMBERS, SUFFIXES, HIDDEN = 1536, 48, 48, 24
-WINDOW, LANES, WARM, WARM_EPOCHS, TRAINERS, SHARE, RATE = 32, 256, 4096, 4, 12, 6_000_000, 0.01  # at least TRAINERS of at most about SHARE tokens
+WINDOW, LANES, WARM, WARM_EPOCHS, TRAINERS, SHARE, RATE = 32, 256, 4096, 4, 12, 10_000_000, 0.01  # at least TRAINERS of at most about SHARE tokens
 MERGED = 32  # models averaged in one go
 CACHE_WORDS = 150_000
 LOG10 = float(np.log(10))
@@ -261,40 +262,71 @@ def start_weights(words: Words, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     return weights | heads | {"cb": np.log(classes + 1).astype(np.float32), "mb": np.log(member + 0.1).astype(np.float32)}
 
 
-def gates_of(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+class Scratch(dict):
+    """Arrays by name that are made once and used again: fresh ones of this size cost as much as the sums in them."""
+
+    def get(self, name: str, *shape: int, kind=np.float32) -> np.ndarray:
+        n = int(np.prod(shape))
+        held = self.setdefault((name, np.dtype(kind)), np.empty(0, kind))
+        if len(held) < n:
+            held = self[name, np.dtype(kind)] = np.empty(n, kind)
+        return held[:n].reshape(shape)
 
 
-def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One unit's turn; x: input times W plus b. Gates: update z, reset r, candidate c."""
+def step(u_gates: np.ndarray, u_cand: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, rh: np.ndarray, c: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """One unit's turn, into gates (update, reset), rh, c (candidate) and out (the state); x: input times W plus b."""
     k = h.shape[1]
-    gates = h @ p["U"][:, : 2 * k]
+    np.matmul(h, u_gates, out=gates)
     gates += x[:, : 2 * k]
-    gates_of(gates)
-    z, r = gates[:, :k], gates[:, k:]
-    rh = r * h
-    c = rh @ p["U"][:, 2 * k :]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[:, k:], h, out=rh)
+    np.matmul(rh, u_cand, out=c)
     c += x[:, 2 * k :]
     np.tanh(c, out=c)
-    new = c - h
-    new *= z
-    new += h
-    return new, (z, r, rh, c)
+    np.subtract(c, h, out=out)
+    out *= gates[:, :k]
+    out += h
+    return out
+
+
+def halves(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrent weights of the gates and of the candidate."""
+    k = len(p["U"])
+    return np.ascontiguousarray(p["U"][:, : 2 * k]), np.ascontiguousarray(p["U"][:, 2 * k :])
+
+
+def bounded(p: dict) -> bool:
+    """Can no logit overflow exp? States lie between -1 and 1."""
+    return max(float((np.abs(p[w]).sum(axis=-2) + np.abs(p[b])).max()) for w, b in (("C", "cb"), ("M", "mb"))) < 80
+
+
+def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, safe: bool, out: np.ndarray) -> np.ndarray:
+    """h times weights plus bias, by row less its maximum if not safe."""
+    x = np.matmul(h, weights, out=out)
+    x += bias
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    return x
 
 
 def softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, in x's place, and the log probability of goal, by row."""
-    rows = np.arange(len(goal))
-    x -= x.max(axis=1, keepdims=True)
-    own = x[rows, goal]
+    """exp of x, in its place, its sums by row, and the log probability of goal, by row."""
+    own = x[np.arange(len(goal)), goal]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
-    x /= total[:, None]
-    return x, own - np.log(total)
+    own -= np.log(total)
+    return total, own
+
+
+def error(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, float]:
+    """Probabilities, in x's place, less one at goal; the summed loss."""
+    total, own = softmax(x, goal)
+    x *= (1 / total)[:, None]
+    x[np.arange(len(goal)), goal] -= 1
+    return x, -float(own.sum())
 
 
 def by_class(cls: np.ndarray, lists: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -304,23 +336,21 @@ def by_class(cls: np.ndarray, lists: int) -> tuple[np.ndarray, list[tuple[int, i
     return order, [(k, ends[k], ends[k + 1]) for k in range(lists) if ends[k] < ends[k + 1]]
 
 
-def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
+def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray, room: Scratch | None = None) -> np.ndarray:
     """Log probability of class and, for listed words, of the word within it, for states h."""
+    room, safe = Scratch() if room is None else room, bounded(p)
     order, spans = by_class(cls, len(p["M"]))
     h, cls, member = h[order], cls[order], member[order]
-    x = h @ p["C"]
-    x += p["cb"]
-    _, got = softmax(x, cls)
+    space = lambda a, b, w: room.get("logits", b - a, w.shape[1], kind=h.dtype)
+    _, got = softmax(logits(h, p["C"], p["cb"], safe, space(0, len(h), p["C"])), cls)
     for k, a, b in spans:
-        x = h[a:b] @ p["M"][k]
-        x += p["mb"][k]
-        got[a:b] += softmax(x, member[a:b])[1]
+        got[a:b] += softmax(logits(h[a:b], p["M"][k], p["mb"][k], safe, space(a, b, p["M"][k])), member[a:b])[1]
     out = np.empty_like(got)
     out[order] = got
     return out
 
 
-def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, cls: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
+def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, cls: np.ndarray, g: dict | None = None, room: Scratch | None = None) -> tuple[dict, np.ndarray, float]:
     """Loss gradient of one window (time x lanes), truncated at its start; the state at its end; summed loss.
 
     The input 0 only comes first in a document, so it starts from a zero state. g: zeros to put the gradient in.
@@ -328,49 +358,54 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     steps, lanes = inputs.shape
     k, kind = h.shape[1], h.dtype
     g = g or {n: np.zeros_like(v) for n, v in p.items()}
-    xw = (p["E"] @ p["W"] + p["b"])[inputs]
-    shape = (steps, lanes, k)
-    states, before, kept = np.empty(shape, kind), np.empty(shape, kind), []
+    room = Scratch() if room is None else room
+    new = lambda name, *shape: room.get(name, *shape, kind=kind)
+    u_gates, u_cand = halves(p)
+    xw = np.take(p["E"] @ p["W"] + p["b"], inputs, axis=0, out=new("xw", steps, lanes, 3 * k), mode="clip")
+    states, before, rh, cand = (new(n, steps, lanes, k) for n in ("states", "before", "rh", "cand"))
+    gates = new("gates", steps, lanes, 2 * k)
     carried = (inputs > 0).astype(kind)[:, :, None]
     for t in range(steps):
         np.multiply(h, carried[t], out=before[t])
-        h, memo = step(p, xw[t], before[t])
-        states[t] = h
-        kept.append(memo)
+        h = step(u_gates, u_cand, xw[t], before[t], gates[t], rh[t], cand[t], states[t])
+    h = h.copy()
     flat = states.reshape(-1, k)
     live = np.flatnonzero(mask.reshape(-1))
     goal = target.reshape(-1)[live]
     order, spans = by_class(cls[goal], len(p["M"]))
     live, goal = live[order], goal[order]
     s, c, member = flat[live], cls[goal], (goal - 1) % MEMBERS
-    scale = 1.0 / max(len(live), 1)
-    x = s @ p["C"]
-    x += p["cb"]
-    d, got = softmax(x, c)
-    d[np.arange(len(c)), c] -= 1
+    scale, safe = 1.0 / max(len(live), 1), bounded(p)
+    d, loss = error(logits(s, p["C"], p["cb"], safe, new("logits", len(s), len(p["cb"]))), c)
     g["C"] += s.T @ d * scale
     g["cb"] += d.sum(axis=0) * scale
     ds = d @ p["C"].T
-    loss = -float(got.sum())
     for j, a, b in spans:
-        x = s[a:b] @ p["M"][j]
-        x += p["mb"][j]
-        d, got = softmax(x, member[a:b])
-        d[np.arange(b - a), member[a:b]] -= 1
-        loss -= float(got.sum())
+        d, more = error(logits(s[a:b], p["M"][j], p["mb"][j], safe, new("logits", b - a, MEMBERS)), member[a:b])
+        loss += more
         g["M"][j] += s[a:b].T @ d * scale
         g["mb"][j] += d.sum(axis=0) * scale
         ds[a:b] += d @ p["M"][j].T
     ds *= scale
-    out = np.zeros_like(flat)
+    out = new("out", steps * lanes, k)
+    out[:] = 0
     out[live] = ds
-    out = out.reshape(shape)
-    dh, dx = np.zeros((lanes, k), kind), np.empty_like(xw)
-    gates_t, cand_t = np.ascontiguousarray(p["U"][:, : 2 * k].T), np.ascontiguousarray(p["U"][:, 2 * k :].T)
-    z, r, rh, cand = (np.stack(m) for m in zip(*kept, strict=True))
+    out = out.reshape(steps, lanes, k)
     # what each gate's gradient is multiplied by, for all steps at once
-    keep = 1 - z
-    by_c, by_z, by_r = (1 - cand * cand) * z, (cand - before) * z * keep, before * r * (1 - r)
+    z, r = gates[:, :, :k], gates[:, :, k:]
+    keep, by_c, by_z, by_r = (new(n, steps, lanes, k) for n in ("keep", "by_c", "by_z", "by_r"))
+    np.subtract(1, r, out=by_r)
+    by_r *= r
+    by_r *= before
+    np.subtract(1, z, out=keep)
+    np.subtract(cand, before, out=by_z)
+    by_z *= z
+    by_z *= keep
+    np.multiply(cand, cand, out=by_c)
+    np.subtract(1, by_c, out=by_c)
+    by_c *= z
+    dh, dx = np.zeros((lanes, k), kind), new("dx", steps, lanes, 3 * k)
+    gates_t, cand_t = np.ascontiguousarray(u_gates.T), np.ascontiguousarray(u_cand.T)
     for t in reversed(range(steps)):
         dh += out[t]
         da = dx[t]
@@ -389,7 +424,9 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     g["U"][:, 2 * k :] += rh.reshape(-1, k).T @ dx[:, 2 * k :]
     # inputs share few symbols, so their gradients are summed by symbol before they go through W
     place = inputs.reshape(-1)
-    by_symbol = np.stack([np.bincount(place, column, len(p["E"])) for column in np.ascontiguousarray(dx.T)], axis=1).astype(kind)
+    columns = new("columns", 3 * k, len(place))
+    columns[:] = dx.T
+    by_symbol = np.stack([np.bincount(place, column, len(p["E"])) for column in columns], axis=1).astype(kind)
     g["W"] += p["E"].T @ by_symbol
     g["b"] += by_symbol.sum(axis=0)
     g["E"] += by_symbol @ p["W"].T
@@ -412,7 +449,7 @@ class Adam:
         self.flat, self.t = np.concatenate([p[k].ravel() for k in sorted(p)]), 0
         self.p = views(self.flat, p)
         self.m, self.v, self.g = (np.zeros_like(self.flat) for _ in range(3))
-        self.grad = views(self.g, p)
+        self.grad, self.room = views(self.g, p), Scratch()
 
     def zero(self) -> dict:
         self.g[:] = 0
@@ -445,37 +482,39 @@ def train(opt: Adam, runs: np.ndarray, cls: np.ndarray, rate: float) -> int:
             mask = goal >= 0
             if not mask.any():
                 break
-            _, h, _ = window_gradient(opt.p, np.maximum(lane[w : w + WINDOW], 0), np.maximum(goal, 0), mask, h, cls, opt.zero())
+            _, h, _ = window_gradient(opt.p, np.maximum(lane[w : w + WINDOW], 0), np.maximum(goal, 0), mask, h, cls, opt.zero(), opt.room)
             opt.turn(rate)
             tokens += int(mask.sum())
     return tokens
 
 
+def lanes_of(docs: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """docs dealt to LANES lanes of about equal length, longest first to the shortest lane; each lane in random order."""
+    lanes: list[list[np.ndarray]] = [[] for _ in range(min(LANES, max(1, len(docs))))]
+    held = [(0, k) for k in range(len(lanes))]
+    for doc in sorted(docs, key=len, reverse=True):
+        n, k = held[0]
+        heapq.heapreplace(held, (n + len(doc) + 1, k))
+        lanes[k].append(doc)
+    rng = np.random.default_rng(6)
+    return [[lane[i] for i in rng.permutation(len(lane))] for lane in lanes]
+
+
 def windows(docs):
-    """Targets (WINDOW + 1 x LANES; row 0: the inputs before) that hold all symbols of docs and an end each; -1: none.
+    """Targets (WINDOW + 1 x lanes; row 0: the inputs before) that hold all symbols of docs and an end each; -1: none.
 
-    A lane reads one document to its end, then the next one that no lane has read, so few lanes stand empty
-    before the last documents.
+    A lane reads one document to its end, then its next one. The docs of one trainer are held: about SHARE symbols.
     """
-    docs = iter(docs)
-    rest, now = [np.zeros(0, np.int32)] * LANES, np.zeros((LANES, WINDOW + 1), np.int32)
-    while True:
-        now[:, 0] = np.maximum(now[:, -1], 0)
-        now[:, 1:] = -1
-        for k in range(LANES):
-            at = 1
-            while at <= WINDOW:
-                if not len(rest[k]):
-                    fresh = next(docs, None)
-                    if fresh is None:
-                        break
-                    rest[k] = np.append(fresh, 0)
-                n = min(len(rest[k]), WINDOW + 1 - at)
-                now[k, at : at + n] = rest[k][:n]
-                rest[k] = rest[k][n:]
-                at += n
-        if not (now[:, 1] >= 0).any():
-            return
+    end = np.zeros(1, np.int16)
+    streams = [np.concatenate([x for doc in lane for x in (doc.astype(np.int16), end)] or [end[:0]]) for lane in lanes_of(list(docs))]
+    last = np.zeros(len(streams), np.int16)
+    for a in range(0, max(map(len, streams)), WINDOW):
+        now = np.full((len(streams), WINDOW + 1), -1, np.int32)
+        now[:, 0] = last
+        for k, stream in enumerate(streams):
+            piece = stream[a : a + WINDOW]
+            now[k, 1 : 1 + len(piece)] = piece
+        last = np.maximum(now[:, -1], 0)
         yield now.T
 
 
@@ -486,11 +525,11 @@ def train_whole(opt: Adam, docs, cls: np.ndarray, rate: float) -> tuple[int, flo
     """
     tokens, total = 0, 0.0
     h = np.zeros((LANES, opt.p["U"].shape[0]), np.float32)
-    for lane in windows(docs):
+    for lane in windows(docs):  # of LANES documents at a time, or all if there are fewer
         live = np.flatnonzero(lane[1] >= 0)
         goal = lane[1:, live]
         mask = goal >= 0
-        _, h[live], loss = window_gradient(opt.p, np.maximum(lane[:-1, live], 0), np.maximum(goal, 0), mask, h[live], cls, opt.zero())
+        _, h[live], loss = window_gradient(opt.p, np.maximum(lane[:-1, live], 0), np.maximum(goal, 0), mask, h[live], cls, opt.zero(), opt.room)
         opt.turn(rate * float(mask.mean()) * len(live) / LANES)
         tokens, total = tokens + int(mask.sum()), total + loss
     return tokens, total
@@ -618,19 +657,20 @@ def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndar
     sym = np.append(sym, 0)
     steps = int(size[0]) + 1 if len(size) else 0
     live = np.searchsorted(-size, -np.arange(steps), side="right")  # documents with a token (or the end) at each step
+    room, (u_gates, u_cand), k = Scratch(), halves(p), h.shape[1]
     for w in range(0, steps, WINDOW):
         now = live[w : w + WINDOW]
         ends = np.cumsum(now)
         owner = np.arange(ends[-1]) - np.repeat(ends - now, now)
         t = np.repeat(np.arange(w, w + len(now)), now)
         at = first[owner] + t
-        x = xw[np.where(t == 0, 0, sym[at - 1])]
-        states = np.empty((len(owner), h.shape[1]), np.float32)
+        x = np.take(xw, np.where(t == 0, 0, sym[at - 1]), axis=0, out=room.get("x", len(owner), 3 * k), mode="clip")
+        states = room.get("states", len(owner), k)
         for a, b in zip((ends - now).tolist(), ends.tolist(), strict=True):
-            h, _ = step(p, x[a:b], h[: b - a])
-            states[a:b] = h
+            h = step(u_gates, u_cand, x[a:b], h[: b - a], room.get("gates", b - a, 2 * k), room.get("rh", b - a, k), room.get("cand", b - a, k), states[a:b])
+        h = h.copy()
         goal = np.where(size[owner] == t, 0, sym[at])
-        got = predicted(p, states, cls[goal], (goal - 1) % MEMBERS)
+        got = predicted(p, states, cls[goal], (goal - 1) % MEMBERS, room)
         total[: now[0]] += np.bincount(owner, got, now[0])
     out = np.empty(len(n))
     out[order] = total

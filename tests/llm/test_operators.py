@@ -254,7 +254,9 @@ def test_state_is_carried_over_windows_and_lanes():
         h, total = np.zeros((1, lm.HIDDEN), np.float32), 0.0
         own = sym[first[k] : first[k + 1]]
         for before, goal in zip([0, *own], [*own, 0], strict=True):
-            h, _ = lm.step(p, (p["E"] @ p["W"] + p["b"])[[before]], h)
+            x, m = p["E"][before] @ p["W"] + p["b"], lm.HIDDEN
+            z, r = np.split(1 / (1 + np.exp(-(x[: 2 * m] + h @ p["U"][:, : 2 * m]))), 2, axis=1)
+            h = (1 - z) * h + z * np.tanh(x[2 * m :] + (r * h) @ p["U"][:, 2 * m :])
             total += float(lm.predicted(p, h, cls[[goal]], np.array([(goal - 1) % lm.MEMBERS]))[0])
         assert got[k] == pytest.approx(total, rel=1e-4)
 
