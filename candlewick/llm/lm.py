@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -63,14 +64,25 @@ class WordHash(dict):
 _WORDS = WordHash()
 
 
+class Places(dict):
+    """Words by the order in which they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; per token an index into the distinct hashes; these, ascending; their endings."""
     split = [t.lower().split() for t in texts]
-    words = [w for ws in split for w in ws]
+    n = np.fromiter(map(len, split), np.int64, len(split))
+    places = Places()
+    ids = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.uint32, int(n.sum()))
+    words = list(places)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    uniq, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
     ending = np.fromiter([int.from_bytes(words[i][-2:], "little") for i in first.tolist()], np.uint16, len(first))
-    return np.fromiter(map(len, split), np.int64, len(split)), ids.astype(np.uint32), uniq, ending
+    return n, back.astype(np.uint32)[ids], uniq, ending
 
 
 def squeezed(tokens: np.ndarray) -> bytes:
@@ -274,14 +286,16 @@ class Scratch(dict):
 
 
 def step(u_gates: np.ndarray, u_cand: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, rh: np.ndarray, c: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """One unit's turn, into gates (update, reset), rh, c (candidate) and out (the state); x: input times W plus b."""
+    """One unit's turn, into gates (update, reset), rh, c (candidate) and out (the state).
+
+    x: input times W plus b. x and u_gates come halved for the gates: the logistic of v is (1 + tanh(v / 2)) / 2.
+    """
     k = h.shape[1]
     np.matmul(h, u_gates, out=gates)
     gates += x[:, : 2 * k]
-    np.negative(gates, out=gates)
-    np.exp(gates, out=gates)
-    gates += 1
-    np.reciprocal(gates, out=gates)
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
     np.multiply(gates[:, k:], h, out=rh)
     np.matmul(rh, u_cand, out=c)
     c += x[:, 2 * k :]
@@ -292,10 +306,12 @@ def step(u_gates: np.ndarray, u_cand: np.ndarray, x: np.ndarray, h: np.ndarray,
     return out
 
 
-def halves(p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The recurrent weights of the gates and of the candidate."""
+def prepared(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What step() takes: each symbol's input, the recurrent weights of the gates, those of the candidate."""
     k = len(p["U"])
-    return np.ascontiguousarray(p["U"][:, : 2 * k]), np.ascontiguousarray(p["U"][:, 2 * k :])
+    x = p["E"] @ p["W"] + p["b"]
+    x[:, : 2 * k] *= 0.5
+    return x, p["U"][:, : 2 * k] * p["U"].dtype.type(0.5), np.ascontiguousarray(p["U"][:, 2 * k :])
 
 
 def bounded(p: dict) -> bool:
@@ -360,8 +376,8 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     g = g or {n: np.zeros_like(v) for n, v in p.items()}
     room = Scratch() if room is None else room
     new = lambda name, *shape: room.get(name, *shape, kind=kind)
-    u_gates, u_cand = halves(p)
-    xw = np.take(p["E"] @ p["W"] + p["b"], inputs, axis=0, out=new("xw", steps, lanes, 3 * k), mode="clip")
+    by_input, u_gates, u_cand = prepared(p)
+    xw = np.take(by_input, inputs, axis=0, out=new("xw", steps, lanes, 3 * k), mode="clip")
     states, before, rh, cand = (new(n, steps, lanes, k) for n in ("states", "before", "rh", "cand"))
     gates = new("gates", steps, lanes, 2 * k)
     carried = (inputs > 0).astype(kind)[:, :, None]
@@ -405,7 +421,7 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     np.subtract(1, by_c, out=by_c)
     by_c *= z
     dh, dx = np.zeros((lanes, k), kind), new("dx", steps, lanes, 3 * k)
-    gates_t, cand_t = np.ascontiguousarray(u_gates.T), np.ascontiguousarray(u_cand.T)
+    gates_t, cand_t = np.ascontiguousarray(p["U"][:, : 2 * k].T), np.ascontiguousarray(u_cand.T)
     for t in reversed(range(steps)):
         dh += out[t]
         da = dx[t]
@@ -653,11 +669,11 @@ def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndar
     first, size = first[order], n[order]
     total = np.zeros(len(n))
     h = np.zeros((len(n), p["U"].shape[0]), np.float32)
-    xw = p["E"] @ p["W"] + p["b"]
+    xw, u_gates, u_cand = prepared(p)
     sym = np.append(sym, 0)
     steps = int(size[0]) + 1 if len(size) else 0
     live = np.searchsorted(-size, -np.arange(steps), side="right")  # documents with a token (or the end) at each step
-    room, (u_gates, u_cand), k = Scratch(), halves(p), h.shape[1]
+    room, k = Scratch(), h.shape[1]
     for w in range(0, steps, WINDOW):
         now = live[w : w + WINDOW]
         ends = np.cumsum(now)
@@ -688,21 +704,27 @@ def scored(chunks: DataFrame, totals: DataFrame, words: Words, weights: dict) ->
 
     def work(batches):
         m, p = known.value
+        below = np.log10(m.n + m.v + 1)
         for batch in batches:
-            for ids, t, n, tokens, uniq, ending, counts in zip(*(batch.column(k) for k in ("doc_ids", "train", "words", "tokens", "uniq", "ending", "counts")), strict=True):
+            # the chunks of a batch (some MB) are scored side by side, as their longest documents decide the steps
+            facts, symbols = [], []
+            for t, n, tokens, uniq, ending, counts in zip(*(batch.column(k) for k in ("train", "words", "tokens", "uniq", "ending", "counts")), strict=True):
                 n = np.frombuffer(n.as_py(), "<u4").astype(np.int64)
                 tokens = unsqueezed(tokens.as_py(), int(n.sum()))
                 u, e = np.frombuffer(uniq.as_py(), "<u8"), np.frombuffer(ending.as_py(), "<u2")
                 c = np.concatenate([np.frombuffer(x["counts"], "<u8") for x in counts.as_py() or []] or [np.zeros(0, "<u8")]).astype(np.float64)
                 sym = m.symbol_of(u, e)
                 owner = np.repeat(np.arange(len(n)), n)
-                below = np.log10(m.n + m.v + 1)
                 base = np.bincount(owner, (np.log10(c + 1) - below)[tokens], len(n)) + np.log10(m.ends + 1) - below
                 seen = np.bincount(owner, (c > 0)[tokens], len(n)).astype(np.int64) + (m.ends > 0)
                 group = np.maximum(sym - 1 - LISTED, 0)
                 inner = np.where(sym > LISTED, np.log(c + 1) - np.log(m.mass[group].sum(axis=1) + 1), 0)
-                score = (log_scores(p, m, sym[tokens], n) + np.bincount(owner, inner[tokens], len(n))) / LOG10
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(np.frombuffer(t.as_py(), np.uint8) > 0), pa.array(n + 1), pa.array(seen), pa.array(base), pa.array(score)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+                facts.append((np.frombuffer(t.as_py(), np.uint8) > 0, n, seen, base, np.bincount(owner, inner[tokens], len(n))))
+                symbols.append(sym.astype(np.int32)[tokens])
+            if facts:
+                train, n, seen, base, inner = (np.concatenate(x) for x in zip(*facts, strict=True))
+                score = (log_scores(p, m, np.concatenate(symbols), n) + inner) / LOG10
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten(), pa.array(train), pa.array(n + 1), pa.array(seen), pa.array(base), pa.array(score)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     return chunks.drop("count").join(answers, "chunk", "left").mapInArrow(work, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
 
