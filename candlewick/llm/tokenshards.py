@@ -1,15 +1,17 @@
 """Token ids in binary shards, with a minimal perfect hash index over document keys.
 
-Format, in one folder. `shard-PPPPPP-KKKK.ids`: a header (magic, id width in bytes, ids), then the raw ids of
-documents, little-endian, one after the other in ascending doc_id order (null first, equal ids by text hash);
-shards in order of P, K continue each other. `index-BBBBBB.mph`: for the keys that hash to bucket B a minimal
-perfect hash (hash and displace: per small bucket of keys a displacement that puts all its keys on free slots;
-single keys name their slot), a 32-bit fingerprint per slot that rejects foreign keys, and the slot's entries:
-shard, offset and number of ids, and the number of ids before it in all shards. A key costs one hash, one
-displacement, one slot: constant time, whatever the corpus.
-
-Ids come from the tokenizers library. White space always separates tokens in the tokenizers this is for, so
-every distinct word of a batch goes through the library once and a text is its words' ids in order.
+Format, in one folder. `shard-PPPPPP-KKKK.ids`: a header (magic, id width in bytes, documents, ids), the number of ids
+of each document, then the raw ids of documents, little-endian, one after the other in ascending doc_id order (null
+first, equal ids by text hash); shards in order of P, K continue each other. `index-BBBBBB.mph`: for the keys that hash
+to bucket B a minimal perfect hash (hash and displace: per small bucket of keys a displacement that puts all its keys on
+free slots; single keys name their slot), a 32-bit fingerprint per slot that rejects foreign keys, and the slot's
+entries: shard, place of the key's first document in it, how many documents, and the number of ids before the first in
+all shards. A key costs one hash, one displacement, one slot: constant time, whatever the corpus. Rows of one key stand
+together, so a key has one entry a shard however often it is repeated. A shard that is asked for in good part is read
+once; else each entry is one ranged read.
+
+Ids come from the tokenizers library. Where the tokenizer's file says that white space separates tokens, every distinct
+word of a batch goes through the library once and a text is its words' ids in order; else whole texts go through it.
 Documents are dealt by ranges of (doc_id, text hash), so one repeated id does not fill one shard; files are
 written under another name and moved, so a task that is run again leaves the same files.
 
@@ -20,6 +22,7 @@ matter; an empty table writes no shard and returns no rows.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,14 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import NOT_SPACE, SPACE, slices
-from .common import new_path, ship_package, written
+from .bpe import NOT_SPACE, SPACE, checked, slices
+from .common import bunches, new_path, ship_package, written
 from .minhash import mixed
 
 END = 1
 SHARD_BYTES, INDEX_KEYS = 16_000_000, 40_000
 CACHE_WORDS = 1_400_000
-HEAD, INDEX = "<4sIQ", "<4sQQQQ"  # struct formats
+GOOD_PART = 0.2  # of a shard's ids: from that share on the shard is read whole
+HEAD, INDEX = "<4sIQQ", "<4sQQQQ"  # struct formats
 HEAD_BYTES, INDEX_BYTES = struct.calcsize(HEAD), struct.calcsize(INDEX)
 
 
@@ -76,10 +80,20 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        try:
+            self.by_word = bool(checked(spec))
+        except ValueError:
+            self.by_word = False
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_word:
+            for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(got.ids, self.kind).tobytes()
+            return
         split = [[w for w in SPACE.split(t) if w] if NOT_SPACE.search(t) else t.split() for t in texts]
         new = list(set().union(*split).difference(self.known)) if split else []
         if len(self.known) > CACHE_WORDS:
@@ -182,7 +196,7 @@ class Index:
         self.flat = np.frombuffer(data, "<i8", 4 * m, at + 4 * (groups + n + n + 1)).reshape(-1, 4)
 
     def find(self, keys: list) -> list[np.ndarray]:
-        """Each key's entries (shard, offset, ids, ids before); none for a key that is not here."""
+        """Each key's entries (shard, place, documents, ids before); none for a key that is not here."""
         if not len(self.marks):
             return [self.flat[:0]] * len(keys)
         h = key_hash(keys)
@@ -209,44 +223,47 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataF
         enc = word_ids(tokenizer)
         last = np.array([end], enc.kind).tobytes()
         width, part = len(last), TaskContext.get().partitionId()
-        held, size, number, ids, out = [], 0, 0, [], []
+        held, size, number = [], 0, 0
 
         def flush():
-            put(folder, f"shard-{part:06d}-{number:04d}.ids", [struct.pack(HEAD, b"TKID", width, size // width), *held])
+            counts = np.array([len(x) // width for x in held], "<u4").tobytes()
+            put(folder, f"shard-{part:06d}-{number:04d}.ids", [struct.pack(HEAD, b"TKID", width, len(held), size // width), counts, *held])
 
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 piece = batch.slice(a, b - a)
-                key = piece.column("doc_id")
                 rows = []
                 for raw in enc.encode_batch(piece.column("text").to_pylist()):
                     raw += last
                     if held and size + len(raw) > SHARD_BYTES:
                         flush()
                         held, size, number = [], 0, number + 1
-                    rows.append((part << 20 | number, size // width, len(raw) // width))
+                    rows.append((part << 20 | number, len(held), size // width, len(raw) // width))
                     held.append(raw)
                     size += len(raw)
-                yield pa.RecordBatch.from_arrays([key, *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], names=["doc_id", "shard", "offset", "n"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], names=["doc_id", "shard", "place", "offset", "n"])
         if held:
             flush()
 
-    where = written(dealt.select("doc_id", "text").mapInArrow(shards, f"doc_id {kind}, shard long, offset long, n long"), "places")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    table = written(where.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("docs")).withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0))), "shards")
+    where = written(dealt.select("doc_id", "text").mapInArrow(shards, f"doc_id {kind}, shard long, place long, offset long, n long"), "places")
+    # ids before each shard: of the parts before, then of the part's own shards before
+    table = where.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("docs")).withColumn("part", F.shiftright("shard", 20))
+    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    parts = table.groupBy("part").agg(F.sum("ids").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    table = written(table.withColumn("own", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(parts, "part").select("shard", "ids", "docs", (F.col("base") + F.col("own")).alias("before")), "shards")
     total = table.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // INDEX_KEYS))
 
     def index(key, rows):
-        rows = rows.sort_by([("shard", "ascending"), ("offset", "ascending")])
+        rows = rows.sort_by([("shard", "ascending"), ("place", "ascending")])
         entries: dict = {}
-        for k, *e in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "shard", "offset", "n", "start")), strict=True):
+        for k, *e in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "shard", "place", "docs", "start")), strict=True):
             entries.setdefault(k, []).append(tuple(e))
         put(folder, f"index-{key[0].as_py():06d}.mph", [build(list(entries), list(entries.values()))])
         return pa.table({"bucket": [key[0].as_py()], "keys": [len(entries)]}, schema=pa.schema([("bucket", pa.int32()), ("keys", pa.int64())]))
 
-    placed = where.join(table.select("shard", "before"), "shard").select("doc_id", "shard", "offset", "n", (F.col("before") + F.col("offset")).alias("start"), bucket(buckets))
-    # one key's rows meet in one entry list; rows of four numbers, so even a key of a million copies is small
+    runs = where.groupBy("doc_id", "shard").agg(F.min("place").alias("place"), F.count("*").alias("docs"), F.min("offset").alias("offset"))
+    placed = runs.join(table.select("shard", "before"), "shard").select("doc_id", "shard", "place", "docs", (F.col("before") + F.col("offset")).alias("start"), bucket(buckets))
     written(placed.groupBy("bucket").applyInArrow(index, "bucket int, keys long"), "index")
     put(folder, "buckets", [str(buckets).encode()])
     return table
@@ -283,30 +300,44 @@ def read(spark: SparkSession, keys: DataFrame, folder: str, digests: bool = True
                 got = index.find(mine.to_pylist())
                 take = np.repeat(np.arange(len(mine)), [len(g) for g in got])
                 flat = np.concatenate(got)
-                yield pa.RecordBatch.from_arrays([mine.take(pa.array(take)), *(pa.array(flat[:, k]) for k in range(4))], names=["doc_id", "shard", "offset", "n", "start"])
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(take)), *(pa.array(flat[:, k]) for k in range(4))], names=["doc_id", "shard", "place", "docs", "start"])
 
-    hits = asked.mapInArrow(find, f"doc_id {kind}, shard long, offset long, n long, start long")
+    hits = asked.mapInArrow(find, f"doc_id {kind}, shard long, place long, docs long, start long")
 
     def fetch(batches):
-        now, f, width = None, None, 0
-        for batch in batches:
-            out = []
-            for s, o, n in zip(*(batch.column(k).to_pylist() for k in ("shard", "offset", "n")), strict=True):
-                if s != now:
-                    if f is not None:
-                        f.close()
-                    disk, base = filesystem(folder)
-                    now, f = s, disk.open_input_file(f"{base}/shard-{s >> 20:06d}-{s & 0xFFFFF:04d}.ids")
-                    magic, width, _ = struct.unpack(HEAD, f.read_at(HEAD_BYTES, 0))
-                    if magic != b"TKID":
-                        raise ValueError("not a shard")
-                ids = np.frombuffer(f.read_at(n * width, HEAD_BYTES + o * width), f"<u{width}").astype("<u4")
-                if len(ids) != n:
+        for rows, start in bunches(batches, ["shard"]):
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
+                yield from of_shard(rows.slice(a, b - a))
+
+    def of_shard(rows):
+        s = rows.column("shard")[0].as_py()
+        place, docs, start = (rows.column(k).to_numpy() for k in ("place", "docs", "start"))
+        disk, base = filesystem(folder)
+        with disk.open_input_file(f"{base}/shard-{s >> 20:06d}-{s & 0xFFFFF:04d}.ids") as f:
+            magic, width, n, ids = struct.unpack(HEAD, f.read_at(HEAD_BYTES, 0))
+            counts = np.frombuffer(f.read_at(4 * n, HEAD_BYTES), "<u4").astype(np.int64)
+            if magic != b"TKID" or len(counts) != n or counts.sum() != ids:
+                raise ValueError("not a whole shard")
+            ends, first = np.cumsum(counts), HEAD_BYTES + 4 * n
+            edge = np.append(0, ends)
+            lo, hi = edge[place], edge[place + docs]
+            whole = f.read_at(ids * width, first) if (hi - lo).sum() >= GOOD_PART * ids else None
+            out: list = []
+            for a, b, p, d, at in zip(lo.tolist(), hi.tolist(), place.tolist(), docs.tolist(), start.tolist(), strict=True):
+                raw = whole[a * width : b * width] if whole is not None else f.read_at((b - a) * width, first + a * width)
+                if len(raw) != (b - a) * width:
                     raise ValueError("a shard ends early")
-                out.append(zlib.crc32(ids.tobytes()) if digests else ids.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(out, pa.int64() if digests else pa.list_(pa.int64()))], names=["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
-
-    return hits.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(fetch, f"doc_id {kind}, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>"))
+                mine = np.frombuffer(raw, f"<u{width}").astype("<u4")
+                cuts = (edge[p : p + d + 1] - a).tolist()
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    out.append((at + x, y - x, zlib.crc32(mine[x:y]) if digests else mine[x:y].tolist()))
+        take = pa.array(np.repeat(np.arange(len(rows)), docs))
+        keys = rows.column("doc_id").combine_chunks().take(take)
+        for k in range(0, len(out), 5000):
+            part = out[k : k + 5000]
+            yield pa.RecordBatch.from_arrays([keys.slice(k, len(part)), *(pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64() if digests else pa.list_(pa.int64()))))], names=["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"])
+
+    return hits.repartition("shard").sortWithinPartitions("shard", "place").mapInArrow(fetch, f"doc_id {kind}, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>"))
 
 
 def op1(docs: DataFrame, tokenizer: str) -> DataFrame:
