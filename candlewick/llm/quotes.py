@@ -9,10 +9,14 @@ whole (a trimmed quote) links to the latest that offers each of its paragraphs,
 message's parent is the latest one that its level-1 passages link to. Ancestors are found by pointer doubling, and each conversation comes in reply order:
 by the thread's first turn, then depth, then turn.
 
-A position is counted in chunks of turns (their sizes first, then within a chunk), so no task orders a whole
-conversation. Defined cases: null texts have no quotes and an empty own text; empty passages link with
-nothing; null turns come last and are never quoted, null conversations keep their messages apart from links;
-repeated rows share their results (positions among ties are arbitrary but distinct); an empty table gives none.
+Rows of a conversation are dealt by ranges of their order and counted by part, and the latest offer of a hash is
+looked for in cells of turns first, so no task holds a whole conversation or a whole hash. n_quotes and n_linked count
+distinct passages (level and text).
+
+Defined cases: null texts have no quotes and an empty own text; whole texts count, however long; empty passages link
+with nothing; null turns come last and are never quoted, null conversations keep their messages apart from links;
+repeated rows share their results (positions among ties are arbitrary but distinct); extra columns do not matter; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,10 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MARKS = r"^((?:[ \t]?>)+)[ \t]?"
 #: How common mail programs introduce a quote, at a line's end.
 ATTRIBUTION = r"(?i)(?:wrote|writes|schrieb|a écrit|escribió)\s?:\s*$"
-CHUNK = 10  # bits of a turn within a chunk
+CHUNK = 10  # bits of a turn within a cell
 
 
 def normal(text: Column) -> Column:
@@ -36,9 +39,20 @@ def digest(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.md5(text))
 
 
+def leveled(line: Column) -> Column:
+    """level and body of a line: its `>` marks, each with at most one blank before it, and what follows them.
+
+    Plain character classes only: a repeated group would recurse for every mark of a long line.
+    """
+    head = F.get(F.split(F.regexp_extract(line, r"^[ \t>]*", 0), r"[ \t]{2}", 2), F.lit(0))
+    level = F.length(head) - F.length(F.replace(head, F.lit(">"), F.lit("")))
+    rest = F.substring(line, F.length(F.rtrim(head, F.lit(" \t"))) + 1, F.length(line))
+    return F.struct(level.alias("level"), F.when(level > 0, F.regexp_replace(rest, r"^[ \t]", "")).otherwise(line).alias("body"))
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """Adds lines (level, body), starts (first line of each passage) and runs (level, body, in order)."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), leveled)
     out = messages.withColumn("lines", lines)
     # an attribution takes the level of the quote that follows it
     lead = F.transform("lines", lambda x, i: F.struct(F.when((F.get("lines", i + 1)["level"] > x["level"]) & F.regexp_like(x["body"], F.lit(ATTRIBUTION)), F.lit(-1)).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
@@ -81,8 +95,14 @@ def found(offer: DataFrame, ask: DataFrame) -> DataFrame:
         want = left.select("conv_id", F.col("part"), F.col("upto").alias("at"), F.lit(0).alias("side"), cells)
         give = offer.join(left.select("conv_id", F.col("part").alias("hash")).distinct(), ["conv_id", "hash"], "left_semi")
         run = want.unionByName(give.select("conv_id", F.col("hash").alias("part"), F.col("from_turn").alias("at"), F.lit(1).alias("side")), allowMissingColumns=True)
-        w = Window.partitionBy("conv_id", "part").orderBy(F.struct("at", "side")).rowsBetween(Window.unboundedPreceding, -1)
-        met = run.withColumn("last", F.max(F.when(F.col("side") == 1, F.col("at"))).over(w)).where("side = 0 and last is not null").select("ask.*", "part", "last")
+        run = run.withColumn("cell", F.shiftright(F.col("at").cast("long"), CHUNK))
+        offered = F.max(F.when(F.col("side") == 1, F.col("at")))
+        cells = run.groupBy("conv_id", "part", "cell").agg(offered.alias("top"), F.min("side").alias("least"))
+        before = F.max("top").over(Window.partitionBy("conv_id", "part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+        cells = cells.withColumn("before", before).where("least = 0").select("conv_id", "part", "cell", "before")
+        w = Window.partitionBy("conv_id", "part", "cell").orderBy(F.struct("at", "side")).rowsBetween(Window.unboundedPreceding, -1)
+        met = run.withColumn("inner", offered.over(w)).where("side = 0").join(cells, ["conv_id", "part", "cell"])
+        met = met.withColumn("last", F.coalesce("inner", "before")).where("last is not null").select("ask.*", "part", "last")
         met = written(met, "met")
         each = met.groupBy(*passage, "way", "n").agg(F.count("*").alias("m"), F.min("last").alias("lo"), F.max("last").alias("hi")).where("m = n")
         each = written(each, "bounds")
@@ -105,7 +125,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     ask = rows.where("conv_id is not null and turn is not null and size(quoted) > 0").select("conv_id", "turn", "key", F.explode("quoted").alias("q")).select("conv_id", "turn", "key", "q.level", "q.hash", "q.parts").where("hash is not null").distinct()
     hit = found(offer, ask)
     parent = hit.groupBy("key").agg(F.max(F.when(F.col("level") == 1, F.col("to_turn"))).alias("parent_turn"), F.count("*").alias("n_linked"))
-    nodes = written(rows.join(parent, "key", "left").select("conv_id", "turn", "role", "key", "own_text", F.size("quoted").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn"), "nodes")
+    nodes = written(rows.join(parent, "key", "left").select("conv_id", "turn", "role", "key", "own_text", F.size(F.array_distinct(F.filter(F.transform("quoted", lambda q: F.struct(q["level"], q["hash"])), lambda q: q["hash"].isNotNull()))).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn"), "nodes")
     # a turn's parent, root and depth; several messages of a turn count as the one with the latest parent
     up = nodes.where("conv_id is not null and parent_turn is not null").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("up"))
     up = written(up.withColumn("steps", F.lit(1)), "up")
@@ -116,11 +136,13 @@ def conversations(messages: DataFrame) -> DataFrame:
             break
         up = written(moved.select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "up")
     placed = nodes.join(up, ["conv_id", "turn"], "left").withColumns({"root_turn": F.coalesce("up", "turn"), "depth": F.coalesce("steps", F.lit(0))})
-    last = F.lit((1 << 63) - 1)
-    chunk = F.struct(F.coalesce(F.col("root_turn").cast("long"), last).alias("r"), F.col("depth").alias("d"), F.shiftright(F.coalesce(F.col("turn").cast("long"), last), CHUNK).alias("c"))
-    placed = placed.withColumn("chunk", chunk)
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inner = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_last(), "key")
-    both = placed.withColumn("rank", F.row_number().over(inner)).join(base.select(F.col("conv_id").alias("c2"), F.col("chunk").alias("k2"), "base"), F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("chunk").eqNullSafe(F.col("k2")))
+    # positions: dealt by ranges of the order, counted by part, then within a part
+    order = ["conv_id", F.col("root_turn").asc_nulls_last(), "depth", F.col("turn").asc_nulls_last(), "key", "tie"]
+    dealt = placed.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order).sortWithinPartitions(*order)
+    slots = written(dealt.drop("tie").withColumn("slot", F.monotonically_increasing_id()), "slots")
+    part = F.shiftright("slot", 33).alias("part")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = slots.groupBy("conv_id", part).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inner = Window.partitionBy("conv_id", "part").orderBy("slot")
+    both = slots.withColumn("part", part).withColumn("rank", F.row_number().over(inner)).join(base.select(F.col("conv_id").alias("c2"), F.col("part").alias("p2"), "base"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2")))
     return both.select("conv_id", "turn", "role", F.col("own_text").alias("text"), "n_quotes", "n_linked", "parent_turn", "root_turn", "depth", (F.col("base") + F.col("rank")).cast("long").alias("position"))

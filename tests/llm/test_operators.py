@@ -72,6 +72,29 @@ def test_shards_of_odd_rows(odd, empty, tokenizer):
     assert tokenshards.op1(empty, TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_repeated_keys_over_many_shards(spark, tokenizer, share, monkeypatch):
+    """Read whole or in ranges; a key has an entry a shard."""
+    monkeypatch.setattr(tokenshards, "SHARD_BYTES", 64)
+    monkeypatch.setattr(tokenshards, "GOOD_PART", share)
+    rows = [(7, f"word {k % 5} and more") for k in range(60)] + [(k, "x " * k) for k in range(20)]
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenshards.op1(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect())
+    want = expected_shards(tokenizer, rows)
+    assert Counter((i, n, c) for i, _, n, c in got) == Counter((i, n, c) for i, _, n, c in want)
+    ends = [s + n for _, s, n, _ in got]
+    assert [s for _, s, _, _ in got] == [0, *ends[:-1]]
+
+
+def test_ids_of_a_tokenizer_that_keeps_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "two  spaces and\na line"), (2, " lead"), (3, None)]
+    got = {r.doc_id: r.n_tokens for r in tokenshards.op1(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    t = Tokenizer.from_file(path)
+    assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in rows}
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 3000])
 def test_perfect_hash(n):
     shift, slot = tokenshards.perfect_hash(tokenshards.key_hash(list(range(n))))
@@ -215,6 +238,89 @@ def test_replies_between_quotes_and_trimmed_quotes_link(spark):
     assert [(r.turn, r.n_linked, r.parent_turn) for r in got] == [(0, 0, None), (1, 1, 0), (2, 2, 1), (3, 1, 0), (4, 0, None), (5, 1, 0), (6, 0, None), (7, 0, None), (8, 1, 7)]
 
 
+def brute_conversations(rows):
+    """parent turn, n_linked, depth, root and order of (turn, text) rows with distinct turns of one conversation."""
+    import re
+
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    split = {}
+    for turn, text in rows:
+        lines = []
+        for x in (text or "").split("\n"):
+            m = re.match(r"((?:[ \t]?>)+)[ \t]?", x)
+            lines.append((m[1].count(">") if m else 0, x[m.end() :] if m else x))
+        runs = []
+        for level, body in lines:
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(body)
+            else:
+                runs.append((level, [body]))
+        split[turn] = [(level, "\n".join(body)) for level, body in runs]
+    offers = {}
+    for turn, runs in split.items():
+        own = [b for level, b in runs if level == 0]
+        whole = "\n".join(own).strip(" ")
+        if whole == "":
+            offers[turn] = set()
+            continue
+        units = [whole, *own, *re.split(r"\n\s*\n", whole), *(p for b in own for p in re.split(r"\n\s*\n", b)), *whole.split("\n")]
+        offers[turn] = {norm(u) for u in units} - {""}
+    parent, linked = {}, {}
+    for turn, runs in split.items():
+        up, n = [], set()
+        for level, body in runs:
+            if level == 0 or not norm(body):
+                continue
+            for parts in ([body], re.split(r"\n\s*\n", body), body.split("\n")):
+                need = {norm(p) for p in parts} - {""}
+                to = max((t for t in offers if t < turn and need <= offers[t]), default=None)
+                if need and to is not None:
+                    n.add((level, norm(body)))
+                    if level == 1:
+                        up.append(to)
+                    break
+        parent[turn], linked[turn] = max(up, default=None), len(n)
+    out = {}
+    for turn in split:
+        depth, at = 0, turn
+        while parent[at] is not None:
+            depth, at = depth + 1, parent[at]
+        out[turn] = (linked[turn], parent[turn], at, depth)
+    order = sorted(split, key=lambda t: (out[t][2], out[t][3], t))
+    return {t: (*out[t], order.index(t) + 1) for t in split}
+
+
+def test_conversations_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "CHUNK", 2)
+    rng, rows, convs = np.random.default_rng(12), [], {}
+    for c in range(6):
+        texts = []
+        for turn in range(30):
+            own = [f"line {rng.integers(0, 12)} of {c}" for _ in range(rng.integers(1, 5))]
+            if rng.random() < 0.3:
+                own.insert(int(rng.integers(0, len(own))), "")
+            text = "\n".join(own)
+            if turn and rng.random() < 0.7:
+                lines = texts[int(rng.integers(0, turn))].split("\n")
+                a = int(rng.integers(0, len(lines)))
+                quote = [f"> {x}" if not x.startswith(">") else f">{x}" for x in lines[a : a + int(rng.integers(1, 5))]]
+                text = "\n".join([*quote, text])
+            texts.append(text)
+        convs[c] = list(enumerate(texts))
+        rows += [(c, t, "u", x) for t, x in convs[c]]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_turn, r.root_turn, r.depth, r.position) for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    assert got == {(c, t): v for c in convs for t, v in brute_conversations(convs[c]).items()}
+    assert sum(v[0] for v in got.values()) > 40
+
+
+def test_quotes_of_odd_rows(spark):
+    long = "\n".join(f"> {k}" if k % 2 else f"own {k}" for k in range(4000))
+    rows = [(1, 0, "u", long), (1, 0, "u", long), (1, None, None, None), (None, None, None, ""), (None, 1, "u", "> x"), (1, 1, "u", ">" * 3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("slot", "part", "tie", "position", "hash", "cell")})
+    got = quotes.conversations(df).collect()
+    assert sorted((r.conv_id is None, r.position) for r in got) == [(False, 1), (False, 2), (False, 3), (False, 4), (True, 1), (True, 2)]
+
+
 # -- 4: language model -----------------------------------------------------------------------
 
 
