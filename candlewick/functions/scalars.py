@@ -70,10 +70,23 @@ def range_label(x: Column, ranges: Sequence[tuple[float, float, str]], default:
     return out
 
 
-#: Quote currencies of crypto pairs.
-CRYPTO_QUOTES = ("USDT", "USDC", "BUSD", "BTC", "ETH")
+#: Quote currencies of crypto pairs, and the tickers that count as major US shares.
+CRYPTO_QUOTES = ("USDT", "BUSD", "USDC")
+US_MAJORS = (
+    "AAPL", "MSFT", "GOOGL", "AMZN", "META", "TSLA", "NVDA", "BRK.B", "JPM", "V", "WMT", "PG", "MA", "HD", "DIS", "BAC", "NFLX", "ADBE", "CRM", "CSCO",
+    "PEP", "KO", "INTC", "AMD", "PYPL", "CMCSA", "TMO",
+)
 
 
 def asset_class(base: Column, quote: Column) -> Column:
-    """Which kind of source an instrument belongs to: crypto by quote currency, shares by ticker form, else other."""
-    return F.when(quote.isin(*CRYPTO_QUOTES), "crypto").when(base.rlike(r"^\d{6}$"), "cn_stock").when(base.rlike(r"^\d{4,5}$"), "hk_stock").when((quote == "USD") & base.rlike("^[A-Z]{1,5}$"), "us_stock").otherwise("other")
+    """Which kind of source an instrument belongs to, by quote currency; Hong Kong and Chinese shares have numbers as
+    tickers, US shares are major or not by their ticker without digits; anything else is unknown."""
+    number = base.rlike("^[0-9]+$")
+    major = F.regexp_replace(base, "[0-9]+", "").isin(*US_MAJORS)
+    return (
+        F.when(quote.isin(*CRYPTO_QUOTES), "crypto")
+        .when((quote == "HKD") & number, "hk_stock")
+        .when(quote.isin("CNY", "CNH") & number, "cn_stock")
+        .when(quote == "USD", F.when(major, "us_major").otherwise("us_stock"))
+        .otherwise("unknown")
+    )

@@ -8,6 +8,7 @@ the curve.) Runs are independent, so runs and parameter sets are the parallelism
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,28 @@ class Account:
         self.entry: dict[str, float] = {}
         self.price: dict[str, float] = {}
         self.fills: list[dict] = []
+        self.pending: dict[int, tuple[str, float, float]] = {}
+        self.placed = 0
+
+    def place(self, symbol: str, quantity: float, limit: float) -> int:
+        """A limit order that waits; its number, for cancel()."""
+        self.placed += 1
+        self.pending[self.placed] = (symbol, quantity, limit)
+        return self.placed
+
+    def cancel(self, number: int) -> bool:
+        """Take back a waiting order; False if it does not wait any more."""
+        return self.pending.pop(number, None) is not None
+
+    def match(self, ts: int) -> list[int]:
+        """Fill the waiting orders that the current prices reach, at those prices; a buy that cash does not cover waits on."""
+        filled = []
+        for number, (symbol, quantity, limit) in list(self.pending.items()):
+            price = self.price.get(symbol)
+            if price is not None and (price <= limit if quantity > 0 else price >= limit) and self.order(ts, symbol, quantity, limit=price):
+                del self.pending[number]
+                filled.append(number)
+        return filled
 
     def equity(self) -> float:
         return self.cash + sum(q * self.price[s] for s, q in self.quantity.items())
@@ -99,37 +122,67 @@ class Grid:
             self.centre[bar.symbol] = centre * (1 + self.spacing)
 
 
+class Bar(NamedTuple):
+    ts: int
+    symbol: str
+    close: float
+
+
 RESULT = "ts long, equity double, cash double, fills int, pnl double, wins int, losses int, won double, lost double"
 
 
-def simulate(bars: DataFrame, runs: Sequence[str], strategy: Callable[..., Strategy], cash: float = 10_000.0, fee: float = 0.001, slippage: float = 0.0, parameters: Sequence[str] = ()) -> DataFrame:
-    """bars: runs, parameters, ts, symbol, close. One equity row a run and time, with that time's fills."""
-    workers_import_package(bars.sparkSession)
+def simulate(bars: DataFrame, runs: Sequence[str], strategy: Callable[..., Strategy], cash: float = 10_000.0, fee: float = 0.001, slippage: float = 0.0, parameters: Sequence[str] = (), report: bool = False) -> DataFrame:
+    """bars: runs, parameters, ts, symbol, close. One equity row a run and time, with that time's fills.
 
-    def work(frame):
-        import pandas as pd
+    Waiting orders are matched against new prices before the strategy acts. With report, also seconds (of the whole
+    run) and error: a run that fails gives one row with its error in place of ending the job.
+    """
+    workers_import_package(bars.sparkSession)
 
+    def ledger(frame) -> list[tuple]:
         frame = frame.sort_values(["ts", "symbol"], ignore_index=True)
+        times, symbols, closes = (frame[k].tolist() for k in ("ts", "symbol", "close"))
         account = Account(cash, fee, slippage)
         act = strategy(**{p: frame[p].iloc[0].item() for p in parameters})
-        out, done = [], 0
-        for ts, group in frame.groupby("ts", sort=True):
-            for bar in group.itertuples(index=False):
-                account.price[bar.symbol] = bar.close
-            for bar in group.itertuples(index=False):
-                act(account, bar)
+        out, done, at, n = [], 0, 0, len(times)
+        while at < n:
+            ts, start = times[at], at
+            while at < n and times[at] == ts:
+                account.price[symbols[at]] = closes[at]
+                at += 1
+            if account.pending:
+                account.match(ts)
+            for k in range(start, at):
+                act(account, Bar(ts, symbols[k], closes[k]))
             now = account.fills[done:]
             done = len(account.fills)
             shut = [f["pnl"] for f in now if f["closing"]]
             out.append((int(ts), account.equity(), account.cash, len(now), sum(f["pnl"] for f in now), sum(p > 0 for p in shut), sum(p < 0 for p in shut), sum(p for p in shut if p > 0), sum(-p for p in shut if p < 0)))
+        return out
+
+    def work(frame):
+        import time
+
+        import pandas as pd
+
+        began, error = time.perf_counter(), None
+        try:
+            out = ledger(frame)
+        except Exception as e:
+            if not report:
+                raise
+            out, error = [(None, None, None, 0, 0.0, 0, 0, 0.0, 0.0)], f"{type(e).__name__}: {e}"
         result = pd.DataFrame(out, columns=["ts", "equity", "cash", "fills", "pnl", "wins", "losses", "won", "lost"])
+        result["ts"] = result["ts"].astype("Int64")
+        if report:
+            result["seconds"], result["error"] = time.perf_counter() - began, error
         for k in [*parameters, *runs][::-1]:
             result.insert(0, k, frame[k].iloc[0])
         return result
 
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
     head = ", ".join(f"{k} {kinds[k]}" for k in [*runs, *parameters])
-    return bars.groupBy(*runs, *parameters).applyInPandas(work, f"{head}, {RESULT}")
+    return bars.groupBy(*runs, *parameters).applyInPandas(work, f"{head}, {RESULT}" + ", seconds double, error string" * report)
 
 
 def drawdown(equity: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
@@ -160,13 +213,14 @@ def trade_metrics(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sweep(bars: DataFrame, runs: Sequence[str], strategy: Callable[..., Strategy], sets: Iterable[dict], **kwargs) -> DataFrame:
-    """metrics and trade_metrics of every run under every parameter set."""
+    """metrics and trade_metrics of every run under every parameter set, its seconds, and the error of one that failed."""
     sets = list(sets)
     names = list(sets[0])
     dealt = bars.withColumn("p", F.explode(F.array(*[F.struct(*[F.lit(s[n]).alias(n) for n in names]) for s in sets]))).select(*bars.columns, "p.*")
-    equity = simulate(dealt, runs, strategy, parameters=names, **kwargs)
+    equity = simulate(dealt, runs, strategy, parameters=names, report=True, **kwargs)
     keys = [*runs, *names]
-    return metrics(equity, keys).join(trade_metrics(equity, keys), keys)
+    about = equity.groupBy(*keys).agg(F.max("seconds").alias("seconds"), F.max("error").alias("error"))
+    return metrics(equity, keys).join(trade_metrics(equity, keys), keys).join(about, keys)
 
 
 def cross_signals(bars: DataFrame, keys: Sequence[str], ts: str, close: str, fast: int = 5, slow: int = 20) -> DataFrame:
@@ -180,15 +234,21 @@ def cross_signals(bars: DataFrame, keys: Sequence[str], ts: str, close: str, fas
 def first_touch(orders: DataFrame, ticks: DataFrame, key: str, ts: str, price: str, width: int) -> DataFrame:
     """When each limit order fills: buys at the first later tick at or below the limit, sells at or above.
 
-    orders: id, key, side (1 or -1), placed, limit, until. Orders and ticks meet in time cells of width, each
-    order in the cells from placed to until; cells' extreme prices leave out those that cannot fill it.
+    orders: id, key, side (1 or -1), placed, limit, until. Orders and ticks meet in time cells of width. A cell's
+    extreme prices tell whether it can fill an order; of the cells wholly between placed and until the first that
+    can does fill it, so an order meets the ticks of three cells at most: its first one, that one, its last one.
     """
     cell = F.floor(F.col(ts) / width)
+    first, last = F.floor(F.col("placed") / width), F.floor(F.col("until") / width)
     reach = ticks.groupBy(key, cell.alias("cell")).agg(F.min(price).alias("lo"), F.max(price).alias("hi"))
-    spread = orders.withColumn("cell", F.explode(F.sequence(F.floor(F.col("placed") / width), F.floor(F.col("until") / width))))
+    spread = orders.withColumn("cell", F.explode(F.sequence(first, last)))
     fits = F.when(F.col("side") == 1, F.col("lo") <= F.col("limit")).otherwise(F.col("hi") >= F.col("limit"))
     near = spread.join(reach, [key, "cell"]).where(fits)
-    hit = near.join(ticks.withColumn("cell", cell).select(key, "cell", F.col(ts).alias("t"), F.col(price).alias("p")), [key, "cell"])
+    inner = F.min(F.when((F.col("cell") > first) & (F.col("cell") < last), F.col("cell")))
+    ends = F.collect_set(F.when((F.col("cell") == first) | (F.col("cell") == last), F.col("cell")))  # two at most
+    cells = near.groupBy(*orders.columns).agg(F.array_compact(F.array_append(ends, inner)).alias("cells"))
+    asked = cells.withColumn("cell", F.explode("cells")).drop("cells")
+    hit = asked.join(ticks.withColumn("cell", cell).select(key, "cell", F.col(ts).alias("t"), F.col(price).alias("p")), [key, "cell"])
     ok = (F.col("t") > F.col("placed")) & (F.col("t") <= F.col("until")) & F.when(F.col("side") == 1, F.col("p") <= F.col("limit")).otherwise(F.col("p") >= F.col("limit"))
     return hit.where(ok).groupBy("id").agg(F.min("t").alias("filled"))
 
@@ -204,7 +264,7 @@ def first_breach(equity: DataFrame, keys: Sequence[str], ts: str, value: str, st
     return equity.where((start - F.col(value)) / start > limit).groupBy(*keys).agg(F.min(ts).alias("stopped"))
 
 
-#: Price scenarios as phases of (kind, seconds, size); size is a share of the price.
+#: Price scenarios as phases of (kind, seconds, size); size is a share of the price.
 SCENARIOS = {
     "range": [("range", 600, 0.01)],
     "uptrend": [("trend", 600, 0.05)],
@@ -229,11 +289,17 @@ def scenario_prices(spark, name: str, start: float = 100.0, seed: int = 1, noise
     return out
 
 
-def random_walk(spark, n: int, start: float = 100.0, volatility: float = 0.001, seed: int = 1) -> DataFrame:
-    """t, price: exp of a running sum of normal steps (one series is one ordered partition)."""
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    steps = spark.range(n).select(F.col("id").alias("t"), (F.randn(seed) * volatility).alias("step"))
-    return steps.select("t", (F.lit(start) * F.exp(F.sum("step").over(w))).alias("price"))
+def random_walk(spark, n: int, start: float = 100.0, volatility: float = 0.001, seed: int = 1, chunk: int = 1 << 16) -> DataFrame:
+    """t, price: exp of a running sum of normal steps, summed by chunks of steps first, so no task orders the series."""
+    steps = spark.range(n).select(F.col("id").alias("t"), (F.sqrt(-2 * F.ln(_uniform(seed))) * F.cos(6.283185307179586 * _uniform(seed + 1)) * volatility).alias("step"), F.floor(F.col("id") / chunk).alias("chunk"))
+    before = steps.groupBy("chunk").agg(F.sum("step").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    w = Window.partitionBy("chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.join(before, "chunk").select("t", (F.lit(start) * F.exp(F.col("base") + F.sum("step").over(w))).alias("price"))
+
+
+def _uniform(seed: int):
+    """A number in (0, 1) from id and seed, the same in every task and run."""
+    return (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 12) + 0.5) / float(1 << 52)
 
 
 def sine_wave(spark, n: int, start: float = 100.0, size: float = 0.05, period: int = 100) -> DataFrame:

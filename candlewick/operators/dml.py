@@ -13,18 +13,25 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True).select(*table.columns)
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Column | None = None, changes: Sequence[str] | None = None) -> DataFrame:
     """Rows replace those of equal key; of several new rows with one key the last by order wins.
 
-    One pre-aggregated group-by over both sides: no join, no window, no hot task.
+    Without an order, several new rows of one key are an error, as Spark keeps no order of its own. changes: the
+    columns that a row which meets an old one sets; the others keep their old values. One pre-aggregated group-by
+    over both sides: no join, no window, no hot task.
     """
     rest = [c for c in table.columns if c not in keys]
-    rank = lambda side, by: F.struct(F.lit(side).alias("side"), by.alias("by"))
-    order = F.lit(0) if order is None else order
-    kind = rows.select(order.alias("by")).schema["by"].dataType
-    old = table.select(*keys, F.struct(*rest).alias("s"), rank(0, F.lit(None).cast(kind)).alias("r"))
-    new = rows.select(*keys, F.struct(*rest).alias("s"), rank(1, order).alias("r"))
-    return old.unionByName(new).groupBy(*keys).agg(F.max_by("s", "r").alias("s")).select(*keys, "s.*").select(*table.columns)
+    by = F.lit(0) if order is None else order
+    kind = rows.select(by.alias("by")).schema["by"].dataType
+    side = lambda df, new, rank: df.select(*keys, F.struct(*rest).alias("s"), F.lit(new).alias("new"), rank.alias("by"))
+    both = side(table, 0, F.lit(None).cast(kind)).unionByName(side(rows, 1, by))
+    of = lambda new: F.max_by(F.when(F.col("new") == new, F.col("s")), F.when(F.col("new") == new, F.struct("new", "by")))
+    met = both.groupBy(*keys).agg(of(1).alias("fresh"), of(0).alias("old"), F.sum("new").alias("n"))
+    fresh = F.col("fresh") if order is not None else F.when(F.col("n") > 1, F.raise_error(F.lit("several new rows of one key need an order"))).otherwise(F.col("fresh"))
+    met = met.withColumn("fresh", fresh)
+    keeps = set() if changes is None else set(rest) - set(changes)
+    pick = lambda c: F.when(F.col("fresh").isNull() | F.col("old").isNotNull(), F.col(f"old.{c}")).otherwise(F.col(f"fresh.{c}")) if c in keeps else F.when(F.col("fresh").isNull(), F.col(f"old.{c}")).otherwise(F.col(f"fresh.{c}"))
+    return met.select(*keys, *[pick(c).alias(c) for c in rest]).select(*table.columns)
 
 
 def newer_only(table: DataFrame, rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import seconds_of
+
 
 def bucket(ts: str | Column, width: int) -> Column:
     """Start of the epoch-aligned bucket of ts."""
@@ -25,6 +27,11 @@ def sample_by(df: DataFrame, ts: str, width: int, columns: dict[str, Sequence[st
     return df.groupBy(*keys, bucket(ts, width).alias("bucket")).agg(*aggs)
 
 
+def sample_by_interval(df: DataFrame, ts: str, interval: str, columns: dict[str, Sequence[str]], keys: Sequence[str] = (), tie: Sequence[str] = (), unit: int = 1000) -> DataFrame:
+    """sample_by with the bucket's width by name; unit: of ts, in parts of a second."""
+    return sample_by(df, ts, seconds_of(interval) * unit, columns, keys, tie)
+
+
 def bars(price: str, volume: Column, order: Column) -> list[Column]:
     """open, high, low, close, volume aggregates."""
     return [F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume")]

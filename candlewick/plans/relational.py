@@ -13,6 +13,26 @@ from .registry import HOURLY, TICKS, query, r
 R = S.round_half_up
 
 
+def prefixed(df, alias: str):
+    """df with its columns named `alias.column`, as SELECT * over a join names them."""
+    return df.select(*[F.col(c).alias(f"{alias}.{c}") for c in df.columns])
+
+
+@query('SELECT c.c_custkey AS "c.c_custkey", c.c_nationkey AS "c.c_nationkey", n.n_nationkey AS "n.n_nationkey", n.n_name AS "n.n_name" FROM (SELECT c_custkey, c_nationkey FROM customer) c JOIN (SELECT n_nationkey, n_name FROM nation) n ON c.c_nationkey = n.n_nationkey')
+def join_select_star(spark, d):
+    c = prefixed(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c")
+    n = prefixed(table(spark, d, "nation").select("n_nationkey", "n_name"), "n")
+    return c.join(n, F.col("`c.c_nationkey`") == F.col("`n.n_nationkey`"))
+
+
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c_name, ''), lambda x: ascii(x)::BIGINT)), lambda h, c: list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: xor(a >> 1, (a & 1) * 3988292384)))"
+
+
+@query(f"SELECT c_custkey, xor({_CRC}, 4294967295) AS crc FROM customer")
+def crc32_text(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.crc32(F.col("c_name").cast("binary")).alias("crc"))
+
+
 # -- projection and filter -------------------------------------------------------------------
 
 
@@ -271,10 +291,10 @@ def win_minmax(spark, d):
     return _windowed(spark, d, lo=F.min("price").over(w), hi=F.max("price").over(w))
 
 
-@query(f"SELECT id, symbol, {r(f'coalesce(var_samp(price) {_FIVE}, 0)', 2)} AS v, {r(f'coalesce(stddev_samp(price) {_FIVE}, 0)', 3)} AS sd FROM {TICKS}")
+@query(f"SELECT id, symbol, {r(f'coalesce(var_samp(price) {_FIVE}, 0)', 6)} AS v, {r(f'coalesce(stddev_samp(price) {_FIVE}, 0)', 6)} AS sd FROM {TICKS}")
 def win_stddev(spark, d):
     w = _w().rowsBetween(-4, 0)
-    return _windowed(spark, d, v=R(F.coalesce(F.var_samp("price").over(w), F.lit(0.0)), 2), sd=R(F.coalesce(F.stddev_samp("price").over(w), F.lit(0.0)), 3))
+    return _windowed(spark, d, v=R(F.coalesce(F.var_samp("price").over(w), F.lit(0.0)), 6), sd=R(F.coalesce(F.stddev_samp("price").over(w), F.lit(0.0)), 6))
 
 
 @query(f"SELECT id, symbol, {r(f'sum(price) {_ALL}', 2)} AS s, count(*) {_ALL} AS n FROM {TICKS}")
@@ -282,10 +302,10 @@ def win_running_default(spark, d):
     return _windowed(spark, d, s=R(F.sum("price").over(_run()), 2), n=F.count("*").over(_run()))
 
 
-@query(f"SELECT id, symbol, {r(f'coalesce(stddev_samp(price) {_FIVE}, 0) / (abs(price) + 1) * 100', 2)} AS x FROM {TICKS}")
+@query(f"SELECT id, symbol, {r(f'coalesce(stddev_samp(price) {_FIVE}, 0) / (abs(price) + 1) * 100', 6)} AS x FROM {TICKS}")
 def win_inline_expr(spark, d):
     sd = F.coalesce(F.stddev_samp("price").over(_w().rowsBetween(-4, 0)), F.lit(0.0))
-    return _windowed(spark, d, x=R(sd / (F.abs("price") + 1) * 100, 2))
+    return _windowed(spark, d, x=R(sd / (F.abs("price") + 1) * 100, 6))
 
 
 @query(f"SELECT user_id, id, ts, price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS rn FROM {TICKS}) WHERE rn = 1")
@@ -355,6 +375,19 @@ def delete_counts(spark, d):
     return dml.counts(e, dml.delete(e, F.col("value") > 50))
 
 
+@query(f"SELECT n.symbol, n.bucket, coalesce(n.close, o.close) AS close, CASE WHEN o.symbol IS NULL THEN n.volume ELSE o.volume END AS volume FROM {_NEW} n LEFT JOIN {_OLD} o ON o.symbol = n.symbol AND o.bucket = n.bucket UNION ALL SELECT o.symbol, o.bucket, o.close, o.volume FROM {_OLD} o ANTI JOIN {_NEW} n ON o.symbol = n.symbol AND o.bucket = n.bucket")
+def upsert_set_columns(spark, d):
+    """On conflict only close is set; volume stays."""
+    return dml.upsert(_old(spark, d), _new(spark, d), ["symbol", "bucket"], changes=["close"])
+
+
+@query(f"SELECT event_type AS symbol, arg_max(value, event_id) AS price, max(event_id) AS id FROM events GROUP BY event_type")
+def upsert_last_wins(spark, d):
+    """All events as new rows of one table keyed by type: the row with the largest id stays."""
+    rows = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.col("event_id").alias("id"))
+    return dml.upsert(rows.where("false"), rows, ["symbol"], order=F.col("id"))
+
+
 # -- access paths: only their results matter; files sorted by the keys let Parquet skip row groups ------------
 
 

@@ -124,12 +124,20 @@ def symbol_decode(spark, d):
     return coded.join(codes, "code").select("id", "code", "symbol")
 
 
-@query("SELECT o_orderkey, CAST(ceil(o_totalprice / 3600.0) AS BIGINT) AS bars, CASE o_orderkey % 5 WHEN 0 THEN '1h' WHEN 1 THEN '1d' WHEN 2 THEN '7m' WHEN 3 THEN '1m' ELSE '4h' END AS name FROM orders")
+_NAMES = " ".join(f"WHEN {v // 60} THEN '{k}'" for k, v in INTERVALS.items())
+
+
+@query(f"SELECT o_orderkey, CAST(ceil(o_totalprice / 3600.0) AS BIGINT) AS bars, CASE minutes {_NAMES} ELSE minutes || 'm' END AS name FROM (SELECT *, (o_custkey % 60 + 1) * (o_orderkey % 24 + 1) AS minutes FROM orders)")
 def interval_math(spark, d):
-    minutes = F.element_at(F.array(*map(F.lit, (60, 1440, 7, 1, 240))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    minutes = (F.col("o_custkey") % 60 + 1) * (F.col("o_orderkey") % 24 + 1)
     return table(spark, d, "orders").select("o_orderkey", bars_between(F.lit(0.0), F.col("o_totalprice"), INTERVALS["1h"]).alias("bars"), canonical_interval(minutes).alias("name"))
 
 
+@query(f"SELECT symbol, (ts // 14400000) * 14400000 AS bucket, arg_min(price, ts) AS price_first, {r('avg(price)')} AS price_avg FROM {TICKS} GROUP BY ALL")
+def sample_by_interval(spark, d):
+    return T.sample_by_interval(ticks(spark, d), "ts", "4h", {"price": ["first", "avg"]}, ["symbol"], ["id"]).withColumn("price_avg", R(F.col("price_avg"), 4))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y') AS year FROM events")
 def partition_label_time(spark, d):
     return ticks(spark, d).select(F.col("id").alias("event_id"), *[S.time_label(F.col("ts"), u).alias(u) for u in ("day", "month", "year")])
@@ -140,16 +148,21 @@ def partition_label_range(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.range_label(F.col("l_quantity"), [(0, 10, "low"), (10, 30, "mid")]).alias("label"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'crypto' WHEN 1 THEN 'us_stock' WHEN 2 THEN 'cn_stock' ELSE 'other' END AS kind FROM customer")
+_PAIR = "(SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 3 = 1 THEN upper(substr(c_mktsegment, 1, 4)) ELSE ['AAPL', 'V', 'ZZTOP', 'BRK.B', 'KO7'][c_custkey % 5 + 1] END AS base, ['USDT', 'USD', 'HKD', 'CNY', 'CNH', 'CHF', 'USDC'][c_nationkey % 7 + 1] AS quote FROM customer)"
+_MAJORS = ", ".join(f"'{t}'" for t in S.US_MAJORS)
+
+
+@query(f"SELECT c_custkey, CASE WHEN quote IN ('USDT', 'BUSD', 'USDC') THEN 'crypto' WHEN quote = 'HKD' AND regexp_full_match(base, '[0-9]+') THEN 'hk_stock' WHEN quote IN ('CNY', 'CNH') AND regexp_full_match(base, '[0-9]+') THEN 'cn_stock' WHEN quote = 'USD' AND regexp_replace(base, '[0-9]+', '', 'g') IN ({_MAJORS}) THEN 'us_major' WHEN quote = 'USD' THEN 'us_stock' ELSE 'unknown' END AS kind FROM {_PAIR}")
 def asset_class_route(spark, d):
-    turn = (F.col("c_custkey") % 4 + 1).cast("int")
-    base, quote = (F.element_at(F.array(*map(F.lit, v)), turn) for v in (("BTC", "AAPL", "600519", "EURO-X"), ("USDT", "USD", "CNY", "CHF")))
+    key, pick = F.col("c_custkey"), lambda at, *v: F.element_at(F.array(*map(F.lit, v)), (at + 1).cast("int"))
+    base = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, F.upper(F.substring("c_mktsegment", 1, 4))).otherwise(pick(key % 5, "AAPL", "V", "ZZTOP", "BRK.B", "KO7"))
+    quote = pick(F.col("c_nationkey") % 7, "USDT", "USD", "HKD", "CNY", "CNH", "CHF", "USDC")
     return table(spark, d, "customer").select("c_custkey", S.asset_class(base, quote).alias("kind"))
 
 
-@query("SELECT c_custkey, CAST(v.h AS BIGINT) AS h FROM customer, (SELECT 66 * 31 * 31 + 84 * 31 + 67 AS h) v")
+@query("SELECT c_custkey, abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda x: ascii(x)::BIGINT)), lambda h, c: (((h * 31 + c + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648)) AS h FROM customer")
 def string_hash(spark, d):
-    return table(spark, d, "customer").select("c_custkey", S.polynomial_hash(F.lit("BTC")).alias("h"))
+    return table(spark, d, "customer").select("c_custkey", S.polynomial_hash(F.col("c_name")).alias("h"))
 
 
 # -- indicators ------------------------------------------------------------------------------
@@ -317,14 +330,14 @@ def ma_cross_signals(spark, d):
     return B.cross_signals(hourly(spark, d), _K, "bucket", "close").select("symbol", "bucket", "signal")
 
 
-_LIMITS = f"(SELECT id, symbol, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS side, ts AS placed, CASE WHEN id % 2 = 0 THEN price * 0.9 ELSE price * 1.1 END AS lim, ts + {DAY} AS until FROM {TICKS} WHERE id % 10 = 0)"
+_LIMITS = f"(SELECT id, symbol, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS side, ts AS placed, CASE WHEN id % 2 = 0 THEN price * 0.9 ELSE price * 1.1 END AS lim, ts + {DAY} AS until FROM {TICKS})"
 
 
 @query(f"SELECT o.id, min(t.ts) AS filled FROM {_LIMITS} o JOIN {TICKS} t ON o.symbol = t.symbol AND t.ts > o.placed AND t.ts <= o.until AND ((side = 1 AND t.price <= lim) OR (side = -1 AND t.price >= lim)) GROUP BY o.id")
 def limit_fill_first_touch(spark, d):
     t = ticks(spark, d)
     even = F.col("id") % 2 == 0
-    orders = t.where("id % 10 = 0").select("id", "symbol", F.when(even, 1).otherwise(-1).alias("side"), F.col("ts").alias("placed"), F.when(even, F.col("price") * 0.9).otherwise(F.col("price") * 1.1).alias("limit"), (F.col("ts") + DAY).alias("until"))
+    orders = t.select("id", "symbol", F.when(even, 1).otherwise(-1).alias("side"), F.col("ts").alias("placed"), F.when(even, F.col("price") * 0.9).otherwise(F.col("price") * 1.1).alias("limit"), (F.col("ts") + DAY).alias("until"))
     return B.first_touch(orders, t.select("symbol", "ts", "price"), "symbol", "ts", "price", 4 * HOUR)
 
 
@@ -359,12 +372,23 @@ def backtest_grid(spark, d):
 @query()
 def param_sweep(spark, d):
     sets = [{"fast": f, "slow": s} for f in (3, 5) for s in (10, 20)]
-    return B.sweep(_for_runs(spark, d), ["run"], B.MovingAverageCross, sets)
+    return B.sweep(_for_runs(spark, d), ["run"], B.MovingAverageCross, sets).drop("seconds")
 
 
-@query()
+def _scenario_sql(name: str) -> str:
+    """The phases in closed form."""
+    parts, at, level = [], 0, 100.0
+    for i, (kind, seconds, size) in enumerate(B.SCENARIOS[name]):
+        share = f"((t - {at}) / {float(seconds)})"
+        path = {"range": f"1 + {size} * sin({share} * 2 * pi())", "gap": f"1 + {size}"}.get(kind, f"1 + {size} * {share}")
+        parts.append(f"SELECT t, {i} AS phase, {r(f'{level!r} * ({path})', 6)} AS price FROM (SELECT unnest(range({at}, {at + seconds}))::BIGINT AS t)")
+        at, level = at + seconds, level * (1 if kind == "range" else 1 + size)
+    return " UNION ALL ".join(parts)
+
+
+@query(_scenario_sql("pump_dump"))
 def scenario_prices(spark, d):
-    return B.scenario_prices(spark, "pump_dump")
+    return B.scenario_prices(spark, "pump_dump", noise=0.0).withColumn("price", R(F.col("price"), 6))
 
 
 @query(f"SELECT l_suppkey, epoch_ms(l_shipdate) AS ts, l_orderkey, l_extendedprice FROM lineitem WHERE l_suppkey = 3 AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' ORDER BY ts DESC, l_orderkey, l_extendedprice LIMIT 40")
@@ -378,7 +402,11 @@ def trade_query(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -402,16 +430,14 @@ def stream_indicators(spark, d):
 
 @query(f"SELECT symbol, bucket, open, high, low, close, volume FROM {HOURLY}")
 def stream_ohlcv(spark, d):
-    """All bars: the stream emits those the watermark has passed, the batch twin the open ones."""
+    """The stream's own bars. A last tick far in the future moves the watermark past all others; its bar stays open."""
     from ..streaming.indicators import run_to_end, stream_ohlcv as bars
 
     rows = _event_stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.col("value").alias("price"))
     path = _scratch(spark)
-    done = run_to_end(bars(rows, "1 hour", "0 seconds"), f"{path}/rows", f"{path}/state")
-    # the last watermark is the latest tick: the stream alone answers for bars that end by then
-    last = ticks(spark, d).agg(F.max("ts").alias("last"))
-    still = hourly(spark, d).crossJoin(F.broadcast(last)).where(F.col("bucket") + HOUR > F.col("last"))
-    return done.unionByName(still.select(*done.columns))
+    spark.range(1).select(F.lit(None).cast("string").alias("symbol"), F.timestamp_seconds(F.lit(1 << 33)).alias("time"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("price")).write.parquet(f"{path}/end")
+    end = spark.readStream.schema(rows.schema).parquet(f"{path}/end")
+    return run_to_end(bars(rows.unionByName(end), "1 hour", "0 seconds"), f"{path}/rows", f"{path}/state")
 
 
 # -- partitions and stored bars --------------------------------------------------------------
@@ -433,17 +459,42 @@ def equity_curve_query(spark, d):
     return _equity(spark, d).where("symbol = 'click'").orderBy("bucket").select("symbol", "bucket", R(F.col("equity"), 2).alias("equity"))
 
 
+def _kline_rows(spark, d):
+    from ..schema import KLINE
+
+    have = {"symbol": F.col("symbol"), "interval": F.lit("1h"), "timestamp": (F.col("bucket") / 1000).cast("long"), "open": F.col("open"), "high": F.col("high"), "low": F.col("low"), "close": F.col("close"), "volume": F.col("volume").cast("double")}
+    return hourly(spark, d).select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in KLINE])
+
+
 @query(f"SELECT symbol, bucket, close FROM {HOURLY} WHERE symbol = 'click' AND bucket >= {AT - 5 * DAY} AND bucket <= {AT}")
 def kline_store_query(spark, d):
     """Hourly bars through the store: insert, upsert of the same bars (no change), range query."""
-    from ..schema import KLINE
     from ..sources.kline_store import KlineStore
 
-    bars = hourly(spark, d)
-    have = {"symbol": F.col("symbol"), "interval": F.lit("1h"), "timestamp": (F.col("bucket") / 1000).cast("long"), "open": F.col("open"), "high": F.col("high"), "low": F.col("low"), "close": F.col("close"), "volume": F.col("volume").cast("double")}
-    rows = bars.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in KLINE])
+    rows = _kline_rows(spark, d)
     store = KlineStore(spark, _scratch(spark), 4)
     store.insert(rows)
     store.upsert(rows.where("symbol = 'click'"))
     got = store.query("click", "1h", (AT - 5 * DAY) // 1000, AT // 1000)
     return got.select("symbol", (F.col("timestamp") * 1000).alias("bucket"), "close")
+
+
+@query(f"SELECT (bucket // 86400000) * 86400 AS bucket, arg_min(open, bucket) AS open_first, max(high) AS high_max, {r('sum(volume)', 3)} AS volume_sum FROM {HOURLY} WHERE symbol = 'view' GROUP BY ALL")
+def store_sample_by(spark, d):
+    """Daily buckets of one symbol's stored hourly bars."""
+    from ..sources.kline_store import KlineStore
+
+    store = KlineStore(spark, _scratch(spark), 4)
+    store.insert(_kline_rows(spark, d))
+    out = store.sample_by("view", "60m", {"open": ["first"], "high": ["max"], "volume": ["sum"]}, "1d")
+    return out.withColumn("volume_sum", R(F.col("volume_sum"), 3))
+
+
+@query(f"SELECT sum(n)::BIGINT AS n, min(bucket) // 1000 AS earliest, max(bucket) // 1000 AS newest FROM (SELECT *, 1 AS n FROM {HOURLY})")
+def store_header(spark, d):
+    """Rows and times of the store's files, taken together."""
+    from ..sources.kline_store import KlineStore
+
+    store = KlineStore(spark, _scratch(spark), 4)
+    store.insert(_kline_rows(spark, d))
+    return store.header().agg(F.sum("n").alias("n"), F.min("earliest").alias("earliest"), F.max("newest").alias("newest"))

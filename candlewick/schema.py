@@ -43,6 +43,26 @@ def canonical_interval(minutes: Column) -> Column:
     return F.coalesce(*[F.when(minutes == k, F.lit(v)) for k, v in names.items()], F.concat(minutes.cast("string"), F.lit("m")))
 
 
+def canonical(interval: str) -> str:
+    """The usual name of an interval that may be given in minutes (`60m`, `1440`)."""
+    if interval in INTERVALS:
+        return interval
+    minutes = interval.removesuffix("m")
+    if not minutes.isdigit():
+        raise ValueError(f"unknown interval: {interval}")
+    return {v // 60: k for k, v in INTERVALS.items()}.get(int(minutes), f"{int(minutes)}m")
+
+
+def seconds_of(interval: str) -> int:
+    """Seconds of an interval: a name of INTERVALS, or a number and s, m, h, d or w."""
+    if interval in INTERVALS:
+        return INTERVALS[interval]
+    unit = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}.get(interval[-1:])
+    if unit is None or not interval[:-1].isdigit() or int(interval[:-1]) < 1:
+        raise ValueError(f"unknown interval: {interval}")
+    return int(interval[:-1]) * unit
+
+
 def schema_of(columns: list[tuple[str, str]]) -> T.StructType:
     """The schema of a table definition; unknown types raise."""
     unknown = [t for _, t in columns if t.upper() not in SQL_TYPES]

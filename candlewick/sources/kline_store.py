@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import hash_bucket
 from ..operators import dml
-from ..operators.timeseries import latest_on
-from ..schema import KLINE
+from ..operators.timeseries import latest_on, sample_by_interval
+from ..schema import KLINE, canonical
 
 KEYS = ("symbol", "interval", "timestamp")
 
@@ -55,9 +55,12 @@ class KlineStore:
         self._write(self.spark.read.schema(self.read().schema).parquet(stage), self.path, "overwrite")
         self._drop(stage)
 
-    def upsert(self, rows: DataFrame) -> None:
-        """New rows replace those of equal symbol, interval and timestamp."""
+    def upsert(self, rows: DataFrame, order=None) -> None:
+        """New rows replace those of equal symbol, interval and timestamp; of several, the last by order (a column)."""
         new = self._dealt(rows)
+        if order is not None:
+            last = rows.groupBy(*KEYS).agg(F.max_by(F.struct(*KLINE.names), order).alias("s")).select("s.*")
+            new = self._dealt(last)
         touched = new.select("interval", "bucket").distinct()
         old = self.read().join(touched, ["interval", "bucket"], "left_semi").select(*new.columns)
         self._replace(dml.upsert(old, new, [*KEYS, "bucket"]))
@@ -88,6 +91,30 @@ class KlineStore:
         """The newest bar of each symbol and interval."""
         return latest_on(self.read(), ["symbol", "interval"], "timestamp", [c for c in KLINE.names if c not in KEYS])
 
+    def sample_by(self, symbol: str, interval: str, columns: dict[str, list[str]], bucket: str = "1m") -> DataFrame:
+        """Aggregates of a symbol's bars of one interval by bucket (an interval's name; one minute if not given)."""
+        return sample_by_interval(self.query(symbol, canonical(interval)), "timestamp", bucket, columns, unit=1)
+
+    def header(self) -> DataFrame:
+        """What each file holds, without reading its values beyond time: path, bytes, rows, first and last time."""
+        df = self.read().select("timestamp", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        return df.groupBy("path", "bytes").agg(F.count("*").alias("n"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("newest"))
+
+    def checksums(self) -> DataFrame:
+        """Of each partition: rows, and the sum of the crc32 of each row; neither depends on files or order."""
+        crc = F.crc32(F.to_json(F.struct(*KLINE.names), {"ignoreNullFields": "false"}))
+        return self.read().groupBy("interval", "bucket").agg(F.count("*").alias("n"), F.sum(crc).alias("crc"))
+
+    def verify(self, known: DataFrame) -> DataFrame:
+        """The partitions whose checksums differ from known ones (of checksums()), lost and new ones included."""
+        now = self.checksums().withColumnsRenamed({"n": "n_now", "crc": "crc_now"})
+        return known.join(now, ["interval", "bucket"], "full").where(~(F.col("n").eqNullSafe(F.col("n_now")) & F.col("crc").eqNullSafe(F.col("crc_now"))))
+
+    def tier(self, cold: KlineStore, before: int) -> None:
+        """Move bars older than before (a timestamp) to another store: written there first, then deleted here."""
+        cold.upsert(self.read().where(F.col("timestamp") < before).drop("bucket"))
+        self.delete(F.col("timestamp") < before)
+
     def symbol_stats(self) -> DataFrame:
         return self.read().groupBy("symbol", "interval").agg(F.count("*").alias("n"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("newest"), F.avg("close").alias("avg_close"), F.min("low").alias("min_low"), F.max("high").alias("max_high"))
 

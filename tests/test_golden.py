@@ -157,3 +157,87 @@ def test_stream_state_survives_batches(spark, tmp_path):
         out = run_to_end(stream_indicators(rows, 3), str(tmp_path / "out"), str(tmp_path / "state"))
     got = [r.sma for r in out.orderBy("ts").collect()]
     assert got == [10, 15, 20, 30, 40, 50, 60, 70, 80]
+
+
+# -- merges ----------------------------------------------------------------------------------
+
+
+def test_upsert_needs_an_order_for_several_new_rows_of_a_key(spark):
+    old = spark.createDataFrame([("a", 1, 10)], "k string, v int, w int")
+    new = spark.createDataFrame([("a", k, -k) for k in range(2, 9)] + [("b", 5, 6)], "k string, v int, w int")
+    for parts in (1, 5):
+        got = dml.upsert(old, new.repartition(parts), ["k"], order=F.col("v"))
+        assert sorted(map(tuple, got.collect())) == [("a", 8, -8), ("b", 5, 6)]
+    with pytest.raises(Exception, match="need an order"):
+        dml.upsert(old, new, ["k"]).collect()
+    assert dml.upsert(old, new.where("v = 3 or k = 'b'"), ["k"], changes=["v"]).where("k = 'a'").first() == ("a", 3, 10)
+    assert dml.upsert(old, new.where("k = 'b'"), ["k"], changes=["v"]).count() == 2
+
+
+# -- accounts --------------------------------------------------------------------------------
+
+
+def test_waiting_limit_orders():
+    a = B.Account(1000.0, fee=0.0)
+    a.price["X"] = 100.0
+    low, high = a.place("X", 2.0, 90.0), a.place("X", -1.0, 120.0)
+    assert a.match(1) == [] and a.quantity == {}
+    a.price["X"] = 89.0
+    assert a.match(2) == [low] and a.quantity["X"] == 2.0 and a.cash == pytest.approx(1000 - 2 * 89)
+    a.price["X"] = 121.0
+    assert a.match(3) == [high] and a.fills[-1]["pnl"] == pytest.approx(32.0)
+    dear, gone = a.place("X", 100.0, 130.0), a.place("X", 1.0, 130.0)
+    assert a.cancel(gone) and not a.cancel(gone)
+    assert a.match(4) == [] and list(a.pending) == [dear]  # cash does not cover it
+
+
+def test_sweep_reports_a_failing_set(spark):
+    class Broken:
+        def __init__(self, fast: int = 1) -> None:
+            self.fast = fast
+
+        def __call__(self, account, bar) -> None:
+            if self.fast == 2:
+                raise RuntimeError("no such average")
+
+    bars = spark.createDataFrame([("r", t, "X", 100.0 + t) for t in range(5)], "run string, ts long, symbol string, close double")
+    got = {r.fast: r for r in B.sweep(bars, ["run"], Broken, [{"fast": 1}, {"fast": 2}]).collect()}
+    assert got[1].error is None and "no such average" in got[2].error and got[1].n_bars == 5
+    assert all(r.seconds >= 0 for r in got.values())
+
+
+def test_random_walk_does_not_depend_on_its_chunks(spark):
+    one, many = ([round(r.price, 9) for r in B.random_walk(spark, 500, chunk=c).orderBy("t").collect()] for c in (1 << 16, 7))
+    assert one == many and len(set(one)) == 500
+
+
+# -- stored bars -----------------------------------------------------------------------------
+
+
+def test_checksums_tiers_and_headers(spark, tmp_path):
+    row = lambda s, t, c: (s, None, None, None, "1h", t, c, c, c, c, 1.0, None, None, None, None)
+    bars = spark.createDataFrame([row(s, t * 3600, float(t)) for s in "ab" for t in range(10)], KLINE)
+    hot, cold = KlineStore(spark, f"file://{tmp_path}/hot", 3), KlineStore(spark, f"file://{tmp_path}/cold", 3)
+    hot.insert(bars)
+    known = spark.createDataFrame(hot.checksums().collect(), hot.checksums().schema)
+    hot.compact()
+    assert hot.verify(known).count() == 0
+    hot.upsert(spark.createDataFrame([row("a", 0, 99.0), row("a", 0, 98.0)], KLINE), order=F.col("close"))
+    assert hot.verify(known).count() == 1 and hot.query("a", "1h", 0, 0).first().close == 99.0
+    h = hot.header().agg(F.sum("n").alias("n"), F.min("earliest").alias("a"), F.max("newest").alias("b"), F.min("bytes").alias("bytes")).first()
+    assert (h.n, h.a, h.b) == (20, 0, 9 * 3600) and h.bytes > 0
+    hot.tier(cold, 5 * 3600)
+    assert (hot.read().count(), cold.read().count()) == (10, 10) and hot.header().agg(F.min("earliest")).first()[0] == 5 * 3600
+    got = cold.sample_by("a", "60m", {"close": ["max"], "open": ["count"]}, "2h").orderBy("bucket").collect()
+    assert [(r.bucket, r.close_max, r.open_count) for r in got] == [(0, 99.0, 2), (7200, 3.0, 2), (14400, 4.0, 1)]
+    assert cold.sample_by("a", "1h", {"close": ["max"]}).count() == 5
+
+
+def test_intervals_by_name():
+    from candlewick.schema import canonical, seconds_of
+
+    assert [canonical(x) for x in ("1h", "60m", "7m", "1440m")] == ["1h", "1h", "7m", "1d"]
+    assert [seconds_of(x) for x in ("30s", "5m", "1h", "2d", "1M")] == [30, 300, 3600, 172800, 2592000]
+    for bad in ("", "h", "0m", "x1"):
+        with pytest.raises(ValueError):
+            seconds_of(bad)
