@@ -6,7 +6,9 @@ all training documents. Each language gets a few centroids by spherical k-means
 training documents (SAMPLE each, a parameter). A text takes the language of the centroid with the largest
 cosine. Short texts lie far from every centroid, so distance is judged against what is attainable: the cosine
 of the best text with as many distinct trigrams. A row whose share of that is below REJECT times the low
-quantile of its language's training shares is marked rejected.
+quantile of its language's training shares is marked rejected. From ENOUGH distinct trigrams on, so is a row that does
+no better than chance: hashed trigrams of any writing meet a centroid's by accident, the more of them the more, so the
+cosine that as many random ones would reach is taken off first, and what is left is judged likewise.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; whole texts count,
 however long; a tie goes to the earlier language by code point; rows are independent, so repeated rows and
@@ -28,7 +30,7 @@ from .common import bucket_of, name_of, ship_package, with_fields
 
 BITS = 12
 SAMPLE, CLUSTERS, ROUNDS = 600, 3, 8
-REJECT, LOW = 0.15, 0.01
+REJECT, LOW, ENOUGH = 0.15, 0.01, 64
 LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -49,26 +51,30 @@ def counts(text: bytes) -> np.ndarray:
 
 @dataclass
 class LangModel:
-    """idf: weight of each dimension; centroids: unit rows; owner: index into langs; floor: by language."""
+    """idf: weight of each dimension; centroids: unit rows; owner: index into langs; floor, beyond: least share of the
+    attainable cosine by language, and least share once chance is taken off."""
 
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
     floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    beyond: np.ndarray = field(default_factory=lambda: np.zeros(0))
     _most: np.ndarray | None = None
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         v = np.log1p(tf, dtype=np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language, cosine and share of the attainable cosine."""
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, cosine, share of the attainable cosine, and that share beyond chance (1 for few trigrams)."""
         cosine = vectors @ self.centroids.T
         best = cosine.argmax(axis=1)
         top = cosine[np.arange(len(best)), best]
-        most = self.attainable()[best, np.maximum((vectors > 0).sum(axis=1), 1) - 1]
-        return self.owner[best], top, top / np.maximum(most, 1e-12)
+        distinct = np.maximum((vectors > 0).sum(axis=1), 1)
+        most = np.maximum(self.attainable()[best, distinct - 1], 1e-12)
+        chance = self.centroids.mean(axis=1)[best] * np.sqrt(distinct)
+        return self.owner[best], top, top / most, np.where(distinct < ENOUGH, 1.0, (top - chance) / np.maximum(most - chance, 1e-12))
 
     def attainable(self) -> np.ndarray:
         """For each centroid the largest cosine of a vector with 1, 2, ... dimensions."""
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Lang
     rows.sort(key=lambda r: (r.lang, str(r.doc_id), r.at, r.tf))
     langs = sorted({r.lang for r in rows})
     model = LangModel(langs, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int))
-    parts, own, floor = [], [], []
+    parts, own, floor, beyond = [], [], [], []
     for i, lang in enumerate(langs):
         mine = [r for r in rows if r.lang == lang]
         tf = np.zeros((len(mine), 1 << BITS), np.float32)
@@ -146,9 +152,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Lang
         parts.append(centre)
         own += [i] * len(centre)
         alone = LangModel([lang], idf, centre, np.zeros(len(centre), int))
-        floor.append(REJECT * float(np.quantile(alone.nearest(x)[2], LOW)))
+        _, _, share, more = alone.nearest(x)
+        floor.append(REJECT * float(np.quantile(share, LOW)))
+        beyond.append(REJECT * max(0.0, float(np.quantile(more, LOW))))
     if parts:
-        model.centroids, model.owner, model.floor = np.concatenate(parts), np.array(own), np.array(floor)
+        model.centroids, model.owner, model.floor, model.beyond = np.concatenate(parts), np.array(own), np.array(floor), np.array(beyond)
     return model
 
 
@@ -169,11 +177,11 @@ def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id"
                     texts = part.column("__text").to_pylist()
                     named = np.array([t is not None and LETTER.search(t) is not None for t in texts])
                     if len(m.langs):
-                        who, cosine, share = m.nearest(m.vectors(np.stack([counts((t or "").encode()) for t in texts])))
+                        who, cosine, share, more = m.nearest(m.vectors(np.stack([counts((t or "").encode()) for t in texts])))
                     else:
-                        who, cosine, share, named = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)), named & False
+                        who, cosine, share, more, named = np.zeros(len(texts), int), *np.zeros((3, len(texts))), named & False
                     score = np.where(named, np.clip(cosine, 0, 1), 0).astype(float)
-                    low = ~named | (share < (m.floor[who] if len(m.langs) else 1))
+                    low = ~named | (share < m.floor[who]) | (more < m.beyond[who]) if len(m.langs) else ~named
                     lang = [m.langs[w] if k else "und" for w, k in zip(who, named, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(low)], names=[*keep, "lang_pred", "score", "rejected"])
 

@@ -577,6 +577,19 @@ def test_bounds_are_exact():
         assert minhash.may_link(len(a), len(b), d) or not minhash.links(a, b)
 
 
+@pytest.mark.parametrize(("scheme", "least"), [(minhash.AT_85, 0.85), (minhash.AT_80, 0.8)])
+def test_near_pairs_share_a_bucket(scheme, least):
+    rng = np.random.default_rng(13)
+    for k in range(1500):
+        n = int(rng.integers(7, 400))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))[: n + n // 4 + 1]
+        rng.shuffle(pool)
+        extra = int(n * (1 - least) / (1 + least))  # each side's own members, at the threshold
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[extra:n], pool[n : n + extra]]))
+        assert minhash.links(a, b, scheme)
+        assert set(minhash.buckets(minhash.signature(a, scheme), scheme).tolist()) & set(minhash.buckets(minhash.signature(b, scheme), scheme).tolist()), k
+
+
 def test_components_of_odd_rows(odd, empty):
     got = minhash.components(odd).collect()
     assert len(got) == odd.count() and all(r.kept and r.component_id is None for r in got if r.doc_id is None)
@@ -683,6 +696,65 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.op8(empty, labels).count() == 0 and quality.op8(odd, labels.where("false")).count() == odd.count()
 
 
+def test_boosting_steps_equal_exhaustive_search():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        g, h = rng.standard_normal(12), rng.random(12) * 12 + 0.1
+        gain = lambda lo, hi: (g[lo:hi].sum() ** 2) / (h[lo:hi].sum() + 1)
+        options = [(gain(0, k) + gain(k, 12) - gain(0, 12), k) for k in range(1, 12) if min(h[:k].sum(), h[k:].sum()) * 4 >= quality.LEAST]
+        best, at = max(options, default=(0.0, 0))
+        got, place = quality.best_cut(g, h, 0, 12)
+        assert got == pytest.approx(max(best, 0.0)) and (best <= 0 or place == at)
+        leaves = quality.tree(g, h)
+        cuts = np.flatnonzero(np.diff(leaves)) + 1
+        assert len(cuts) <= 3
+        for lo, hi in zip([0, *cuts], [*cuts, 12], strict=True):
+            assert leaves[lo] == pytest.approx(g[lo:hi].sum() / (h[lo:hi].sum() + 1))
+        gg, hh = rng.standard_normal((4, 5)), rng.random((4, 5))
+        score = lambda a, b: sum(x.sum() ** 2 / (y.sum() + 1) for x, y in ((gg[:a, :b], hh[:a, :b]), (gg[:a, b:], hh[:a, b:]), (gg[a:, :b], hh[a:, :b]), (gg[a:, b:], hh[a:, b:])))
+        assert quality.quadrants(gg, hh)[0] == pytest.approx(max(score(a, b) for a in range(1, 4) for b in range(1, 5)))
+
+
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(10)
+    x = rng.random((400, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4)).astype(float)
+    m = quality.boost(x, y)
+    for row, score in zip(x[:50], m.score(x[:50]), strict=True):
+        total = m.base + sum(t[sum(e <= v for e in edge)] for edge, t, v in zip(m.edges, m.tables, row, strict=True))
+        total += sum(t[sum(e <= row[i] for e in a), sum(e <= row[j] for e in b)] for i, j, a, b, t in m.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((m.score(x) >= 0.5) == y).mean() > 0.9  # only a pair can tell
+
+
+def test_cosines_and_centroids_equal_plain_dictionaries(docs, monkeypatch):
+    monkeypatch.setattr(langid, "ROUNDS", 3)
+    rows = docs.where("lang is not null").select("doc_id", "text", "lang").limit(60).collect()
+    spark = docs.sparkSession
+    model = langid.fit(spark.createDataFrame(rows), sample=10**6, clusters=1)
+    count = lambda t: Counter(langid.trigrams(t.encode()).tolist())
+    df = Counter(d for r in rows for d in count(r.text))
+    idf = lambda d: np.log((1 + len(rows)) / (1 + df[d])) + 1
+
+    def unit(v):
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {d: x / norm for d, x in v.items()}
+
+    vec = {r.doc_id: unit({d: np.log1p(n) * idf(d) for d, n in count(r.text).items()}) for r in rows}
+    centre = {}
+    for lang in {r.lang for r in rows}:
+        total = Counter()
+        for r in rows:
+            if r.lang == lang:
+                for d, x in vec[r.doc_id].items():
+                    total[d] += x
+        centre[lang] = unit(total)
+    for r in langid.predict(spark.createDataFrame(rows), model).collect():
+        cosine = {lang: sum(x * c.get(d, 0) for d, x in vec[r.doc_id].items()) for lang, c in centre.items()}
+        best = max(sorted(cosine), key=cosine.__getitem__)
+        assert (r.lang_pred, r.score) == (best, pytest.approx(cosine[best], abs=1e-4))
+
+
 def test_language_on_held_out_texts(spark, more):
     d = spark.read.parquet(f"{more}/documents.parquet")
     got = langid.op9(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -702,6 +774,10 @@ def test_foreign_text_is_rejected(spark, more):
     model = langid.fit(d)
     odd_one = spark.createDataFrame([(1, "Это предложение написано на русском языке и не похоже на остальные."), (2, "日本語の文章です。")], "doc_id long, text string")
     assert all(r.rejected for r in langid.predict(odd_one, model).collect())
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(0x430, 0x450, rng.integers(2, 12)))) for _ in range(3000)]
+    long = [(n, " ".join(words[int(k)] for k in np.minimum(rng.zipf(1.3, n) - 1, 2999))) for n in (30, 100, 1000, 10_000)]
+    assert all(r.rejected for r in langid.predict(spark.createDataFrame(long, "doc_id long, text string"), model).collect())
     assert langid.predict(d, model).where("rejected").count() < 0.005 * d.count()
 
 
