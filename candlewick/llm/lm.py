@@ -337,11 +337,11 @@ def softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, own
 
 
-def error(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, float]:
-    """Probabilities, in x's place, less one at goal; the summed loss."""
+def error(x: np.ndarray, goal: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+    """Probabilities, in x's place, less one at goal, times scale; the summed loss."""
     total, own = softmax(x, goal)
-    x *= (1 / total)[:, None]
-    x[np.arange(len(goal)), goal] -= 1
+    x *= (x.dtype.type(scale) / total)[:, None]
+    x[np.arange(len(goal)), goal] -= scale
     return x, -float(own.sum())
 
 
@@ -392,17 +392,16 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     live, goal = live[order], goal[order]
     s, c, member = flat[live], cls[goal], (goal - 1) % MEMBERS
     scale, safe = 1.0 / max(len(live), 1), bounded(p)
-    d, loss = error(logits(s, p["C"], p["cb"], safe, new("logits", len(s), len(p["cb"]))), c)
-    g["C"] += s.T @ d * scale
-    g["cb"] += d.sum(axis=0) * scale
+    d, loss = error(logits(s, p["C"], p["cb"], safe, new("logits", len(s), len(p["cb"]))), c, scale)
+    g["C"] += s.T @ d
+    g["cb"] += np.ones(len(d), kind) @ d
     ds = d @ p["C"].T
     for j, a, b in spans:
-        d, more = error(logits(s[a:b], p["M"][j], p["mb"][j], safe, new("logits", b - a, MEMBERS)), member[a:b])
+        d, more = error(logits(s[a:b], p["M"][j], p["mb"][j], safe, new("logits", b - a, MEMBERS)), member[a:b], scale)
         loss += more
-        g["M"][j] += s[a:b].T @ d * scale
-        g["mb"][j] += d.sum(axis=0) * scale
+        g["M"][j] += s[a:b].T @ d
+        g["mb"][j] += d.sum(axis=0)
         ds[a:b] += d @ p["M"][j].T
-    ds *= scale
     out = new("out", steps * lanes, k)
     out[:] = 0
     out[live] = ds
