@@ -8,7 +8,7 @@ pairs are chained; a hot key then needs no single task. Warm-up values are null,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -211,3 +211,27 @@ def chained(u, k, b: float):
         out[i] = state
         state = u[i] + (b ** k[i] * state if i else 0.0)
     return out
+
+
+def rolling_in_slices(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], rows: int, width: int, aggregates: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """df with aggregates over each row and the rows - 1 before it, for tables with few keys of very many rows.
+
+    A key is cut into slices of width (of ts), each one window of its own, so no task orders a whole key. Before its
+    own rows a slice gets the last rows - 1 of its key's earlier slices: each of these has a row at least, so the ends of
+    that many slices are enough, and only those ends meet in a window by key.
+    """
+    order = F.struct(ts, *tie)
+    cut = df.select(F.struct(*df.columns).alias("row"), *keys, order.alias("at"), F.floor(F.col(ts) / width).alias("slice"))
+    own = [*keys, "slice"]
+    last = cut.withColumn("back", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("at")))).where(F.col("back") < rows)
+    ends = last.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("end"))  # rows - 1 at most
+    if rows > 1:
+        before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(1 - rows, -1)
+        halo = ends.withColumn("halo", F.flatten(F.collect_list("end").over(before))).select(*own, F.explode(F.slice("halo", F.greatest(F.lit(1), F.size("halo") - rows + 2), rows - 1)).alias("h")).select(*own, "h.at", "h.row", F.lit(False).alias("mine"))
+        cut = cut.withColumn("mine", F.lit(True)).unionByName(halo)
+    else:
+        cut = cut.withColumn("mine", F.lit(True))
+    w = Window.partitionBy(*own).orderBy("at").rowsBetween(1 - rows, 0)
+    made = aggregates(w)
+    opened = cut.select("mine", *own, "at", *[F.col("row")[c].alias(c) for c in df.columns if c not in keys])
+    return opened.withColumns(made).where("mine").select(*df.columns, *made)

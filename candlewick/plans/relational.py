@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import dml
+from ..operators import indicators as I
 from ..sources.tables import HOUR, hourly, register, table, ticks
 from .registry import HOURLY, TICKS, query, r
 
@@ -297,6 +298,13 @@ def win_stddev(spark, d):
     return _windowed(spark, d, v=R(F.coalesce(F.var_samp("price").over(w), F.lit(0.0)), 6), sd=R(F.coalesce(F.stddev_samp("price").over(w), F.lit(0.0)), 6))
 
 
+@query(f"SELECT id, symbol, {r(f'avg(price) {_FIVE}', 3)} AS a, min(price) {_FIVE} AS lo, count(*) {_FIVE} AS n FROM {TICKS}")
+def win_sliced(spark, d):
+    """Count windows without a task that orders a whole symbol: six hours at a time."""
+    out = I.rolling_in_slices(ticks(spark, d), ["symbol"], "ts", ["id"], 5, 6 * HOUR, lambda w: {"a": F.avg("price").over(w), "lo": F.min("price").over(w), "n": F.count("*").over(w)})
+    return out.select("id", "symbol", R(F.col("a"), 3).alias("a"), "lo", "n")
+
+
 @query(f"SELECT id, symbol, {r(f'sum(price) {_ALL}', 2)} AS s, count(*) {_ALL} AS n FROM {TICKS}")
 def win_running_default(spark, d):
     return _windowed(spark, d, s=R(F.sum("price").over(_run()), 2), n=F.count("*").over(_run()))

@@ -14,32 +14,62 @@ from pyspark.sql import functions as F
 
 from ..session import workers_import_package
 
-STATE = "n long, ema double, tail array<double>"
+STATE = "n long, ema double, tail array<double>, off boolean"
 OUT = "symbol string, ts long, id long, price double, sma double, ema double, std double, low double, high double"
 
 
-def stream_indicators(rows: DataFrame, n: int, batch_order: tuple[str, str] = ("ts", "id")) -> DataFrame:
+def rolled(tail: list[float], prices: list[float], n: int, count: int, ema: float) -> tuple[list[tuple], int, float, list[float]]:
+    """Indicators of each price after those in tail; the count, the average and the last n values after it."""
+    import numpy as np
+
+    a, averages = 2 / (n + 1), []
+    for p in prices:
+        ema = p if count == 0 else a * p + (1 - a) * ema
+        count += 1
+        averages.append(ema)
+    x = np.array([*tail[-(n - 1) :], *prices] if n > 1 else prices, float)
+    pad = np.concatenate([np.full(max(0, n - 1 - len(tail)), np.nan), x])
+    w = np.lib.stride_tricks.sliding_window_view(pad, n)[-len(prices) :]
+    out = zip(np.nanmean(w, 1).tolist(), averages, np.nanstd(w, 1).tolist(), np.nanmin(w, 1).tolist(), np.nanmax(w, 1).tolist(), strict=True)
+    return list(out), count, ema, [*tail, *prices][-n:]
+
+
+def stream_indicators(rows: DataFrame, n: int, batch_order: tuple[str, str] = ("ts", "id"), periods: dict[str, int] | None = None) -> DataFrame:
     """rows: symbol, ts, id, price. Partial averages in the warm-up, the exponential average seeded by the first
-    value, population deviation (0 for one row), least and largest of the last n."""
+    value, population deviation (0 for one row), least and largest of the last n (or periods[symbol]).
+
+    A column `command`, if there is one, governs a symbol: `fill` takes a price without giving a row, `reset` forgets
+    all before it, `remove` also gives nothing until `add`; null is an ordinary price.
+    """
     workers_import_package(rows.sparkSession)
-    a = 2 / (n + 1)
+    governed, own = "command" in rows.columns, periods or {}
 
     def update(key, frames: Iterator, state):
-        import numpy as np
         import pandas as pd
 
-        count, ema, tail = state.get if state.exists else (0, 0.0, [])
-        tail = list(tail)
+        count, ema, tail, off = state.get if state.exists else (0, 0.0, [], False)
+        tail, width = list(tail), own.get(key[0], n)
         frame = pd.concat(list(frames)).sort_values(list(batch_order), ignore_index=True)
-        out = []
-        for p in frame["price"]:
-            ema = p if count == 0 else a * p + (1 - a) * ema
-            count += 1
-            tail = [*tail, p][-n:]
-            x = np.array(tail)
-            out.append((x.mean(), ema, x.std(), x.min(), x.max()))
-        state.update((count, float(ema), [float(t) for t in tail]))
-        yield pd.concat([frame[["symbol", "ts", "id", "price"]], pd.DataFrame(out, columns=["sma", "ema", "std", "low", "high"])], axis=1)
+        what = frame["command"].where(frame["command"].notna(), "").tolist() if governed else [""] * len(frame)
+        prices, kept, out, at = frame["price"].tolist(), [], [], 0
+        while at < len(frame):
+            end = at
+            while end < len(frame) and what[end] == what[at]:
+                end += 1
+            if what[at] in ("", "fill"):
+                if not off:
+                    got, count, ema, tail = rolled(tail, prices[at:end], width, count, ema)
+                    if not what[at]:
+                        kept += range(at, end)
+                        out += got
+            elif what[at] in ("reset", "remove", "add"):
+                count, ema, tail, off = 0, 0.0, [], what[at] == "remove"
+            else:
+                raise ValueError(f"unknown command: {what[at]}")
+            at = end
+        state.update((count, float(ema), [float(t) for t in tail], off))
+        given = frame.iloc[kept][["symbol", "ts", "id", "price"]].reset_index(drop=True)
+        yield pd.concat([given, pd.DataFrame(out, columns=["sma", "ema", "std", "low", "high"], dtype=float)], axis=1)
 
     return rows.groupBy("symbol").applyInPandasWithState(update, OUT, STATE, "append", "NoTimeout")
 

@@ -241,3 +241,42 @@ def test_intervals_by_name():
     for bad in ("", "h", "0m", "x1"):
         with pytest.raises(ValueError):
             seconds_of(bad)
+
+
+def test_ledger_store(spark, tmp_path):
+    from candlewick.schema import EQUITY, TRADE
+    from candlewick.sources.ledger_store import LedgerStore
+
+    day = 86_400_000
+    store = LedgerStore(spark, f"file://{tmp_path}/ledger")
+    store.append("trades", spark.createDataFrame([(k, k, k % 2, 1, 1.0, 10.0, 0.1, float(k - 2), k * day // 2) for k in range(6)], TRADE))
+    store.append("equity", spark.createDataFrame([(k * day, 100.0 + k, 0.0, 0.0, 0.0) for k in range(4)], EQUITY))
+    assert [r.trade_id for r in store.query("trades", day, 3 * day).collect()] == [2, 3, 4, 5]
+    assert [r.trade_id for r in store.query("trades", 0, 3 * day, F.col("pnl") > 0, limit=2).collect()] == [5, 4]
+    assert [r.total_equity for r in store.query("equity", day, 3 * day).collect()] == [101.0, 102.0]
+    assert {r.symbol_id: (r.n, r.pnl, r.win_rate) for r in store.summary(0, 3 * day).collect()} == {0: (3, 0.0, pytest.approx(1 / 3)), 1: (3, 3.0, pytest.approx(2 / 3))}
+    assert "PartitionFilters: [isnotnull(day" in store.query("trades", day, 3 * day)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_commands(spark, tmp_path):
+    from candlewick.streaming.indicators import run_to_end, stream_indicators
+
+    schema = "symbol string, ts long, id long, price double, command string"
+    steps = [("A", 0, 0, 10.0, "fill"), ("A", 1, 1, 20.0, None), ("A", 2, 2, None, "reset"), ("A", 3, 3, 40.0, None), ("A", 4, 4, None, "remove"), ("A", 5, 5, 50.0, None), ("A", 6, 6, None, "add"), ("A", 7, 7, 70.0, None), ("A", 8, 8, 80.0, None), ("B", 0, 9, 1.0, None), ("B", 1, 10, 2.0, None)]
+    for k in range(0, len(steps), 4):
+        spark.createDataFrame(steps[k : k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = run_to_end(stream_indicators(rows, 3, periods={"B": 1}), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert [(r.id, r.sma) for r in out.orderBy("id").collect()] == [(1, 15.0), (3, 40.0), (7, 70.0), (8, 75.0), (9, 1.0), (10, 2.0)]
+
+
+def test_slices_equal_whole_windows(spark):
+    rows = [("A", t * t % 997, k, float(t)) for k, t in enumerate(range(0, 300, 7))] + [("B", 5, 100, 1.0), (None, 7, 101, 2.0)]
+    df = spark.createDataFrame(rows, "k string, ts long, id long, v double")
+    from pyspark.sql import Window
+
+    for n in (1, 2, 5):
+        whole = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(1 - n, 0)
+        want = {r.id: (r.s, r.c) for r in df.select("id", F.sum("v").over(whole).alias("s"), F.count("*").over(whole).alias("c")).collect()}
+        got = I.rolling_in_slices(df, ["k"], "ts", ["id"], n, 50, lambda w: {"s": F.sum("v").over(w), "c": F.count("*").over(w)})
+        assert got.columns == [*df.columns, "s", "c"] and {r.id: (r.s, r.c) for r in got.collect()} == want
