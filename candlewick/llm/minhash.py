@@ -5,7 +5,8 @@ bits name one of the bins, a bin keeps its smallest hash, and each empty bin bor
 that a fixed random table ranks first for it. Bands of some bins each give bucket keys. Documents with equal
 sets form one class first, so copies cost one row. In every bucket each member is paired with the smallest
 id only (a star). Candidates pass two exact bounds (sizes; a parity sketch whose Hamming distance never
-exceeds the symmetric difference) and are confirmed on full sets made from whole texts.
+exceeds the symmetric difference) and are confirmed on full sets made from whole texts; the texts of classes that share
+a bucket are set apart once for that.
 
 A star alone could miss links between two members that both differ from the centre. So buckets whose members
 still lie in several components are compared within, in tiles of TILE x TILE members, and pairs of different
@@ -303,8 +304,11 @@ def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     member = classes.select("rep", F.explode("bands").alias("bucket"))
     centre = member.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("size")).where("size > 1")
     centre = written(centre, "centres")
+    # only these texts can be asked for: of classes that meet others in a bucket, one text a class
+    meeting = member.join(centre.select("bucket"), "bucket").select("rep").distinct()
+    texts = written(docs.join(meeting, F.col("doc_id") == F.col("rep"), "left_semi"), "texts")
     pairs = member.join(centre, "bucket").where(F.col("rep") != F.col("b")).select(F.col("rep").alias("a"), "b").distinct()
-    edges = written(confirmed(plausible(pairs, classes, scheme), docs, scheme), "links")
+    edges = written(confirmed(plausible(pairs, classes, scheme), texts, scheme), "links")
     roots = stars(edges)
     nearest = NEAREST
     while True:
@@ -313,7 +317,7 @@ def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
         full = placed.join(open_, "bucket").join(classes.select("rep", "n", "sketch", "key"), "rep")
         found = written(tiles(full, nearest, scheme), "pairs")
         more = found.where("more").limit(1).count()
-        fresh = written(confirmed(found.select("a", "b", "key_a", "key_b").distinct(), docs, scheme), "links")
+        fresh = written(confirmed(found.select("a", "b", "key_a", "key_b").distinct(), texts, scheme), "links")
         if fresh.limit(1).count():
             roots = stars(roots.unionByName(fresh))
         if not more:
