@@ -3,7 +3,7 @@
 The tokenizer file gives vocabulary, merges, the split pattern and the special tokens. White space
 always separates tokens, so a text's ids are the ids of its white-space-delimited words in order, and
 each distinct word needs encoding once. The distinct pieces go in sorted order, which is depth first, into
-a trie that a worker keeps; every new node takes, from the nodes above it, the last token of that prefix's
+a trie that a task keeps; every new node takes, from the nodes above it, the last token of that prefix's
 own encoding. The last token t of a longer prefix is the longest suffix token whose predecessor state accepts
 it: BPE of the two tokens side by side is those two tokens. The tokens that are suffixes of a prefix stand in
 a chain, built once from the vocabulary: the longest part of a token that ends the prefix follows from the
@@ -24,8 +24,8 @@ from collections.abc import Iterator
 
 import regex
 
-#: Distinct words in each of the two generations of a worker's cache, trie nodes and token pairs that it keeps.
-CACHE_WORDS, NODES, PAIRS = 400_000, 1_500_000, 3_000_000
+#: Distinct words in each of the two generations of a task's cache, trie nodes, and token pairs that a worker keeps.
+CACHE_WORDS, NODES, PAIRS = 250_000, 800_000, 1_000_000
 #: The normaliser and pre-tokeniser this reader knows.
 NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 #: Code points that str.split() takes for white space and Unicode does not.
@@ -78,11 +78,15 @@ class TrieBPE:
         self.name = {i: str(i) for i in self.token}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.chains()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop words and trie: a worker outlives its task, and what follows may need the memory."""
         #: word -> its ids, and its tokens, joined by spaces; words of the generation before
         self.ids_of: dict[str, str] = {}
         self.tokens_of: dict[str, str] = {}
         self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
-        self.chains()
         self.plant()
 
     @staticmethod
@@ -347,15 +351,20 @@ def encode_decode(df, tokenizer: str, text: str = "text", keep: tuple[str, ...]
 
     def work(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
-            for a, b in slices(batch.column("__text")):
-                part = batch.slice(a, b - a)
-                rows = list(enc.encode_batch([t or "" for t in part.column("__text").to_pylist()]))
-                out = [part.column(k) for k in keep] + [pa.array([r[0] for r in rows], pa.int64())]
-                if digests:
-                    out += [pa.array([hashlib.sha256(r[k].encode()).hexdigest() for r in rows], pa.string()) for k in (1, 2)]
-                else:
-                    out += [pa.array([list(map(int, r[1].split())) for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+        try:
+            for batch in batches:
+                for a, b in slices(batch.column("__text")):
+                    yield encoded(enc, batch.slice(a, b - a))
+        finally:
+            enc.forget()
+
+    def encoded(enc: TrieBPE, part):
+        rows = list(enc.encode_batch([t or "" for t in part.column("__text").to_pylist()]))
+        out = [part.column(k) for k in keep] + [pa.array([r[0] for r in rows], pa.int64())]
+        if digests:
+            out += [pa.array([hashlib.sha256(r[k].encode()).hexdigest() for r in rows], pa.string()) for k in (1, 2)]
+        else:
+            out += [pa.array([list(map(int, r[1].split())) for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
+        return pa.RecordBatch.from_arrays(out, names=[*keep, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     return df.select(*map(name_of, keep), F.col(text).alias("__text")).mapInArrow(work, fields)
