@@ -306,7 +306,7 @@ def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     centre = written(centre, "centres")
     # only these texts can be asked for: of classes that meet others in a bucket, one text a class
     meeting = member.join(centre.select("bucket"), "bucket").select("rep").distinct()
-    texts = written(docs.join(meeting, F.col("doc_id") == F.col("rep"), "left_semi"), "texts")
+    texts = written(docs.join(meeting.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi"), "texts")  # the ids grow with the corpus: no broadcast at any size
     pairs = member.join(centre, "bucket").where(F.col("rep") != F.col("b")).select(F.col("rep").alias("a"), "b").distinct()
     edges = written(confirmed(plausible(pairs, classes, scheme), texts, scheme), "links")
     roots = stars(edges)
