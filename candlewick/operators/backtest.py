@@ -236,8 +236,11 @@ def first_touch(orders: DataFrame, ticks: DataFrame, key: str, ts: str, price: s
 
     orders: id, key, side (1 or -1), placed, limit, until. Orders and ticks meet in time cells of width. A cell's
     extreme prices tell whether it can fill an order; of the cells wholly between placed and until the first that
-    can does fill it, so an order meets the ticks of three cells at most: its first one, that one, its last one.
+    can does fill it, so an order asks three cells at most: its first one, that one, its last one. A cell answers all
+    its orders by halving (n log n of its rows, no pairs); its ticks and orders are held at once, so width bounds memory.
+    Prices and limits compare as doubles, NaN above all others.
     """
+    workers_import_package(orders.sparkSession)
     cell = F.floor(F.col(ts) / width)
     first, last = F.floor(F.col("placed") / width), F.floor(F.col("until") / width)
     reach = ticks.groupBy(key, cell.alias("cell")).agg(F.min(price).alias("lo"), F.max(price).alias("hi"))
@@ -245,12 +248,52 @@ def first_touch(orders: DataFrame, ticks: DataFrame, key: str, ts: str, price: s
     fits = F.when(F.col("side") == 1, F.col("lo") <= F.col("limit")).otherwise(F.col("hi") >= F.col("limit"))
     near = spread.join(reach, [key, "cell"]).where(fits)
     inner = F.min(F.when((F.col("cell") > first) & (F.col("cell") < last), F.col("cell")))
-    ends = F.collect_set(F.when((F.col("cell") == first) | (F.col("cell") == last), F.col("cell")))  # two at most
-    cells = near.groupBy(*orders.columns).agg(F.array_compact(F.array_append(ends, inner)).alias("cells"))
-    asked = cells.withColumn("cell", F.explode("cells")).drop("cells")
-    hit = asked.join(ticks.withColumn("cell", cell).select(key, "cell", F.col(ts).alias("t"), F.col(price).alias("p")), [key, "cell"])
-    ok = (F.col("t") > F.col("placed")) & (F.col("t") <= F.col("until")) & F.when(F.col("side") == 1, F.col("p") <= F.col("limit")).otherwise(F.col("p") >= F.col("limit"))
-    return hit.where(ok).groupBy("id").agg(F.min("t").alias("filled"))
+    ends = [F.max(F.when(F.col("cell") == at, at)) for at in (first, last)]
+    cells = near.groupBy(*orders.columns).agg(F.array_distinct(F.array_compact(F.array(*ends, inner))).alias("cells"))
+    asked = cells.select("id", F.col(key).alias("key"), "side", "placed", "until", F.col("limit").cast("double").alias("limit"), F.explode("cells").alias("cell"))
+    offered = ticks.select(F.col(key).alias("key"), cell.alias("cell"), F.col(ts).alias("t"), F.col(price).cast("double").alias("p")).where("t is not null and p is not null")
+
+    def filled(asked, offered):
+        import numpy as np
+        import pandas as pd
+
+        offered = offered.sort_values("t", ignore_index=True)
+        t, price, limit = offered["t"].to_numpy(), in_order(offered["p"].to_numpy()), in_order(asked["limit"].to_numpy())
+        start, end = (np.searchsorted(t, asked[c].to_numpy(), side="right") for c in ("placed", "until"))
+        buys, at = asked["side"].to_numpy() == 1, np.maximum(start, end)
+        for some, sign in ((buys, 1), (~buys, -1)):
+            if some.any():
+                at[some] = first_at_most(price if sign == 1 else ~price, start[some], at[some], limit[some] if sign == 1 else ~limit[some])
+        hit = at < end
+        return pd.DataFrame({"id": asked["id"].to_numpy()[hit], "filled": t[at[hit]]})
+
+    kinds = f"id {asked.schema['id'].dataType.simpleString()}, filled {offered.schema['t'].dataType.simpleString()}"
+    hits = asked.groupBy("key", "cell").cogroup(offered.groupBy("key", "cell")).applyInPandas(filled, kinds)
+    return hits.groupBy("id").agg(F.min("filled").alias("filled"))
+
+
+def in_order(x):
+    """Integers that compare as doubles do in SQL: -0 equals 0, NaN is above all."""
+    import numpy as np
+
+    bits = (np.asarray(x, float) + 0.0).view(np.int64)
+    return np.where(np.isnan(x), np.iinfo(np.int64).max, np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits))
+
+
+def first_at_most(x, start, end, limit):
+    """For each question the first place from start on, before end, whose x is at most limit; end if there is none."""
+    import numpy as np
+
+    least = [x]  # least[k][i]: of the 2 ** k values from i on
+    while len(least[-1]) > 1 << (len(least) - 1):
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    at = start.copy()
+    for k in range(len(least) - 1, -1, -1):
+        fits = np.flatnonzero(at + (1 << k) <= end)
+        over = fits[least[k][at[fits]] > limit[fits]]
+        at[over] += 1 << k
+    return at
 
 
 def grid_levels(centres: DataFrame, centre: str, levels: int, spacing: float) -> DataFrame:

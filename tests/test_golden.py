@@ -213,6 +213,25 @@ def test_sweep_reports_a_failing_set(spark):
     assert all(r.seconds >= 0 for r in got.values())
 
 
+def test_first_touch_against_all_pairs_without_making_them(spark):
+    import random
+
+    rnd = random.Random(4)
+    odd = [float("nan"), 0.0, -0.0, 5.0]
+    quotes = [(s, rnd.randrange(60), rnd.choice([*odd, rnd.uniform(-9, 9)])) for s in "ab" for _ in range(150)]
+    wishes = [(i, rnd.choice("abc"), rnd.choice((1, -1)), at := rnd.randrange(60), rnd.choice([*odd, None, rnd.uniform(-15, 15)]), at + rnd.randrange(-2, 40)) for i in range(400)]
+    ticks = spark.createDataFrame([*quotes, ("a", 7, None)], "symbol string, ts long, price double")
+    orders = spark.createDataFrame(wishes, "id long, symbol string, side int, placed long, limit double, until long").where("until >= placed")
+    pairs = orders.join(ticks, "symbol").where("ts > placed and ts <= until and case when side = 1 then price <= limit else price >= limit end")
+    want = {r.id: r.filled for r in pairs.groupBy("id").agg(F.min("ts").alias("filled")).collect()}
+    for width in (5, 7, 100):
+        assert {r.id: r.filled for r in B.first_touch(orders, ticks, "symbol", "ts", "price", width).collect()} == want
+    hot = ticks.sparkSession.range(200_000).selectExpr("'a' symbol", "id ts", "double(id % 1000) price")  # 2e10 pairs in one cell
+    asked = hot.selectExpr("ts id", "symbol", "1 side", "ts placed", "0.0 limit", "ts + 2000 until")
+    got = B.first_touch(asked, hot, "symbol", "ts", "price", 1_000_000)
+    assert got.agg(F.count("*"), F.sum(F.col("filled") - F.col("id")), F.max(F.col("filled") % 1000)).first() == (199_000, 199 * 500_500, 0)
+
+
 def test_random_walk_does_not_depend_on_its_chunks(spark):
     one, many = ([round(r.price, 9) for r in B.random_walk(spark, 500, chunk=c).orderBy("t").collect()] for c in (1 << 16, 7))
     assert one == many and len(set(one)) == 500
