@@ -296,6 +296,38 @@ def test_stream_commands(spark, tmp_path):
     assert [(r.id, r.sma) for r in out.orderBy("id").collect()] == [(1, 15.0), (3, 40.0), (7, 70.0), (8, 75.0), (9, 1.0), (10, 2.0)]
 
 
+def test_stream_gives_a_symbol_in_pieces_with_the_same_values(spark, tmp_path, monkeypatch):
+    from candlewick.streaming import indicators
+
+    class Held:  # stands for the state of one symbol
+        exists, got = False, None
+
+        def update(self, state):
+            self.got = state
+
+    class Rows:
+        columns, sparkSession = ["symbol", "ts", "id", "price", "command"], spark
+        groupBy = lambda self, key: self
+        applyInPandasWithState = lambda self, update, *a: update
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 5000
+    frame = pd.DataFrame({"symbol": "A", "ts": rng.integers(0, 900, n), "id": rng.permutation(n), "price": rng.normal(size=n), "command": rng.choice([None, "fill", "reset", "remove", "add"], n, p=[0.9, 0.04, 0.02, 0.02, 0.02])})
+    frames = [frame[k : k + 700] for k in range(0, n, 700)]
+    made = {}
+    for size in (n, 64):
+        monkeypatch.setattr(indicators, "ROWS", size, raising=False)
+        state = Held()
+        parts = list(indicators.stream_indicators(Rows(), 5)(("A",), iter(frames), state))
+        assert max(map(len, parts)) <= size
+        made[size] = (pd.concat(parts, ignore_index=True), state.got)
+    pd.testing.assert_frame_equal(made[n][0], made[64][0], check_exact=True)
+    assert made[n][1] == made[64][1] and len(made[n][0]) > 1000
+
+
 def test_slices_equal_whole_windows(spark):
     rows = [("A", t * t % 997, k, float(t)) for k, t in enumerate(range(0, 300, 7))] + [("B", 5, 100, 1.0), (None, 7, 101, 2.0)]
     df = spark.createDataFrame(rows, "k string, ts long, id long, v double")
