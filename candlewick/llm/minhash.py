@@ -5,11 +5,12 @@ bits name one of the bins, a bin keeps its smallest hash, and each empty bin bor
 that a fixed random table ranks first for it. Bands of some bins each give bucket keys. Documents with equal
 sets form one class first, so copies cost one row. In every bucket each member is paired with the smallest
 id only (a star). Candidates pass two exact bounds (sizes; a parity sketch whose Hamming distance never
-exceeds the symmetric difference) and are confirmed on full sets made from whole texts; the texts of classes that share
-a bucket are set apart once for that.
+exceeds the symmetric difference) and are confirmed on full sets made from whole texts; only the texts of such pairs
+are shuffled for that.
 
 A star alone could miss links between two members that both differ from the centre. So buckets whose members
-still lie in several components are compared within, in tiles of TILE x TILE members, and pairs of different
+still lie in several components are compared within (those of more than TILE members first with up to CENTRES further
+centres), all outside the largest component with all, in tiles of TILE x TILE members, and pairs of different
 components that the bounds allow are confirmed as well: first the NEAREST closest of two components in a
 tile, then more, until none is left out. The only approximation is the bucketing: a pair at the threshold of
 its Scheme (0.85 for op6, 0.8 for the pipeline) shares no bucket with probability below 1e-6.
@@ -26,15 +27,16 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import groups, removed, ship_package, written, written_at
 
 WORDS = 5
-TILE, NEAREST = 400, 8
+TILE, NEAREST, CENTRES = 400, 8, 4
 CACHE_WORDS = 150_000
+CELLS = 1 << 23  # bits that stand for ids
 
 
 class Scheme(NamedTuple):
@@ -178,11 +180,27 @@ def plausible(pairs: DataFrame, classes: DataFrame, scheme: Scheme = AT_85) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the rows of docs whose id is in ids (id).
+
+    A bitmap of CELLS bits, marked by the ids' hashes, passes over docs first, so of the other texts only a share (that of
+    marked cells) is shuffled; the join that follows is exact. The bitmap never exceeds CELLS / 64 words.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+    word, bit = (lambda c: F.shiftright(cell(c), 6)), (lambda c: (cell(c) % 64).cast("int"))
+    marks = ids.select(word("id").alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(id), %d), 64) as int))" % CELLS).alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    some = docs.select("doc_id", "text").withColumn("word", word("doc_id")).join(F.broadcast(marks), "word").where(F.getbit("marks", bit("doc_id")) == 1)
+    # no semi join, which the optimizer would move before the bitmap
+    return some.join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     """a, b of the pairs that link on full sets; texts whose set is not the class's are another row's."""
     import pyarrow as pa
 
     kind = pairs.schema["a"].dataType.simpleString()
+    pairs = written(pairs, "candidates")
+    docs = written(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
     side = lambda s: docs.select(F.col("doc_id").alias(s), F.col("text").cast("binary").alias(f"text_{s}")).where(F.col(s).isNotNull())
 
     def work(batches):
@@ -255,19 +273,25 @@ def tile_pairs(n, comp, rep, own, raw: list[np.ndarray], across: bool, nearest:
     return out, any(k > nearest for k in taken.values())
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """members of opened() with own, lo, hi, once for every tile (lo, hi) of their bucket that they are in."""
+    few, many = F.ceil(F.col("others") / TILE).cast("int"), F.ceil((F.col("size") - F.col("others")) / TILE).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("rep", F.lit(6)), n.cast("long")).cast("int")
+    own = F.when(F.col("rest"), part(few)).otherwise(few + part(many))
+    return members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), few + many - 1).otherwise(few - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+
 def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame:
     """Pairs of members of one bucket, in different components, that the bounds allow.
 
-    members: bucket, rep, comp, n, sketch, key, size (members of the bucket). Returns a, b, key_a, key_b, more;
+    members: those of opened(), with n, sketch, key. The members of a bucket's largest component meet the others only, not
+    one another, so with few others rows grow as the bucket does. Returns a, b, key_a, key_b, more;
     more: the tile left pairs of these two components out, beyond the nearest ones. Tiles come sorted through
     a partition, so only one of them, of at most 2 x TILE rows, is held at a time.
     """
     import pyarrow as pa
 
     kind = members.schema["rep"].dataType.simpleString()
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(6)), parts.cast("long")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     tile = ["bucket", "lo", "hi"]
     columns = [*tile, "rep", "comp", "n", "sketch", "key", "own"]
 
@@ -292,7 +316,20 @@ def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame
     def rows_of(out, type_):
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((type_, type_, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
 
-    return dealt.select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
+    return dealt(members).select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
+
+
+def opened(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, rep, comp, size, rest, others of the members (bucket, rep) of buckets that lie in several components.
+
+    rest: outside the component with most members in the bucket; others: how many such members the bucket has.
+    """
+    bucket = Window.partitionBy("bucket")
+    placed = members.select("bucket", "rep").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))
+    split = placed.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "size": F.count("*").over(bucket)}).where("low <> high").drop("low", "high")
+    alike = F.count("*").over(Window.partitionBy("bucket", "comp"))
+    main = split.withColumn("alike", alike).withColumn("main", F.max(F.struct("alike", "comp")).over(bucket)).withColumn("rest", F.col("comp") != F.col("main.comp"))
+    return written(main.withColumn("others", F.sum(F.col("rest").cast("long")).over(bucket)).select("bucket", "rep", "comp", "size", "rest", "others"), "split")
 
 
 def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
@@ -302,26 +339,28 @@ def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
     whole = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(whole.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     member = classes.select("rep", F.explode("bands").alias("bucket"))
-    centre = member.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("size")).where("size > 1")
-    centre = written(centre, "centres")
-    # only these texts can be asked for: of classes that meet others in a bucket, one text a class
-    meeting = member.join(centre.select("bucket"), "bucket").select("rep").distinct()
-    texts = written(docs.join(meeting.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi"), "texts")  # the ids grow with the corpus: no broadcast at any size
-    pairs = member.join(centre, "bucket").where(F.col("rep") != F.col("b")).select(F.col("rep").alias("a"), "b").distinct()
-    edges = written(confirmed(plausible(pairs, classes, scheme), texts, scheme), "links")
-    roots = stars(edges)
-    nearest = NEAREST
+    bucket = Window.partitionBy("bucket")
+    meeting = written(member.withColumns({"b": F.min("rep").over(bucket), "size": F.count("*").over(bucket)}).where("size > 1"), "meeting")
+    linked = lambda pairs: written(confirmed(plausible(pairs.distinct(), classes, scheme), docs, scheme), "links")
+    roots = stars(linked(meeting.where("rep <> b").select(F.col("rep").alias("a"), "b")))
+    split, turn, nearest = opened(meeting, roots), 0, NEAREST
+    while turn < CENTRES and split.where(F.col("size") > TILE).limit(1).count():
+        turn += 1  # large buckets: each turn one more centre, as every component that joins another spares its tiles
+        centre = split.where(F.col("size") > TILE).groupBy("bucket").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("c"))
+        fresh = linked(split.join(centre, "bucket").where(F.col("comp") != F.col("c.comp")).select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")))
+        if not fresh.limit(1).count():
+            break
+        roots = stars(roots.unionByName(fresh))
+        split = opened(split, roots)
     while True:
-        placed = member.join(centre.select("bucket", "size"), "bucket").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("comp"))
-        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        full = placed.join(open_, "bucket").join(classes.select("rep", "n", "sketch", "key"), "rep")
-        found = written(tiles(full, nearest, scheme), "pairs")
+        found = written(tiles(split.join(classes.select("rep", "n", "sketch", "key"), "rep"), nearest, scheme), "pairs")
         more = found.where("more").limit(1).count()
-        fresh = written(confirmed(found.select("a", "b", "key_a", "key_b").distinct(), texts, scheme), "links")
+        fresh = written(confirmed(found.select("a", "b", "key_a", "key_b").distinct(), docs, scheme), "links")
         if fresh.limit(1).count():
             roots = stars(roots.unionByName(fresh))
         if not more:
             break
+        split = opened(split, roots)
         nearest *= 8
     of = rows.select("doc_id", "key").join(classes.select("key", "rep"), "key").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
     of = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("root"))

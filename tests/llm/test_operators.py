@@ -903,3 +903,38 @@ def test_stages_take_odd_rows(odd, small, spark):
 def test_columns_to_keep_must_not_clash(odd):
     with pytest.raises(ValueError):
         quality.predict(odd, quality.boost(np.zeros((0, 16)), np.zeros(0)), keep=("doc_id", "score"))
+
+
+def test_tiles_of_a_large_bucket_grow_as_it_does(spark):
+    from candlewick.llm import minhash
+
+    made = {}
+    for size in (2_000, 20_000):
+        members = spark.range(size).selectExpr("1L bucket", "id rep").unionByName(spark.range(50, 60).selectExpr("2L bucket", "id rep"))
+        roots = spark.range(size).where("id % 1000 <> 1").selectExpr("id a", "-1L b")  # one large component and a few ids alone
+        split = minhash.opened(members, roots)
+        assert split.where("bucket = 2").count() == 0
+        rows = minhash.dealt(split).select("bucket", "lo", "hi", "rep", "comp").collect()
+        made[size] = len(rows)
+        if size == 2_000:
+            met = {}
+            for r in rows:
+                met.setdefault((r.lo, r.hi), []).append(r)
+            pairs = {frozenset((x.rep, y.rep)) for tile in met.values() for x in tile for y in tile if x.comp != y.comp}
+            assert pairs == {frozenset((x, y)) for x in (1, 1001) for y in range(size) if x != y}
+    assert made[20_000] <= 10.5 * made[2_000]
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 23])
+def test_texts_of_a_few_ids(spark, monkeypatch, cells):
+    from candlewick.llm import minhash
+
+    monkeypatch.setattr(minhash, "CELLS", cells, raising=False)
+    docs = spark.range(500).selectExpr("if(id % 9 = 0, null, id - 250) doc_id", "concat('t', id) text")
+    docs = docs.unionByName(docs.where("doc_id < -200"))
+    ids = spark.range(-260, 0, 3).unionAll(spark.range(-30, 0, 3)).select("id")
+    want = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.doc_id < 0 and ((r.doc_id + 260) % 3 == 0 or r.doc_id >= -30 and r.doc_id % 3 == 0))
+    got = minhash.texts_of(docs, ids)
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("getbit") > plan.index("doc_id#", plan.index("Join Inner"))  # the bitmap lies below the exact join
