@@ -285,7 +285,7 @@ def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame
     """Pairs of members of one bucket, in different components, that the bounds allow.
 
     members: those of opened(), with n, sketch, key. The members of a bucket's largest component meet the others only, not
-    one another, so with few others rows grow as the bucket does. Returns a, b, key_a, key_b, more;
+    one another, so with few others rows grow as the bucket does. Returns a, b, key_a, key_b, more, bucket;
     more: the tile left pairs of these two components out, beyond the nearest ones. Tiles come sorted through
     a partition, so only one of them, of at most 2 x TILE rows, is held at a time.
     """
@@ -298,9 +298,9 @@ def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame
     def pairs_of(part: pa.Table) -> list[tuple]:
         n, comp, rep, own, lo, hi = (part.column(k).to_numpy() if k not in ("rep", "comp") else np.array(part.column(k).to_pylist(), object) for k in ("n", "comp", "rep", "own", "lo", "hi"))
         raw = [np.frombuffer(v, np.uint8) for v in part.column("sketch").to_pylist()]
-        key = part.column("key").to_pylist()
+        key, bucket = part.column("key").to_pylist(), part.column("bucket")[0].as_py()
         places, more = tile_pairs(n, comp, rep, own, raw, bool(lo[0] != hi[0]), nearest, scheme)
-        return [(rep[i], rep[j], key[i], key[j], more) for i, j in places]
+        return [(rep[i], rep[j], key[i], key[j], more, bucket) for i, j in places]
 
     def work(batches):
         out = []
@@ -314,9 +314,9 @@ def tiles(members: DataFrame, nearest: int, scheme: Scheme = AT_85) -> DataFrame
             yield rows_of(out, part.column("rep").type)
 
     def rows_of(out, type_):
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((type_, type_, pa.binary(), pa.binary(), pa.bool_()))], names=["a", "b", "key_a", "key_b", "more"])
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((type_, type_, pa.binary(), pa.binary(), pa.bool_(), pa.int64()))], names=["a", "b", "key_a", "key_b", "more", "bucket"])
 
-    return dealt(members).select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean")
+    return dealt(members).select(*columns).repartition(*[F.col(k) for k in tile]).sortWithinPartitions(*tile, "n", "rep").mapInArrow(work, f"a {kind}, b {kind}, key_a binary, key_b binary, more boolean, bucket long")
 
 
 def opened(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -360,7 +360,8 @@ def components(docs: DataFrame, scheme: Scheme = AT_85) -> DataFrame:
             roots = stars(roots.unionByName(fresh))
         if not more:
             break
-        split = opened(split, roots)
+        # a bucket that left nothing out has had all its pairs confirmed
+        split = opened(split.join(found.where("more").select("bucket").distinct(), "bucket", "left_semi"), roots)
         nearest *= 8
     of = rows.select("doc_id", "key").join(classes.select("key", "rep"), "key").join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
     of = of.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
