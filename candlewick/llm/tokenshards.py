@@ -12,6 +12,9 @@ once; else each entry is one ranged read.
 
 Ids come from the tokenizers library. Where the tokenizer's file says that white space separates tokens, every distinct
 word of a batch goes through the library once and a text is its words' ids in order; else whole texts go through it.
+Where its split pattern is SPLIT, a text of PLAIN characters (Latin letters, digits, marks, white space: their classes,
+lower case and NFC are the same in every version of Unicode) is cut by that pattern here, and its distinct pieces, fewer
+than its words, go through the library many at a time, side by side; the end-of-word mark shows where each one's ids end.
 Documents are dealt by ranges of (doc_id, text hash), so one repeated id does not fill one shard; files are
 written under another name and moved, so a task that is run again leaves the same files.
 
@@ -23,9 +26,11 @@ matter; an empty table writes no shard and returns no rows.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -38,7 +43,12 @@ from .minhash import mixed
 
 END = 1
 SHARD_BYTES, INDEX_KEYS = 16_000_000, 40_000
-CACHE_WORDS = 1_400_000
+CACHE_WORDS, SIDE_BY_SIDE = 1_400_000, 400
+#: The split pattern that PIECES follows on lower-cased text of PLAIN characters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACES, _LETTERS = r"\t-\r ", "a-z\xdf-\xf6\xf8-\u0148\u014a-\u017f"
+NOT_PLAIN = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027]")
+PIECES = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACES}{_LETTERS}0-9]+")
 GOOD_PART = 0.2  # of a shard's ids: from that share on the shard is read whole
 HEAD, INDEX = "<4sIQQ", "<4sQQQQ"  # struct formats
 HEAD_BYTES, INDEX_BYTES = struct.calcsize(HEAD), struct.calcsize(INDEX)
@@ -68,8 +78,20 @@ def put(folder: str, name: str, parts: list[bytes]) -> None:
 # -- encoding --------------------------------------------------------------------------------
 
 
+class Pieces(dict):
+    """Pieces by the order in which they are first met; added: those met since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.added: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        value = self[piece] = len(self)
+        self.added.append(piece)
+        return value
+
+
 class WordIds:
-    """The ids of words, as bytes, through the tokenizers library."""
+    """The ids of texts, as bytes, through the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -82,29 +104,78 @@ class WordIds:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        suffix, self.by_piece = spec["model"].get("end_of_word_suffix"), False
         try:
             self.by_word = bool(checked(spec))
+            self.by_piece = bool(suffix) and checked(spec) == SPLIT
         except ValueError:
             self.by_word = False
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocab = self.tokenizer.get_vocab()
+        self.kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)  # does the token end a piece?
+        if self.by_piece:
+            self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.pieces, self.flat, self.ends = Pieces(), np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_word:
             for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 yield np.array(got.ids, self.kind).tobytes()
             return
+        if len(self.known) + len(self.pieces) > CACHE_WORDS:
+            self.forget()
+        plain = [self.by_piece and not NOT_PLAIN.search(t) and not any(s in t for s in self.special) for t in texts]
+        cut = self.of_pieces([t for t, p in zip(texts, plain, strict=True) if p])
+        whole = self.of_words([t for t, p in zip(texts, plain, strict=True) if not p])
+        for p in plain:
+            yield next(cut if p else whole)
+
+    def of_words(self, texts: list[str]) -> Iterator[bytes]:
         split = [[w for w in SPACE.split(t) if w] if NOT_SPACE.search(t) else t.split() for t in texts]
         new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
         for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(got.ids, self.kind).tobytes()
         get = self.known.__getitem__
         for words in split:
             yield b"".join(map(get, words))
 
+    def of_pieces(self, texts: list[str]) -> Iterator[bytes]:
+        split = [PIECES.findall(t.lower()) for t in texts]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        self.learn()
+        first = self.ends[at]
+        n = self.ends[at + 1] - first
+        stop = np.cumsum(n)
+        raw = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - stop + n, n)].tobytes()
+        edge = (np.append(0, stop)[np.append(0, np.cumsum(size))] * self.flat.itemsize).tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield raw[a:b]
+
+    def learn(self) -> None:
+        """The ids of the pieces that were added, behind those of the others."""
+        new, self.pieces.added = self.pieces.added, []
+        groups = [new[k : k + SIDE_BY_SIDE] for k in range(0, len(new), SIDE_BY_SIDE)]
+        flats, sizes = [self.flat], []
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.kind)
+            stop = np.flatnonzero(self.closes[ids]) + 1
+            if len(stop) == len(group) and stop[-1] == len(ids):
+                n = np.diff(stop, prepend=0)
+            else:  # a piece that the library leaves out, or cuts in several
+                each = [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                ids, n = np.concatenate(each), np.array([len(x) for x in each])
+            flats.append(ids)
+            sizes.append(n)
+        if groups:
+            self.flat = np.concatenate(flats)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+
 
 _LOADED: dict[str, WordIds] = {}
 

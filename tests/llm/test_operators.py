@@ -95,6 +95,43 @@ def test_ids_of_a_tokenizer_that_keeps_white_space(spark):
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in rows}
 
 
+def odd_texts():
+    rng = np.random.default_rng(8)
+    near = [chr(k) for k in [*range(0x300), *range(0x2000, 0x2070), 0x3A3, 0x1E9E, 0x212A, 0xFB01, 0x10FFFF]]
+    texts = [f"x{c}y {c} {c}s {c}'T{c} '{c}9{c}{c}. O{c}\u0301" for c in near]
+    plain = [*"abSTREVML's.,!0'1 ", "\t", "\n", "\u00e9", "\u00c9", "\u0178", "\u017f", "\u2019", "\u2013"]
+    texts += ["".join(rng.choice(plain, rng.integers(0, 40))) for _ in range(600)]
+    return [*texts, "", " ", "a<|endoftext|>b", "<|ENDOFTEXT|> a", "</w> a</w>b", "\u0130I\u0131", "w" * 3000]
+
+
+@pytest.mark.parametrize("cut", ["as is", "piece by piece", "by word"])
+def test_pieces_of_odd_texts_equal_the_library(tokenizer, cut):
+    enc, texts = tokenshards.WordIds(TOKENIZER), odd_texts()
+    if cut == "piece by piece":
+        enc.closes[:] = False
+    elif cut == "by word":
+        enc.by_piece = False
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, enc.kind).tolist() for k in range(0, len(texts), 90) for x in enc.encode_batch(texts[k : k + 90])] == want
+
+
+def test_words_that_differ_by_case_and_marks_go_through_the_library_once(tokenizer):
+    class Counted:
+        sent = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.sent += sum(map(len, texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    words = [f"{a}{b}{c}" for a in ("lor", "Vel", "\u00e9t") for b in ("em", "ip", "os") for c in ("um", "ia", "ent")]
+    texts = [" ".join(f(w) + m for w in words) for f in (str.lower, str.upper, str.title) for m in ("", ".", ",", "!!")]
+    enc = tokenshards.WordIds(TOKENIZER)
+    enc.tokenizer = counted = Counted()
+    got = [np.frombuffer(x, enc.kind).tolist() for _ in range(2) for x in enc.encode_batch(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] * 2
+    assert counted.sent < 2 * sum(len(w) for w in words)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 3000])
 def test_perfect_hash(n):
     shift, slot = tokenshards.perfect_hash(tokenshards.key_hash(list(range(n))))
