@@ -28,8 +28,8 @@ an empty table gives none.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -42,47 +42,31 @@ CHUNK, PART, SHELF = 4_000_000, 1_500_000, 1000  # bytes of text in a chunk; dis
 LISTED, MEMBERS, SUFFIXES, HIDDEN = 1536, 48, 48, 24
 WINDOW, LANES, WARM, WARM_EPOCHS, TRAINERS, SHARE, RATE = 32, 256, 4096, 4, 12, 10_000_000, 0.01  # at least TRAINERS of at most about SHARE tokens
 MERGED = 32  # models averaged in one go
-CACHE_WORDS = 150_000
+ROWS = 1024  # rows of logits at a time: they stay in a core's cache from one sum to the next
 LOG10 = float(np.log(10))
 
 
 # -- tokens ----------------------------------------------------------------------------------
 
 
-class WordHash(dict):
-    """64-bit hash of each word, kept up to CACHE_WORDS words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = value
-        return value
-
-
-_WORDS = WordHash()
-
-
-class Places(dict):
-    """Words by the order in which they are first met."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
-
-
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; per token an index into the distinct hashes; these, ascending; their endings."""
-    split = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    places = Places()
-    ids = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.uint32, int(n.sum()))
-    words = list(places)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    # Arrow's ASCII functions work on bytes, valid UTF-8 or not, and split where bytes.split() does
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    words = split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty words
+    edge = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    n = np.diff(edge[split.offsets.to_numpy()])
+    words = words.filter(real).dictionary_encode()
+    distinct = words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-    ending = np.fromiter([int.from_bytes(words[i][-2:], "little") for i in first.tolist()], np.uint16, len(first))
-    return n, back.astype(np.uint32)[ids], uniq, ending
+    ending = np.fromiter([int.from_bytes(w[-2:], "little") for w in distinct[first]], np.uint16, len(first))
+    return n, back.astype(np.uint32)[words.indices.to_numpy()], uniq, ending
 
 
 def squeezed(tokens: np.ndarray) -> bytes:
@@ -278,7 +262,7 @@ class Scratch(dict):
     """Arrays by name that are made once and used again: fresh ones of this size cost as much as the sums in them."""
 
     def get(self, name: str, *shape: int, kind=np.float32) -> np.ndarray:
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         held = self.setdefault((name, np.dtype(kind)), np.empty(0, kind))
         if len(held) < n:
             held = self[name, np.dtype(kind)] = np.empty(n, kind)
@@ -288,30 +272,40 @@ class Scratch(dict):
 def step(u_gates: np.ndarray, u_cand: np.ndarray, x: np.ndarray, h: np.ndarray, gates: np.ndarray, rh: np.ndarray, c: np.ndarray, out: np.ndarray) -> np.ndarray:
     """One unit's turn, into gates (update, reset), rh, c (candidate) and out (the state).
 
-    x: input times W plus b. x and u_gates come halved for the gates: the logistic of v is (1 + tanh(v / 2)) / 2.
+    x: input times W plus b, of each gate and the candidate apart. x and the recurrent weights come times -1 for the
+    gates, whose logistic of v is 1 / (1 + exp(-v)), and times -2 for the candidate: tanh(v) is 2 / (1 + exp(-2 v)) - 1.
+    (numpy's exp takes half the time of its tanh.) An exp that overflows gives 0 and -1, as it should.
     """
-    k = h.shape[1]
     np.matmul(h, u_gates, out=gates)
-    gates += x[:, : 2 * k]
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5
-    np.multiply(gates[:, k:], h, out=rh)
+    gates += x[:2]
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], h, out=rh)
     np.matmul(rh, u_cand, out=c)
-    c += x[:, 2 * k :]
-    np.tanh(c, out=c)
+    c += x[2]
+    np.exp(c, out=c)
+    c += 1
+    np.divide(2, c, out=c)
+    c -= 1
     np.subtract(c, h, out=out)
-    out *= gates[:, :k]
+    out *= gates[0]
     out += h
     return out
 
 
+def apart(x: np.ndarray) -> np.ndarray:
+    """The three blocks of x's columns as three arrays: what is done to one of them is done to numbers side by side."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+
+
 def prepared(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What step() takes: each symbol's input, the recurrent weights of the gates, those of the candidate."""
-    k = len(p["U"])
-    x = p["E"] @ p["W"] + p["b"]
-    x[:, : 2 * k] *= 0.5
-    return x, p["U"][:, : 2 * k] * p["U"].dtype.type(0.5), np.ascontiguousarray(p["U"][:, 2 * k :])
+    """What step() takes: each symbol's input (rows of the gates, then of the candidate), the recurrent weights of the gates, those of the candidate."""
+    x, u = apart(p["E"] @ p["W"] + p["b"]), apart(p["U"])
+    for a in (x, u):
+        a[:2] *= -1
+        a[2] *= -2
+    return x.reshape(-1, x.shape[2]), u[:2], u[2]
 
 
 def bounded(p: dict) -> bool:
@@ -328,9 +322,14 @@ def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, safe: bool, out
     return x
 
 
+def places(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Where each row's goal is in x, flat."""
+    return np.arange(0, x.size, x.shape[1]) + goal
+
+
 def softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp of x, in its place, its sums by row, and the log probability of goal, by row."""
-    own = x[np.arange(len(goal)), goal]
+    own = x.reshape(-1)[places(x, goal)]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
     own -= np.log(total)
@@ -341,15 +340,19 @@ def error(x: np.ndarray, goal: np.ndarray, scale: float) -> tuple[np.ndarray, fl
     """Probabilities, in x's place, less one at goal, times scale; the summed loss."""
     total, own = softmax(x, goal)
     x *= (x.dtype.type(scale) / total)[:, None]
-    x[np.arange(len(goal)), goal] -= scale
+    x.reshape(-1)[places(x, goal)] -= x.dtype.type(scale)
     return x, -float(own.sum())
 
 
 def by_class(cls: np.ndarray, lists: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Row places in order of class, and for each class of listed words that occurs its span there."""
+    """Row places in order of class, and for each class of listed words that occurs its spans there, of ROWS at most."""
     order = np.argsort(cls.astype(np.int16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(1, lists + 2)).tolist()
-    return order, [(k, ends[k], ends[k + 1]) for k in range(lists) if ends[k] < ends[k + 1]]
+    return order, [(k, a, b) for k in range(lists) for a, b in spans_of(ends[k], ends[k + 1])]
+
+
+def spans_of(start: int, end: int) -> list[tuple[int, int]]:
+    return [(a, min(a + ROWS, end)) for a in range(start, end, ROWS)]
 
 
 def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray, room: Scratch | None = None) -> np.ndarray:
@@ -358,7 +361,9 @@ def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray, room:
     order, spans = by_class(cls, len(p["M"]))
     h, cls, member = h[order], cls[order], member[order]
     space = lambda a, b, w: room.get("logits", b - a, w.shape[1], kind=h.dtype)
-    _, got = softmax(logits(h, p["C"], p["cb"], safe, space(0, len(h), p["C"])), cls)
+    got = np.empty(len(h), h.dtype)
+    for a, b in spans_of(0, len(h)):
+        got[a:b] = softmax(logits(h[a:b], p["C"], p["cb"], safe, space(a, b, p["C"])), cls[a:b])[1]
     for k, a, b in spans:
         got[a:b] += softmax(logits(h[a:b], p["M"][k], p["mb"][k], safe, space(a, b, p["M"][k])), member[a:b])[1]
     out = np.empty_like(got)
@@ -366,6 +371,7 @@ def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray, room:
     return out
 
 
+@np.errstate(over="ignore")
 def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, cls: np.ndarray, g: dict | None = None, room: Scratch | None = None) -> tuple[dict, np.ndarray, float]:
     """Loss gradient of one window (time x lanes), truncated at its start; the state at its end; summed loss.
 
@@ -377,13 +383,13 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     room = Scratch() if room is None else room
     new = lambda name, *shape: room.get(name, *shape, kind=kind)
     by_input, u_gates, u_cand = prepared(p)
-    xw = np.take(by_input, inputs, axis=0, out=new("xw", steps, lanes, 3 * k), mode="clip")
+    xw = np.take(by_input, inputs + len(p["E"]) * np.arange(3)[:, None, None], axis=0, out=new("xw", 3, steps, lanes, k), mode="clip")
     states, before, rh, cand = (new(n, steps, lanes, k) for n in ("states", "before", "rh", "cand"))
-    gates = new("gates", steps, lanes, 2 * k)
+    gates = new("gates", 2, steps, lanes, k)
     carried = (inputs > 0).astype(kind)[:, :, None]
     for t in range(steps):
         np.multiply(h, carried[t], out=before[t])
-        h = step(u_gates, u_cand, xw[t], before[t], gates[t], rh[t], cand[t], states[t])
+        h = step(u_gates, u_cand, xw[:, t], before[t], gates[:, t], rh[t], cand[t], states[t])
     h = h.copy()
     flat = states.reshape(-1, k)
     live = np.flatnonzero(mask.reshape(-1))
@@ -392,22 +398,25 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     live, goal = live[order], goal[order]
     s, c, member = flat[live], cls[goal], (goal - 1) % MEMBERS
     scale, safe = 1.0 / max(len(live), 1), bounded(p)
-    d, loss = error(logits(s, p["C"], p["cb"], safe, new("logits", len(s), len(p["cb"]))), c, scale)
-    g["C"] += s.T @ d
-    g["cb"] += np.ones(len(d), kind) @ d
-    ds = d @ p["C"].T
+    loss, ds, heads_t = 0.0, np.empty_like(s), np.ascontiguousarray(p["C"].T)
+    for a, b in spans_of(0, len(s)):
+        d, more = error(logits(s[a:b], p["C"], p["cb"], safe, new("logits", b - a, len(p["cb"]))), c[a:b], scale)
+        loss += more
+        g["C"] += s[a:b].T @ d
+        g["cb"] += np.ones(len(d), kind) @ d
+        np.matmul(d, heads_t, out=ds[a:b])
     for j, a, b in spans:
         d, more = error(logits(s[a:b], p["M"][j], p["mb"][j], safe, new("logits", b - a, MEMBERS)), member[a:b], scale)
         loss += more
         g["M"][j] += s[a:b].T @ d
-        g["mb"][j] += d.sum(axis=0)
+        g["mb"][j] += np.ones(len(d), kind) @ d
         ds[a:b] += d @ p["M"][j].T
     out = new("out", steps * lanes, k)
     out[:] = 0
     out[live] = ds
     out = out.reshape(steps, lanes, k)
     # what each gate's gradient is multiplied by, for all steps at once
-    z, r = gates[:, :, :k], gates[:, :, k:]
+    z, r = gates
     keep, by_c, by_z, by_r = (new(n, steps, lanes, k) for n in ("keep", "by_c", "by_z", "by_r"))
     np.subtract(1, r, out=by_r)
     by_r *= r
@@ -419,29 +428,27 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
     np.multiply(cand, cand, out=by_c)
     np.subtract(1, by_c, out=by_c)
     by_c *= z
-    dh, dx = np.zeros((lanes, k), kind), new("dx", steps, lanes, 3 * k)
-    gates_t, cand_t = np.ascontiguousarray(p["U"][:, : 2 * k].T), np.ascontiguousarray(u_cand.T)
+    dh, dx, both = np.zeros((lanes, k), kind), new("dx", 3, steps, lanes, k), new("both", 2, lanes, k)
+    u_t = np.ascontiguousarray(apart(p["U"]).transpose(0, 2, 1))
     for t in reversed(range(steps)):
         dh += out[t]
-        da = dx[t]
-        dc = dh * by_c[t]
-        drh = dc @ cand_t
-        da[:, 2 * k :] = dc
-        np.multiply(dh, by_z[t], out=da[:, :k])
-        np.multiply(drh, by_r[t], out=da[:, k : 2 * k])
+        dc = np.multiply(dh, by_c[t], out=dx[2, t])
+        drh = dc @ u_t[2]
+        np.multiply(dh, by_z[t], out=dx[0, t])
+        np.multiply(drh, by_r[t], out=dx[1, t])
         dh *= keep[t]
         drh *= r[t]
         dh += drh
-        dh += da[:, : 2 * k] @ gates_t
+        np.matmul(dx[:2, t], u_t[:2], out=both)
+        dh += both[0]
+        dh += both[1]
         dh *= carried[t]
-    dx = dx.reshape(-1, 3 * k)
-    g["U"][:, : 2 * k] += before.reshape(-1, k).T @ dx[:, : 2 * k]
-    g["U"][:, 2 * k :] += rh.reshape(-1, k).T @ dx[:, 2 * k :]
+    dx = dx.reshape(3, -1, k)
+    for j, side in enumerate((before, before, rh)):
+        g["U"][:, j * k : j * k + k] += side.reshape(-1, k).T @ dx[j]
     # inputs share few symbols, so their gradients are summed by symbol before they go through W
-    place = inputs.reshape(-1)
-    columns = new("columns", 3 * k, len(place))
-    columns[:] = dx.T
-    by_symbol = np.stack([np.bincount(place, column, len(p["E"])) for column in columns], axis=1).astype(kind)
+    place = ((inputs * k).reshape(-1, 1) + np.arange(k)).reshape(-1)
+    by_symbol = np.concatenate([np.bincount(place, x.reshape(-1), p["E"].size).astype(kind).reshape(-1, k) for x in dx], axis=1)
     g["W"] += p["E"].T @ by_symbol
     g["b"] += by_symbol.sum(axis=0)
     g["E"] += by_symbol @ p["W"].T
@@ -657,6 +664,7 @@ def fit(chunks: DataFrame, words: Words, train_docs: int) -> dict[str, np.ndarra
 # -- scoring ---------------------------------------------------------------------------------
 
 
+@np.errstate(over="ignore")
 def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Natural log probability of each document's classes and listed words, the end included.
 
@@ -669,6 +677,7 @@ def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndar
     total = np.zeros(len(n))
     h = np.zeros((len(n), p["U"].shape[0]), np.float32)
     xw, u_gates, u_cand = prepared(p)
+    of_gate = len(p["E"]) * np.arange(3)[:, None]
     sym = np.append(sym, 0)
     steps = int(size[0]) + 1 if len(size) else 0
     live = np.searchsorted(-size, -np.arange(steps), side="right")  # documents with a token (or the end) at each step
@@ -679,10 +688,14 @@ def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndar
         owner = np.arange(ends[-1]) - np.repeat(ends - now, now)
         t = np.repeat(np.arange(w, w + len(now)), now)
         at = first[owner] + t
-        x = np.take(xw, np.where(t == 0, 0, sym[at - 1]), axis=0, out=room.get("x", len(owner), 3 * k), mode="clip")
-        states = room.get("states", len(owner), k)
+        before = np.where(t == 0, 0, sym[at - 1])
+        states, beside = room.get("states", len(owner), k), 0
         for a, b in zip((ends - now).tolist(), ends.tolist(), strict=True):
-            h = step(u_gates, u_cand, x[a:b], h[: b - a], room.get("gates", b - a, 2 * k), room.get("rh", b - a, k), room.get("cand", b - a, k), states[a:b])
+            if b - a != beside:
+                beside = b - a
+                x, gates, rh, cand = (room.get(name, *shape, beside, k) for name, shape in (("x", (3,)), ("gates", (2,)), ("rh", ()), ("cand", ())))
+            np.take(xw, before[a:b] + of_gate, axis=0, out=x, mode="clip")
+            h = step(u_gates, u_cand, x, h[:beside], gates, rh, cand, states[a:b])
         h = h.copy()
         goal = np.where(size[owner] == t, 0, sym[at])
         got = predicted(p, states, cls[goal], (goal - 1) % MEMBERS, room)

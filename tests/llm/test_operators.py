@@ -404,6 +404,31 @@ def test_state_is_carried_over_windows_and_lanes():
         assert got[k] == pytest.approx(total, rel=1e-4)
 
 
+def test_words_of_a_chunk_equal_plain_splitting():
+    import xxhash
+
+    rng = np.random.default_rng(9)
+    texts = [b"", b" ", b"\x0b\x0cA \x85B\xff\x00c\x1cD\t\n", "ÀÉ É\u00a0x".encode(), b"one", b"one", b"x" * 9000]
+    texts += [bytes(rng.choice([*b"aBZz@[ \t\n\x0b\x0c\r\x1c\x85\xff\x00"], rng.integers(0, 50)).astype(np.uint8)) for _ in range(300)]
+    n, tokens, uniq, ending = lm.hashed(texts)
+    split = [t.lower().split() for t in texts]
+    assert n.tolist() == [len(ws) for ws in split] and (uniq[1:] > uniq[:-1]).all()
+    words = [w for ws in split for w in ws]
+    assert uniq[tokens].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+    assert ending[tokens].tolist() == [int.from_bytes(w[-2:], "little") for w in words]
+
+
+def test_logits_come_as_many_rows_at_a_time_as_a_cache_holds(monkeypatch):
+    words, p = small_model()
+    rng, seen, logits = np.random.default_rng(3), [], lm.logits
+    monkeypatch.setattr(lm, "logits", lambda h, *rest: seen.append(len(h)) or logits(h, *rest))
+    docs = [rng.integers(1, words.symbols, 200) for _ in range(300)]
+    tokens, loss = lm.train_whole(lm.Adam(p), docs, words.class_of(np.arange(words.symbols)), 0.0)
+    score = lm.log_scores(p, words, np.concatenate(docs), np.full(300, 200))
+    assert tokens == 300 * 201 and loss == pytest.approx(-score.sum(), rel=1e-4)
+    assert max(seen) <= 1024
+
+
 def test_gradient():
     words, p = small_model()
     p = {k: v.astype(np.float64) for k, v in p.items()}
