@@ -10,7 +10,7 @@ Model. The LISTED most frequent words have places of their own, grouped by rank
 other words fall into classes by their last two bytes, the SUFFIXES heaviest endings apart and the rest
 together; the end is a class. P(word) = P(class | state) P(word | class, state), where within an ending's class
 P = (c + 1) / (n + v + 1) from corpus counts: c of the word, n tokens and v words of the class, so unseen words
-have a share. The state is a gated recurrent unit's. In scoring, a chunk's documents run side by side and every
+have a share. The state is a gated recurrent unit's. In scoring, a chunk's documents run side by side, ROWS at a time, and every
 document's state is carried across windows of WINDOW tokens to its end.
 
 Training, in numpy by truncated backpropagation with Adam: first on runs of 2 * WINDOW tokens of about WARM
@@ -322,25 +322,29 @@ def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, safe: bool, out
     return x
 
 
+ONES = {np.dtype(kind): np.ones(max(ROWS, 1 + LISTED // MEMBERS + SUFFIXES + 1, MEMBERS), kind) for kind in (np.float32, np.float64)}
+
+
 def places(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """Where each row's goal is in x, flat."""
     return np.arange(0, x.size, x.shape[1]) + goal
 
 
-def softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of x, in its place, its sums by row, and the log probability of goal, by row."""
-    own = x.reshape(-1)[places(x, goal)]
+def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of x, in its place, its sums by row, and the log probability of each row's goal; at: its place in x."""
+    own = x.reshape(-1)[at]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
+    total = x @ ONES[x.dtype][: x.shape[1]]
     own -= np.log(total)
     return total, own
 
 
 def error(x: np.ndarray, goal: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
     """Probabilities, in x's place, less one at goal, times scale; the summed loss."""
-    total, own = softmax(x, goal)
+    at = places(x, goal)
+    total, own = softmax(x, at)
     x *= (x.dtype.type(scale) / total)[:, None]
-    x.reshape(-1)[places(x, goal)] -= x.dtype.type(scale)
+    x.reshape(-1)[at] -= x.dtype.type(scale)
     return x, -float(own.sum())
 
 
@@ -360,12 +364,16 @@ def predicted(p: dict, h: np.ndarray, cls: np.ndarray, member: np.ndarray, room:
     room, safe = Scratch() if room is None else room, bounded(p)
     order, spans = by_class(cls, len(p["M"]))
     h, cls, member = h[order], cls[order], member[order]
-    space = lambda a, b, w: room.get("logits", b - a, w.shape[1], kind=h.dtype)
     got = np.empty(len(h), h.dtype)
+
+    def within(a: int, b: int, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        x = logits(h[a:b], weights, bias, safe, room.get("logits", b - a, len(bias), kind=h.dtype))
+        return softmax(x, places(x, goal[a:b]))[1]
+
     for a, b in spans_of(0, len(h)):
-        got[a:b] = softmax(logits(h[a:b], p["C"], p["cb"], safe, space(a, b, p["C"])), cls[a:b])[1]
+        got[a:b] = within(a, b, p["C"], p["cb"], cls)
     for k, a, b in spans:
-        got[a:b] += softmax(logits(h[a:b], p["M"][k], p["mb"][k], safe, space(a, b, p["M"][k])), member[a:b])[1]
+        got[a:b] += within(a, b, p["M"][k], p["mb"][k], member)
     out = np.empty_like(got)
     out[order] = got
     return out
@@ -403,13 +411,13 @@ def window_gradient(p: dict, inputs: np.ndarray, target: np.ndarray, mask: np.nd
         d, more = error(logits(s[a:b], p["C"], p["cb"], safe, new("logits", b - a, len(p["cb"]))), c[a:b], scale)
         loss += more
         g["C"] += s[a:b].T @ d
-        g["cb"] += np.ones(len(d), kind) @ d
+        g["cb"] += ONES[d.dtype][: len(d)] @ d
         np.matmul(d, heads_t, out=ds[a:b])
     for j, a, b in spans:
         d, more = error(logits(s[a:b], p["M"][j], p["mb"][j], safe, new("logits", b - a, MEMBERS)), member[a:b], scale)
         loss += more
         g["M"][j] += s[a:b].T @ d
-        g["mb"][j] += np.ones(len(d), kind) @ d
+        g["mb"][j] += ONES[d.dtype][: len(d)] @ d
         ds[a:b] += d @ p["M"][j].T
     out = new("out", steps * lanes, k)
     out[:] = 0
@@ -528,14 +536,15 @@ def windows(docs):
     A lane reads one document to its end, then its next one. The docs of one trainer are held: about SHARE symbols.
     """
     end = np.zeros(1, np.int16)
-    streams = [np.concatenate([x for doc in lane for x in (doc.astype(np.int16), end)] or [end[:0]]) for lane in lanes_of(list(docs))]
-    last = np.zeros(len(streams), np.int16)
-    for a in range(0, max(map(len, streams)), WINDOW):
-        now = np.full((len(streams), WINDOW + 1), -1, np.int32)
+    lanes = lanes_of(list(docs))
+    size = np.array([sum(len(doc) + 1 for doc in lane) for lane in lanes])[:, None]
+    flat = np.concatenate([x for lane in lanes for doc in lane for x in (doc.astype(np.int16), end)] or [end])
+    start, turn = np.cumsum(size)[:, None] - size, np.arange(WINDOW)
+    last = np.zeros(len(lanes), np.int16)
+    for a in range(0, int(size.max()), WINDOW):
+        now = np.empty((len(lanes), WINDOW + 1), np.int32)
         now[:, 0] = last
-        for k, stream in enumerate(streams):
-            piece = stream[a : a + WINDOW]
-            now[k, 1 : 1 + len(piece)] = piece
+        now[:, 1:] = np.where(a + turn < size, flat[np.minimum(start + a + turn, len(flat) - 1)], -1)
         last = np.maximum(now[:, -1], 0)
         yield now.T
 
@@ -668,40 +677,38 @@ def fit(chunks: DataFrame, words: Words, train_docs: int) -> dict[str, np.ndarra
 def log_scores(p: dict, words: Words, sym: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Natural log probability of each document's classes and listed words, the end included.
 
-    Documents run side by side, longest first; each keeps its state from window to window until its end.
+    ROWS documents run side by side, longest first; each keeps its state from window to window until its end.
     """
     cls = words.class_of(np.arange(words.symbols))
     first = np.concatenate([[0], np.cumsum(n)])[:-1]
     order = np.argsort(-n, kind="stable")
-    first, size = first[order], n[order]
-    total = np.zeros(len(n))
-    h = np.zeros((len(n), p["U"].shape[0]), np.float32)
     xw, u_gates, u_cand = prepared(p)
     of_gate = len(p["E"]) * np.arange(3)[:, None]
-    sym = np.append(sym, 0)
-    steps = int(size[0]) + 1 if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(steps), side="right")  # documents with a token (or the end) at each step
-    room, k = Scratch(), h.shape[1]
-    for w in range(0, steps, WINDOW):
-        now = live[w : w + WINDOW]
-        ends = np.cumsum(now)
-        owner = np.arange(ends[-1]) - np.repeat(ends - now, now)
-        t = np.repeat(np.arange(w, w + len(now)), now)
-        at = first[owner] + t
-        before = np.where(t == 0, 0, sym[at - 1])
-        states, beside = room.get("states", len(owner), k), 0
-        for a, b in zip((ends - now).tolist(), ends.tolist(), strict=True):
-            if b - a != beside:
-                beside = b - a
-                x, gates, rh, cand = (room.get(name, *shape, beside, k) for name, shape in (("x", (3,)), ("gates", (2,)), ("rh", ()), ("cand", ())))
-            np.take(xw, before[a:b] + of_gate, axis=0, out=x, mode="clip")
-            h = step(u_gates, u_cand, x, h[:beside], gates, rh, cand, states[a:b])
-        h = h.copy()
-        goal = np.where(size[owner] == t, 0, sym[at])
-        got = predicted(p, states, cls[goal], (goal - 1) % MEMBERS, room)
-        total[: now[0]] += np.bincount(owner, got, now[0])
-    out = np.empty(len(n))
-    out[order] = total
+    sym, out, room, k = np.append(sym, 0), np.empty(len(n)), Scratch(), p["U"].shape[0]
+    for own in (order[a:b] for a, b in spans_of(0, len(n))):
+        at_first, size = first[own], n[own]
+        total, h = np.zeros(len(own)), np.zeros((len(own), k), np.float32)
+        steps = int(size[0]) + 1
+        live = np.searchsorted(-size, -np.arange(steps), side="right")  # documents with a token (or the end) at each step
+        for w in range(0, steps, WINDOW):
+            now = live[w : w + WINDOW]
+            ends = np.cumsum(now)
+            owner = np.arange(ends[-1]) - np.repeat(ends - now, now)
+            t = np.repeat(np.arange(w, w + len(now)), now)
+            at = at_first[owner] + t
+            before = np.where(t == 0, 0, sym[at - 1])
+            states, beside = room.get("states", len(owner), k), 0
+            for a, b in zip((ends - now).tolist(), ends.tolist(), strict=True):
+                if b - a != beside:
+                    beside = b - a
+                    x, gates, rh, cand = (room.get(name, *shape, beside, k) for name, shape in (("x", (3,)), ("gates", (2,)), ("rh", ()), ("cand", ())))
+                np.take(xw, before[a:b] + of_gate, axis=0, out=x, mode="clip")
+                h = step(u_gates, u_cand, x, h[:beside], gates, rh, cand, states[a:b])
+            h = h.copy()
+            goal = np.where(size[owner] == t, 0, sym[at])
+            got = predicted(p, states, cls[goal], (goal - 1) % MEMBERS, room)
+            total[: now[0]] += np.bincount(owner, got, now[0])
+        out[own] = total
     return out
 
 
